@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import lookalike, retyped
+from quillspark.llm import lookalike, mixture, neighbours, packing, pieces, quality, retyped, tokens
+from quillspark.session import staged
 from quillspark.sources.tables import table
 
 
@@ -36,6 +37,73 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("field", "id", F.md5(F.col("form").cast("binary")).alias("form_md5"), (F.col("form") != F.col("text")).alias("changed"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "chunks").select("id", "embedding"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks, one among the 5 most similar of the other, with a cosine of at least 0.9."""
+    return neighbours.close_pairs(_neighbours(spark, sf_dir), 0.9)
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk with a usable embedding."""
+    return _neighbours(spark, sf_dir).select("id", "neighbour", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that had to be cut."""
+    chunks = table(spark, sf_dir, "chunks").select("id", "chunk_text")
+    cut = pieces.split_rows(chunks, ["id"], "chunk_text", whole=False)
+    return cut.filter("piece = 1").select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk, and of every oversized text of a version without chunks."""
+    chunks = table(spark, sf_dir, "chunks")
+    versions = table(spark, sf_dir, "document_versions").select("id", "raw_text")
+    bare = versions.join(chunks.select(F.col("document_version_id").alias("id")), "id", "left_anti")
+    rows = chunks.select(F.lit("chunk_text").alias("field"), "id", "section_ref", F.col("chunk_text").alias("body")).unionByName(
+        bare.select(F.lit("raw_text").alias("field"), "id", F.lit(None).cast("string").alias("section_ref"), F.col("raw_text").alias("body"))
+    )
+    return pieces.split_rows(rows, ["field", "id", "section_ref"], "body", whole=False)
+
+
+def _sizes(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return tokens.token_sizes(table(spark, sf_dir, "documents").select(*keys, "text"), list(keys))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2048 tokens of every document, and of every piece of a larger one."""
+    return packing.pack(_sizes(spark, sf_dir, "doc_id"), ["doc_id"])
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p7_containers(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, with the copy and the virtual finish time."""
+    return mixture.mix(_sizes(spark, sf_dir, "doc_id", "source"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    mixed = staged(p8_mixture(spark, sf_dir), "mixed")
+    return mixture.shares(mixed, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and the decision on natural prose of every document."""
+    return quality.text_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "common_words"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are not natural prose."""
+    return p9_quality(spark, sf_dir).filter(~F.col("is_prose")).select("doc_id")
+
+
 _CANON = r"""
 WITH prepared AS (
   SELECT id, string_split(regexp_replace(raw_text, '\r\n?', chr(10), 'g'), chr(10)) AS lines
@@ -54,8 +122,15 @@ canon AS (
   FROM parts)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_forms)}
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_records, p2_found, p2_forms, p4_found, p4_neighbours, p5_found, p5_pieces,
+    p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_quality,
+)}
 ORACLES = {
     "p1_found": _CANON + "SELECT a.id AS id_a, b.id AS id_b FROM canon a JOIN canon b ON a.c = b.c AND a.id < b.id",
     "p1_records": _CANON + "SELECT min(id) AS keep, count(*) AS copies, false AS collision FROM canon GROUP BY c",
+    # a run of letters, digits and underscores, or another single character that isn't white space
+    "p5_found": r"""
+SELECT id AS chunk_id FROM chunks
+WHERE len(regexp_extract_all(chunk_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x0b\x1c-\x1f]')) > 350""",
 }
