@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import lookalike, mixture, neighbours, packing, pieces, quality, retyped, tokens
+from quillspark.llm import lookalike, mixture, neighbours, packing, pieces, quality, retyped, revisions, tokens
 from quillspark.session import staged
 from quillspark.sources.tables import table
 
@@ -37,6 +37,27 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("field", "id", F.md5(F.col("form").cast("binary")).alias("form_md5"), (F.col("form") != F.col("text")).alias("changed"))
 
 
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, id, text, print) of all versions and chunks; only versions have a print of their retyped form."""
+    printed = F.unhex(F.md5(retyped.canonical_text(F.col("text")).cast("binary")))
+    return _texts(spark, sf_dir).withColumn("print", F.when(F.col("field") == "raw_text", printed))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of versions, and of chunks, that are lightly revised forms of each other."""
+    return revisions.revised_pairs(_printed(spark, sf_dir))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version and chunk with the number of other classes its class of equal shingle sets is similar to."""
+    rows, classes = revisions.classes_of(_printed(spark, sf_dir))
+    pairs = revisions.similar_classes(classes)
+    ends = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d")))
+    links = ends.groupBy("d").agg(F.count(F.lit(1)).alias("links"))
+    first = rows.groupBy("doc").agg(F.min("id").alias("class_id"))
+    return rows.join(first, "doc").join(links, F.col("doc") == F.col("d"), "left").select("field", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "chunks").select("id", "embedding"))
 
@@ -123,7 +144,7 @@ canon AS (
 """
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_records, p2_found, p2_forms, p4_found, p4_neighbours, p5_found, p5_pieces,
+    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p5_found, p5_pieces,
     p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_quality,
 )}
 ORACLES = {
