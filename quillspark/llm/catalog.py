@@ -58,13 +58,13 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, "doc").join(links, F.col("doc") == F.col("d"), "left").select("field", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "chunks").select("id", "embedding"))
+def _neighbours(spark: SparkSession, sf_dir: str, plan: neighbours.Plan = neighbours.Plan()) -> DataFrame:  # noqa: B008
+    return neighbours.nearest(table(spark, sf_dir, "chunks").select("id", "embedding"), plan=plan)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks, one among the 5 most similar of the other, with a cosine of at least 0.9."""
-    return neighbours.close_pairs(_neighbours(spark, sf_dir), 0.9)
+    return neighbours.close_pairs(_neighbours(spark, sf_dir, neighbours.Plan(least=0.9)), 0.9)
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
