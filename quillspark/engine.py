@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import answers as A
 from quillspark.operators import retrieval as R
 from quillspark.operators import versioning as V
+from quillspark.session import ship_package
 from quillspark.sources import files, snapshots
 
 MAX_K, LEAST_TEXT, SUFFIXES = 50, 200, (".txt", ".md", ".pdf", ".html", ".htm")
@@ -19,6 +20,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, chunker: str = "structure_aware"):
         self.spark, self.root, self.chunker = spark, root, chunker
+        ship_package(spark)
 
     # writing -------------------------------------------------------------------------------------
     def ingest(self, docs: DataFrame) -> DataFrame:
