@@ -134,23 +134,24 @@ def _stretch_forms(stretches: DataFrame) -> DataFrame:
 def consistent_texts(texts: DataFrame) -> DataFrame:
     """texts(field, id, text) with form added: the consistent form of text (null for null).
 
-    (field, id) must name a row; of repeated rows each gets its form. Texts in ASCII pass through.
+    Repeated rows, and rows with the same id and other texts, each get their form. Texts in ASCII pass through.
     Distinct stretches are combined on the map side before they are exploded, so a stretch that
     stands in a third of all texts is handled once; a text's own stretches are gathered per text.
     """
     plain = texts.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("form", F.col("text"))
-    rich = texts.filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+    rich = texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary"))))
     found = F.regexp_extract_all("text", F.lit(f"({STRETCH})"), F.lit(1))
-    uses = rich.select("field", "id", F.posexplode(found).alias("at", "stretch"))
+    row = ["field", "id", "hash"]
+    uses = rich.select(*row, F.posexplode(found).alias("at", "stretch"))
     forms = _stretch_forms(uses.select("stretch").distinct())
     # one row per text and stretch, however often the text repeats it
-    per_text = uses.groupBy("field", "id", "stretch").agg(F.collect_list("at").alias("ats"))
+    per_text = uses.groupBy(*row, "stretch").agg(F.collect_set("at").alias("ats"))
     placed = (
         per_text.join(forms, "stretch")
-        .groupBy("field", "id")
+        .groupBy(*row)
         .agg(F.collect_list(F.struct("ats", "form")).alias("fs"))
         .select(
-            "field", "id",
+            *row,
             F.transform(
                 F.array_sort(F.flatten(F.transform("fs", lambda f: F.transform(f["ats"], lambda a: F.struct(a.alias("at"), f["form"].alias("form")))))),
                 lambda x: x["form"],
@@ -159,7 +160,7 @@ def consistent_texts(texts: DataFrame) -> DataFrame:
     )
     between = F.split("text", STRETCH, -1)
     rebuilt = F.array_join(F.zip_with(between, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = rich.join(placed, ["field", "id"]).withColumn("form", rebuilt).drop("new")
+    done = rich.join(placed, row).withColumn("form", rebuilt).drop("new", "hash")
     return plain.unionByName(done)
 
 
