@@ -40,25 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_staged: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read instead of a recomputation; unlike a
-    checkpoint the table is compressed and its columns can be pruned.
+    checkpoint the table is compressed and its columns can be pruned. clear_staged() deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a staged table that is no longer read."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; results that still read them must be written before."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+    for name in _staged.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

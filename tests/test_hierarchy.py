@@ -60,3 +60,15 @@ def test_running_total_hot_key_nulls_and_clashes(spark):
     assert all(got["hot", i] == i + 1 for i in range(500))
     assert [got["cold", i] for i in range(5)] == [0, 1, 3, 6, 10] and got[None, 0] == 0
     assert running_total(df.limit(0), ["k"], ["o"], "v", "s").count() == 0
+
+
+def test_staged_tables_go(spark):
+    from quillspark import session
+
+    rows = session.staged(spark.range(5), "gone")
+    assert rows.count() == 5
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    session.clear_staged(spark)
+    import os
+
+    assert not os.path.exists(folder)

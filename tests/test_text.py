@@ -36,7 +36,7 @@ def test_normalise_and_extract(spark):
     assert one(spark, X.supersession_scope, "supersedes clauses 3 to 5; amends the paragraph 3") == ["3", "5"]
     assert one(spark, X.extract_title, SAMPLE) == "Know Your Customer Directions"
     assert one(spark, X.bm25_tokens, "The KYC of 6.1 shall apply") == ["kyc", "6.1", "apply"]
-    assert one(spark, X.bigrams, "x") == []
+    assert one(spark, lambda c: X.bigrams(F.split(c, " ")), "x") == [] and one(spark, lambda c: X.bigrams(F.split(c, " ")), "a b c") == ["a b", "b c"]
     for f in (X.normalise_text, X.extract_date, X.extract_title, X.budget_tokens, X.slug):
         one(spark, f, None)
     assert one(spark, X.slug, "!!") == "document"
