@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import index as I
+from quillspark.session import staged
 
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 RRF_K, CANDIDATES, TOP_K = 60, 40, 8
@@ -19,24 +20,47 @@ def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "qid", k
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _numbered(df: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """key and columns with no: long numbers in the order of key, so joins and ties need no strings. Written once, read often."""
+    return staged(df.select(key, *columns).orderBy(key).withColumn("no", F.monotonically_increasing_id()), "numbered")
+
+
+#: Rows of a query side that is broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def _asked(df: DataFrame) -> DataFrame:
+    """The query side of a scoring join: broadcast if it is counted small, joined on its key otherwise."""
+    df = staged(df, "asked")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _named(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, chunk_id, score, rank) of ranked(q, no, score, rank)."""
+    return ranked.join(queries.select("qid", F.col("no").alias("q")), "q").join(docs.select("chunk_id", "no"), "no").select("qid", "chunk_id", "score", "rank")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) from queries(qid, text) and docs(chunk_id, text).
 
     Statistics cover all docs, hits only those in allowed(chunk_id). Terms count as often as the query
     has them; only positive scores are kept. Terms of queries meet the index in one equi-join.
     """
-    posts = I.postings(docs, "chunk_id", "text")
-    stats = I.doc_stats(docs, "chunk_id", "text")
-    corpus = I.corpus_stats(stats)
+    d = _numbered(docs, "chunk_id", X.bm25_tokens(F.col("text")).alias("ts"))
+    q = _numbered(queries, "qid", X.bm25_tokens(F.col("text")).alias("ts"))
+    dl = F.size("ts").cast("long")
+    corpus = I.corpus_stats(d.select(F.greatest(dl, F.lit(0)).alias("dl")))
+    posts = staged(d.select("no", dl.alias("dl"), F.explode("ts").alias("term")).groupBy("no", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     weights = I.idf(posts, corpus)
-    if allowed is not None:
-        posts = posts.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    asked = queries.select("qid", F.explode(X.bm25_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = posts.join(stats, "chunk_id").crossJoin(F.broadcast(corpus.select("avgdl")))  # one row
+    hits = posts if allowed is None else posts.join(d.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
+    asked = _asked(q.select(F.col("no").alias("q"), F.explode("ts").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")))
     part = F.col("tf") * (I.K1 + 1) / (F.col("tf") + I.K1 * (1 - I.B + I.B * F.col("dl") / F.col("avgdl")))
-    known = known.join(weights.select("term", "idf"), "term").select("term", "chunk_id", (F.col("idf") * part).alias("gain"))
-    scored = asked.join(known, "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
-    return top_k(scored.filter("score > 0"), k)
+    known = hits.crossJoin(F.broadcast(corpus.select("avgdl")))  # one row
+    known = known.join(weights.select("term", "idf"), "term").select("term", "no", (F.col("idf") * part).alias("gain"))
+    # by document, not by term: a term of every second document is spread out, and the sums need no further exchange
+    known = known.repartition("no")
+    scored = known.join(asked, "term").groupBy("q", "no").agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
+    return _named(top_k(scored.filter("score > 0"), k, query="q", key="no"), q, d)
 
 
 def bucket(token: Column) -> Column:
@@ -69,9 +93,11 @@ def hash_embedding(docs: DataFrame, key: str, text: str, chars: bool = True) ->
 
 def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): cosine of hashed word embeddings, as an equi-join on buckets."""
-    q = hash_embedding(queries, "qid", "text", chars=False).withColumnRenamed("weight", "qw")
-    d = hash_embedding(docs, "chunk_id", "text", chars=False)
-    return top_k(q.join(d, "bucket").groupBy("qid", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")).filter("score > 0"), k)
+    q, d = _numbered(queries, "qid", F.col("text")), _numbered(docs, "chunk_id", F.col("text"))
+    qe = _asked(hash_embedding(q, "no", "text", chars=False).select(F.col("no").alias("q"), "bucket", F.col("weight").alias("qw")))
+    de = hash_embedding(d, "no", "text", chars=False)
+    scored = de.join(qe, "bucket").groupBy("q", "no").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+    return _named(top_k(scored.filter("score > 0"), k, query="q", key="no"), q, d)
 
 
 def rrf(lists: dict[str, DataFrame], k: int, c: int = RRF_K) -> DataFrame:
@@ -129,4 +155,4 @@ def search(queries: DataFrame, docs: DataFrame, mode: str = "hybrid_rerank", k:
     fused = rrf({"bm25": bm25(queries, text, wide, live), "dense": sparse_dense(queries, live_text, wide)}, k if mode == "hybrid" else wide)
     if mode == "hybrid":
         return fused.select("qid", "chunk_id", "score", "rank")
-    return lexical_rerank(queries, fused, live_text, k)
+    return lexical_rerank(queries, staged(fused, "fused"), live_text, k)

@@ -11,6 +11,7 @@ from quillspark.operators import retrieval as R
 from quillspark.plans.corpus_queries import SQL_INDEX
 from quillspark.plans.text_queries import SQL_RERANK, sql_list
 from quillspark.functions import text as X
+from quillspark.session import staged
 from quillspark.sources.tables import table
 
 K, CANDIDATES = 8, 40
@@ -117,7 +118,7 @@ def query_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def macro_by_mode(spark: SparkSession, d: str) -> DataFrame:
     """Means over all judged queries for each of the four modes."""
-    judged, out = qrels(spark, d), None
+    judged, out = staged(qrels(spark, d), "qrels"), None
     for mode in R.MODES:
         run = R.search(_queries(spark, d), _docs(spark, d), mode, K)
         row = metrics.macro(metrics.per_query(judged, run)).select(F.lit(mode).alias("mode"), *[F.round(c, 5).alias(c) for c in ("precision_at_k", "recall_at_k", "ndcg_at_10", "mrr")], "queries")
