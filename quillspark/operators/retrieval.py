@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import pairwise
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +19,7 @@ from quillspark.session import staged
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 RRF_K, CANDIDATES, TOP_K = 60, 40, 8
 BUCKETS = 512
+_STOP = frozenset(X.BASE_STOP)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "qid", key: str = "chunk_id") -> DataFrame:
@@ -91,13 +99,73 @@ def hash_embedding(docs: DataFrame, key: str, text: str, chars: bool = True) ->
     return counted.select(key, "bucket", (F.col("w") / norm).alias("weight"))
 
 
+@lru_cache(1 << 18)
+def _bucket_of(gram: str) -> int:
+    return int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big") % BUCKETS
+
+
+@lru_cache(1 << 16)
+def _char_buckets(word: str) -> np.ndarray:
+    padded = f" {word} "
+    return np.array([BUCKETS + _bucket_of(padded[i : i + n]) for n in (3, 4, 5) for i in range(len(padded) - n + 1)])
+
+
+def unit_vectors(texts: Sequence[str]) -> np.ndarray:
+    """(texts, 2 * BUCKETS): hash_embedding with characters, of texts given as tokens with blanks between; zeros without tokens."""
+    at = []
+    for row, text in enumerate(texts):
+        tokens = text.split()
+        words = [t for t in tokens if t not in _STOP]
+        grams = [_bucket_of(g) for g in (*words, *map(" ".join, pairwise(words)))]
+        at.append(np.concatenate([np.array(grams, np.int64), *map(_char_buckets, tokens)]) + row * 2 * BUCKETS)
+    x = np.sqrt(np.bincount(np.concatenate(at), minlength=len(at) * 2 * BUCKETS).reshape(len(at), 2 * BUCKETS))
+    x[:, BUCKETS:] *= 0.5
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+#: Queries and documents that are scored at once.
+QUERY_BLOCK, DOC_BLOCK = 2048, 2048
+
+
+def _text_blocks(df: DataFrame, size: int, ids: str, texts: str) -> DataFrame:
+    """Blocks of up to size rows of df(no, text): numbers and tokens, which are smaller than vectors."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), size):
+                p = part.iloc[i : i + size]
+                yield pd.DataFrame({ids: [p["no"].tolist()], texts: [p["text"].tolist()]})
+
+    tokens = df.filter("text is not null").select("no", F.array_join(X.rerank_tokens(F.col("text")), " ").alias("text"))
+    return tokens.filter("text <> ''").mapInPandas(run, f"{ids} array<long>, {texts} array<string>")
+
+
 def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk_id, score, rank): cosine of hashed word embeddings, as an equi-join on buckets."""
+    """(qid, chunk_id, score, rank): cosine of hashed embeddings of words and characters.
+
+    Nearly every pair shares buckets of characters, so blocks of queries meet blocks of documents in
+    matrix products, and each meeting gives its k best. Memory is that of two blocks and their scores.
+    """
     q, d = _numbered(queries, "qid", F.col("text")), _numbered(docs, "chunk_id", F.col("text"))
-    qe = _asked(hash_embedding(q, "no", "text", chars=False).select(F.col("no").alias("q"), "bucket", F.col("weight").alias("qw")))
-    de = hash_embedding(d, "no", "text", chars=False)
-    scored = de.join(qe, "bucket").groupBy("q", "no").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    return _named(top_k(scored.filter("score > 0"), k, query="q", key="no"), q, d)
+    qb = _text_blocks(q.repartition(max(1, -(-q.count() // QUERY_BLOCK))), QUERY_BLOCK, "qids", "qtexts")
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for qids, qtexts, ids, texts in zip(part["qids"], part["qtexts"], part["ids"], part["texts"], strict=True):
+                s = unit_vectors(qtexts) @ unit_vectors(texts).T
+                place = np.rint(s * 1e6)
+                least = np.partition(place, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                r, c = np.nonzero((place >= least[:, None]) & (s > 0))  # with all ties
+                no = np.asarray(ids)[c]
+                order = np.lexsort((no, -place[r, c], r))
+                r, c, no = r[order], c[order], no[order]
+                first = np.searchsorted(r, r)
+                m = np.arange(len(r)) - first < k
+                yield pd.DataFrame({"q": np.asarray(qids)[r[m]], "no": no[m], "score": s[r[m], c[m]]})
+
+    met = qb.join(_text_blocks(d, DOC_BLOCK, "ids", "texts").hint("shuffle_replicate_nl"))
+    scored = met.mapInPandas(score, "q long, no long, score double")
+    return _named(top_k(scored, k, query="q", key="no"), q, d)
 
 
 def rrf(lists: dict[str, DataFrame], k: int, c: int = RRF_K) -> DataFrame:

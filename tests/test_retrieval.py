@@ -76,3 +76,26 @@ def test_answers_and_faithfulness(spark, corpus):
     t = spark.createDataFrame([("reported within two to six hours", "reported within ten hours or fifteen", DOCS[2][1])], "good string, bad string, p string")
     good, bad = t.select(A.lexical_support(F.col("good"), F.col("p")), A.lexical_support(F.col("bad"), F.col("p"))).first()
     assert good > 0.6 > bad
+
+
+def test_dense_takes_words_and_characters(spark, corpus):
+    queries, docs = corpus
+    inflected = spark.createDataFrame([("q5", "cyberincident reportings"), ("q6", "loan loans, LOAN"), ("q7", "the of"), ("q8", "zz 7")], "qid string, text string")
+    asked, text = queries.unionByName(inflected), docs.select("chunk_id", "text")
+    sides = [{}, {}]
+    for side, df, key in zip(sides, (asked, docs), ("qid", "chunk_id"), strict=True):
+        for r in R.hash_embedding(df, key, "text").collect():
+            side.setdefault(r[key], {})[r.bucket] = r.weight
+    got = {(r.qid, r.chunk_id): r.score for r in R.sparse_dense(asked, text, 9).collect()}
+    want = {(a, b): sum(w * y.get(i, 0) for i, w in x.items()) for a, x in sides[0].items() for b, y in sides[1].items()}
+    assert got == pytest.approx({pair: s for pair, s in want.items() if s > 0})
+    assert max((s, c) for (a, c), s in got.items() if a == "q5")[1] == "c3"
+
+
+def test_dense_ties_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(R, "DOC_BLOCK", 3)
+    docs = spark.createDataFrame([(f"c{i:02d}", "same old text" if i % 2 else f"text {i}") for i in range(20)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(f"q{i}", "same old text") for i in range(5)], "qid string, text string")
+    rows = R.sparse_dense(queries, docs, 4).collect()
+    assert {(r.qid, r["rank"], r.chunk_id) for r in rows} == {(f"q{i}", n + 1, f"c{2 * n + 1:02d}") for i in range(5) for n in range(4)}
