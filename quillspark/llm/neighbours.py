@@ -4,8 +4,8 @@ Coarse centroids and residual codebooks are fitted on a bounded sample; every us
 to its cell and coded. Rows are laid out in blocks of whole cells (a cell beyond the block size spans
 several blocks). One task scores one block's vectors as queries against one block of codes: for the
 queries that probe a cell, the asymmetric scores of its members, the query's table against centroid
-plus coded residual, come from one matrix product; the best per query are then reranked with the exact
-vectors. Blocks bound the memory of a task at any size of the collection.
+plus coded residual, come from one matrix product; every member whose score and coding error reach the
+k-th best so far is then reranked with its exact vector, so coding loses none. Blocks bound the memory of a task at any size of the collection.
 """
 
 from __future__ import annotations
@@ -37,13 +37,14 @@ class Plan:
     max_cells: int = 4096
     #: Parts of a residual; each has 256 codewords.
     parts: int = 32
-    #: Candidates a query keeps in a task before the exact rerank.
-    keep: int = 20
     block: int = 65_536
     rounds: int = 8
-    #: Neighbours below this cosine aren't wanted; slack is the coding error allowed for before the exact rerank.
+    #: Neighbours below this cosine aren't wanted.
     least: float = -1.0
-    slack: float = 0.08
+
+
+#: More than the error of a product of two unit vectors in single precision.
+ROUNDING = 1e-4
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -146,19 +147,18 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
     by = np.argsort(pc, kind="stable")
     pq, pc = pq[by], pc[by]
     bounds = np.searchsorted(pc, np.arange(len(cells) + 1))
-    floor = np.full(len(qv), plan.least - plan.slack, np.float32)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    floor = np.full(len(qv), plan.least)
+    own = np.full(len(qv), -1) if same is None else same
+    none = np.empty(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.empty(0))]
     size = 0
 
     def settle() -> None:
         nonlocal held, size
-        if not held:
-            return
-        q, x, s = _best(*(np.concatenate(z) for z in zip(*held, strict=True)), plan.keep + 1)
+        q, x, s = _best(*(np.concatenate(z) for z in zip(*held, strict=True)), plan.k)
         held, size = [(q, x, s)], 0
-        last = np.r_[q[1:] != q[:-1], True]
-        n = np.bincount(q, minlength=len(qv))
-        full = last & (n[q] > plan.keep)
+        last = np.r_[q[1:] != q[:-1], True] if len(q) else np.empty(0, bool)
+        full = last & (np.bincount(q, minlength=len(qv))[q] == plan.k)
         floor[q[full]] = np.maximum(floor[q[full]], s[full])
 
     for c in range(len(cells)):
@@ -166,29 +166,32 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
         if not len(asks):
             continue
         members = np.sort(order[starts[c] : ends[c]])
-        for a in range(0, len(asks), 2048):
-            ask = asks[a : a + 2048]
-            table = qv[ask]
-            for b in range(0, len(members), 256):
-                mem = members[b : b + 256]
-                scores = table @ index.decode(codes[mem], cell[mem]).T
-                r, m = np.nonzero(scores > floor[ask][:, None])
-                if len(r):
-                    held.append((ask[r], mem[m], scores[r, m]))
-                    size += len(r)
+        for b in range(0, len(members), 256):
+            mem = members[b : b + 256]
+            coded = index.decode(codes[mem], cell[mem])
+            # a score is off by the length of its member's coding error at most, as queries are unit vectors
+            error = np.linalg.norm(xv[mem] - coded, axis=1) + ROUNDING
+            for a in range(0, len(asks), 2048):
+                ask = asks[a : a + 2048]
+                table, wanted = qv[ask], floor[ask].astype(np.float32) - np.float32(ROUNDING)
+                near = table @ coded.T + error >= wanted[:, None]
+                if not near.any():
+                    continue
+                exact = table @ xv[mem].T
+                if len(mem) > plan.k + 1 and near.sum() > 8 * len(ask):  # one of the k + 1 best may be the query itself
+                    wanted = np.maximum(wanted, np.partition(exact, -plan.k - 1, axis=1)[:, -plan.k - 1] - np.float32(ROUNDING))
+                r, m = np.nonzero(near & (exact >= wanted[:, None]) & (own[ask][:, None] != mem[None, :]))
+                q, x = ask[r], mem[m]
+                for i in range(0, len(q), 65536):
+                    qi, xi = q[i : i + 65536], x[i : i + 65536]
+                    held.append((qi, xi, np.einsum("ij,ij->i", qv[qi].astype(np.float64), xv[xi].astype(np.float64))))
+                size += len(r)
                 if size > 1_500_000:
                     settle()
     settle()
-    if not held:
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0)
-    q, x, _ = held[0]
-    if same is not None:
-        other = same[q] != x
-        q, x = q[other], x[other]
-    exact = np.concatenate([np.einsum("ij,ij->i", qv[q[i : i + 65536]].astype(np.float64), xv[x[i : i + 65536]].astype(np.float64)) for i in range(0, len(q), 65536)] or [np.empty(0)])
-    wanted = exact >= plan.least
-    return _best(q[wanted], x[wanted], exact[wanted], plan.k)
+    q, x, s = held[0]
+    wanted = s >= plan.least
+    return q[wanted], x[wanted], s[wanted]
 
 
 _PACKED = "block int, qblock int, role string, rows binary, cells binary, codes binary, vectors binary"

@@ -156,6 +156,25 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.limit(1)).count() == 0
 
 
+def test_neighbours_of_a_large_group_of_near_copies():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + 0.15 * rng.normal(size=(1000, 64)) * np.linalg.norm(x[0]) / 8
+    x[1000:1040] = x[1000]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -2)
+    fifth = -np.partition(-s, 4, axis=1)[:, 4]
+    for plan in (neighbours.Plan(), neighbours.Plan(least=0.9)):
+        index = neighbours.Index.fit(x, 64, plan)
+        cell = index.assign(x)
+        q, n, cosine = neighbours.search_block(index, plan, x, x, cell, index.code(x, cell), 64, np.arange(3000))
+        assert (q != n).all() and cosine == pytest.approx(s[q, n])
+        hits = s[q, n] >= np.maximum(fifth[q], plan.least) - 1e-9
+        assert hits.all() and len(q) == (np.sort(s, axis=1)[:, -5:] >= plan.least).sum()
+        assert [int(i) for i in n[q == 1039]] == [1000, 1001, 1002, 1003, 1004]
+
+
 # 5 pieces ----------------------------------------------------------------------------------------
 def test_pieces_round_trip_limits_and_stability(spark):
     random.seed(6)
