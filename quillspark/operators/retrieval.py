@@ -123,6 +123,22 @@ def unit_vectors(texts: Sequence[str]) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def hashed_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """hash_embedding with characters for keys that occur once: (key, bucket, weight), counted in Arrow batches, without a shuffle."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), 1024):
+                p = part.iloc[i : i + 1024]
+                x = unit_vectors(p["tokens"].tolist())
+                at = [np.flatnonzero(row) for row in x]
+                yield pd.DataFrame({key: p[key], "bucket": at, "weight": [row[b] for row, b in zip(x, at, strict=True)]})
+
+    tokens = docs.filter(F.col(text).isNotNull()).select(key, F.array_join(X.rerank_tokens(F.col(text)), " ").alias("tokens"))
+    made = tokens.filter("tokens <> ''").mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, bucket array<long>, weight array<double>")
+    return made.select(key, F.inline(F.arrays_zip("bucket", "weight")))
+
+
 #: Queries and documents that are scored at once.
 QUERY_BLOCK, DOC_BLOCK = 2048, 2048
 

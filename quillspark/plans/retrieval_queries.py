@@ -55,6 +55,12 @@ def hash_embed_char(spark: SparkSession, d: str) -> DataFrame:
     return e.select("qid", "bucket", F.round("weight", 6).alias("weight"))
 
 
+def hash_embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole embedding, words and characters, of every chunk of any status."""
+    e = R.hashed_vectors(_docs(spark, d), "chunk_id", "text")
+    return e.select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
 def hash_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _shown(R.sparse_dense(_queries(spark, d), _live(_docs(spark, d)), K))
 
@@ -126,7 +132,7 @@ def macro_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_FUNCTIONS = (bm25_audit, bm25_topk, hash_embed_word, hash_embed_char, hash_dense_topk, dense_topk, dense_label_precision, rrf_fuse, hybrid_topk, hybrid_rerank_topk, lexical_rerank, qrels_anchor, query_metrics, macro_by_mode)
+_FUNCTIONS = (bm25_audit, bm25_topk, hash_embed_word, hash_embed_char, hash_embed_chunks, hash_dense_topk, dense_topk, dense_label_precision, rrf_fuse, hybrid_topk, hybrid_rerank_topk, lexical_rerank, qrels_anchor, query_metrics, macro_by_mode)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _TOKENS = f"list_filter({SQL_RERANK('text')}, lambda t: NOT list_contains({sql_list(X.BASE_STOP)}, t))"

@@ -99,3 +99,13 @@ def test_dense_ties_and_blocks(spark, monkeypatch):
     queries = spark.createDataFrame([(f"q{i}", "same old text") for i in range(5)], "qid string, text string")
     rows = R.sparse_dense(queries, docs, 4).collect()
     assert {(r.qid, r["rank"], r.chunk_id) for r in rows} == {(f"q{i}", n + 1, f"c{2 * n + 1:02d}") for i in range(5) for n in range(4)}
+
+
+def test_chunks_are_embedded_whole(spark, corpus, tmp_path):
+    from quillspark.plans import retrieval_queries as Q
+
+    docs = corpus[1].unionByName(spark.createDataFrame([("c6", None, "active"), ("c7", "the a 7", "active")], "chunk_id string, text string, status string"))
+    docs.selectExpr("chunk_id AS id", "text AS chunk_text", "status").write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = {(r.chunk_id, r.bucket): r.weight for r in Q.QUERIES["hash_embed_chunks"](spark, str(tmp_path)).collect()}
+    assert rows == pytest.approx({(r.chunk_id, r.bucket): r.weight for r in R.hash_embedding(docs, "chunk_id", "text").collect()}, abs=1e-6)
+    assert {k for k, b in rows if b >= R.BUCKETS} == {"c1", "c2", "c3", "c4", "c7"}
