@@ -49,13 +49,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every version and chunk with the number of other classes its class of equal shingle sets is similar to."""
-    rows, classes = revisions.classes_of(_printed(spark, sf_dir))
+    """Every version and chunk with its class, the texts of the same words, and the number of classes similar to it.
+
+    A null text is a class of its own; it and texts of fewer than three words have no links.
+    """
+    texts = _printed(spark, sf_dir)
+    rows, classes = revisions.classes_of(texts)
     pairs = revisions.similar_classes(classes)
     ends = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d")))
     links = ends.groupBy("d").agg(F.count(F.lit(1)).alias("links"))
-    first = rows.groupBy("doc").agg(F.min("id").alias("class_id"))
-    return rows.join(first, "doc").join(links, F.col("doc") == F.col("d"), "left").select("field", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    first = rows.groupBy("field", "digest").agg(F.min("id").alias("class_id"))
+    known = rows.join(first, ["field", "digest"]).join(links, F.col("doc") == F.col("d"), "left")
+    known = known.select("field", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return known.unionByName(texts.filter("text is null").select("field", "id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def _neighbours(spark: SparkSession, sf_dir: str, plan: neighbours.Plan = neighbours.Plan()) -> DataFrame:  # noqa: B008

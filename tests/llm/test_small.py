@@ -96,15 +96,27 @@ def _revision_rows(n, seed):
     return rows + [("raw", "x1", None), ("raw", "x2", ""), ("raw", "x3", "one two"), ("raw", "x4", LONG), ("raw", "x5", LONG + " end of it all")]
 
 
-@pytest.mark.parametrize("crowd", [256, 2])
-def test_revised_pairs_against_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(revisions, "CROWD", crowd)  # 2: nearly every route goes through the trees
+@pytest.mark.parametrize(("crowd", "hot_from"), [(256, 4096), (2, 4096), (256, 0)])
+def test_revised_pairs_against_brute_force(spark, crowd, hot_from):
+    # a crowd of 2: nearly every route goes through the trees; hot from 0: every shingle does
     rows = _revision_rows(60, 1)
     df = spark.createDataFrame([(*r, None) for r in rows], "field string, id string, text string, print binary")
-    got = {tuple(r) for r in revisions.revised_pairs(df).collect()}
+    got = {tuple(r) for r in revisions.revised_pairs(df, crowd=crowd, hot_from=hot_from).collect()}
     assert got == _brute(rows)
 
 
+def test_route_pairs_keep_64_bit_numbers():
+    big = (1 << 40) + np.arange(4)
+    a, b, crowds = revisions.route_pairs(np.array([7, 7, 7, 8], np.uint64), big, np.zeros(4, np.int64), np.full(4, 9), 0.6)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(big[0], big[1]), (big[0], big[2]), (big[1], big[2])} and not crowds
+
+
+def test_hot_group_of_near_copies_is_tiled(spark):
+    rows = [("raw", f"{i:04d}", "every bank shall keep one ledger of all loans and show it to the board each month " + f"note {i}") for i in range(300)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "field string, id string, text string, print binary")
+    assert revisions.revised_pairs(df, crowd=16, hot_from=100).count() == 300 * 299 // 2
+
+
 def test_revised_pairs_copies_are_left_out(spark):
     t = "the bank shall keep a ledger of all loans and report it every month to the board"
     rows = [("raw", "a", t, b"1"), ("raw", "b", t + "!", b"1"), ("raw", "c", t.replace("bank", "bаnk"), b"2"), ("raw", "d", t.upper(), b"3"), ("raw", "e", t, b"1")]
