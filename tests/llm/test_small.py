@@ -96,12 +96,12 @@ def _revision_rows(n, seed):
     return rows + [("raw", "x1", None), ("raw", "x2", ""), ("raw", "x3", "one two"), ("raw", "x4", LONG), ("raw", "x5", LONG + " end of it all")]
 
 
-@pytest.mark.parametrize(("crowd", "hot_from"), [(256, 4096), (2, 4096), (256, 0)])
-def test_revised_pairs_against_brute_force(spark, crowd, hot_from):
-    # a crowd of 2: nearly every route goes through the trees; hot from 0: every shingle does
+@pytest.mark.parametrize(("crowd", "hot_from", "block"), [(256, 4096, 1 << 18), (256, 4096, 8), (2, 4096, 8), (256, 0, 8)])
+def test_revised_pairs_against_brute_force(spark, crowd, hot_from, block):
+    # a crowd of 2: nearly every route goes through the trees; hot from 0: every shingle does; blocks of 8: many cells
     rows = _revision_rows(60, 1)
     df = spark.createDataFrame([(*r, None) for r in rows], "field string, id string, text string, print binary")
-    got = {tuple(r) for r in revisions.revised_pairs(df, crowd=crowd, hot_from=hot_from).collect()}
+    got = {tuple(r) for r in revisions.revised_pairs(df, crowd=crowd, hot_from=hot_from, block=block).collect()}
     assert got == _brute(rows)
 
 
