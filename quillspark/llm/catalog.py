@@ -78,6 +78,12 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("id", "neighbour", "rank", F.round("cosine", 6).alias("cosine"))
 
 
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the 5 nearest: 1000 vectors against brute force over all."""
+    rows = table(spark, sf_dir, "chunks").select("id", "embedding")
+    return neighbours.recall(rows, neighbours.nearest(rows))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that had to be cut."""
     chunks = table(spark, sf_dir, "chunks").select("id", "chunk_text")
@@ -150,7 +156,7 @@ canon AS (
 """
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p5_found, p5_pieces,
+    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p4_recall, p5_found, p5_pieces,
     p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_quality,
 )}
 ORACLES = {

@@ -1,11 +1,13 @@
 """Most similar vectors for every vector: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every usable vector is assigned
-to its cell and coded. Rows are laid out in blocks of whole cells (a cell beyond the block size spans
-several blocks). One task scores one block's vectors as queries against one block of codes: for the
-queries that probe a cell, the asymmetric scores of its members, the query's table against centroid
-plus coded residual, come from one matrix product; every member whose score and coding error reach the
-k-th best so far is then reranked with its exact vector, so coding loses none. Blocks bound the memory of a task at any size of the collection.
+Coarse centroids of two levels and residual codebooks are fitted on a bounded sample; every usable vector is
+assigned to its cell and coded. How many cells a query probes is measured: a bounded set of queries is compared
+with all vectors, and the probes are as many as give the recall wanted. Members are laid out in blocks of whole
+cells (a cell beyond the block size spans several); queries go, slice by slice, to the blocks that hold a cell
+they probe, and members to the slices that probe them. One task scores one slice's queries against one block:
+for the queries that probe a cell, the asymmetric scores of its members, the query's table against centroid
+plus coded residual, come from one matrix product; every member whose score and coding error reach the k-th
+best so far is reranked with its exact vector, so coding loses none. Copies of one vector are searched once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +32,29 @@ class Plan:
     k: int = 5
     #: Rows that the centroids and codebooks are fitted on at most.
     sample: int = 20_000
-    #: A query probes this share of the cells and probe_roots times the square root of their number besides:
-    #: measured recall of the 5 nearest is then above 0.9 even on vectors without structure.
-    probe_share: float = 0.08
-    probe_roots: float = 3.0
+    #: Recall of the k nearest that the probes are chosen for, and the queries compared with all vectors for that.
+    recall: float = 0.93
+    judged: int = 256
+    #: Cells grow with the square root of the vectors; beyond first_cells a second level of centroids multiplies them.
     cells_per_root: float = 5.0
-    max_cells: int = 4096
+    first_cells: int = 2048
     #: Parts of a residual; each has 256 codewords.
     parts: int = 32
-    block: int = 65_536
+    #: Members of a block and queries of a slice at most.
+    block: int = 131_072
     rounds: int = 8
-    #: Neighbours below this cosine aren't wanted.
+    #: Neighbours below this cosine are searched for like all others, but don't come out.
     least: float = -1.0
 
 
 #: More than the error of a product of two unit vectors in single precision.
-ROUNDING = 1e-4
+ROUNDING = 1e-5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.empty(len(x), np.int64)
-        half = (c * c).sum(1) / 2
-        for i in range(0, len(x), 4096):
-            near[i : i + 4096] = (x[i : i + 4096] @ c.T - half).argmax(1)
+        near = _nearest(x, c)
         n = np.bincount(near, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -63,16 +64,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 @dataclass(frozen=True)
 class Index:
-    """Coarse centroids (cells, dim) and codebooks (parts, 256, dim / parts)."""
+    """Centroids of the first level (cells, dim), of their residuals (more, dim), codebooks (parts, 256, dim / parts)."""
 
-    centroids: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
     books: np.ndarray
 
     @staticmethod
     def fit(x: np.ndarray, cells: int, plan: Plan, seed: int = 7) -> Index:
         rng = np.random.default_rng(seed)
-        centroids = _kmeans(x, cells, plan.rounds, rng)
-        left = x - centroids[(x @ centroids.T - (centroids * centroids).sum(1) / 2).argmax(1)]
+        first = _kmeans(x, min(cells, plan.first_cells), plan.rounds, rng)
+        left = x - first[_nearest(x, first)]
+        more = -(-cells // plan.first_cells)
+        second = _kmeans(left, more, plan.rounds, rng) if more > 1 else np.zeros((1, x.shape[1]), np.float32)
+        left = left - second[_nearest(left, second)]
         width = plan.dim // plan.parts
         few = left[rng.choice(len(left), min(len(left), 6000), replace=False)]
         books = np.zeros((plan.parts, 256, width), np.float32)
@@ -80,35 +85,52 @@ class Index:
             book = _kmeans(few[:, p * width : (p + 1) * width], 256, 6, rng)
             books[p, : len(book)] = book
             books[p, len(book) :] = book[0]
-        return Index(centroids, books)
+        return Index(first, second, books)
+
+    @property
+    def cells(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def centroids(self, cell: np.ndarray) -> np.ndarray:
+        return self.first[cell // len(self.second)] + self.second[cell % len(self.second)]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        half = (self.centroids * self.centroids).sum(1) / 2
-        return np.concatenate([(x[i : i + 8192] @ self.centroids.T - half).argmax(1) for i in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
+        a = _nearest(x, self.first)
+        return a * len(self.second) + _nearest(x - self.first[a], self.second)
 
     def code(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        left = x - self.centroids[cell]
+        left = x - self.centroids(cell)
         parts, _, width = self.books.shape
         codes = np.empty((len(x), parts), np.uint8)
         for p in range(parts):
-            book = self.books[p]
-            half = (book * book).sum(1) / 2
-            codes[:, p] = (left[:, p * width : (p + 1) * width] @ book.T - half).argmax(1)
+            codes[:, p] = _nearest(left[:, p * width : (p + 1) * width], self.books[p])
         return codes
 
     def decode(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
         left = self.books[np.arange(parts)[None, :], codes].reshape(len(codes), parts * width)
-        return self.centroids[cell] + left
+        return self.centroids(cell) + left
+
+    def closeness(self, x: np.ndarray) -> np.ndarray:
+        """(rows, cells): larger for nearer cells."""
+        every = self.centroids(np.arange(self.cells))
+        levels = (x @ self.first.T)[:, :, None] + (x @ self.second.T)[:, None, :]
+        return levels.reshape(len(x), -1) - (every * every).sum(1) / 2
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """(rows, n) the cells nearest to each row."""
-        scores = x @ self.centroids.T - (self.centroids * self.centroids).sum(1) / 2
-        return np.argpartition(-scores, min(n, scores.shape[1]) - 1, axis=1)[:, :n]
+        return np.argpartition(-self.closeness(x), min(n, self.cells) - 1, axis=1)[:, :n]
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    if len(c) == 1:
+        return np.zeros(len(x), np.int64)
+    half = (c * c).sum(1) / 2
+    return np.concatenate([(x[i : i + 8192] @ c.T - half).argmax(1) for i in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, v) of the rows whose vector has dim components, none null or not finite, and isn't all zero; ids once."""
+    """(id, v) of the rows whose vector has dim components, none null or not finite, and isn't all zero."""
     fine = F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e30)) & F.exists(vector, lambda e: e != 0)
     return rows.filter((F.size(vector) == dim) & fine & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
 
@@ -135,19 +157,23 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
     order = np.argsort(cell, kind="stable")
     cells, starts = np.unique(cell[order], return_index=True)
     ends = np.r_[starts[1:], len(order)]
-    which = np.full(len(index.centroids), -1)
+    which = np.full(index.cells, -1)
     which[cells] = np.arange(len(cells))
-    probe_q, probe_c = [], []
-    for i in range(0, len(qv), 8192):
-        near = which[index.probes(qv[i : i + 8192], n_probe)]
-        r, c = np.nonzero(near >= 0)
+    probe_q, probe_c, best = [], [], []
+    for i in range(0, len(qv), 1024):
+        close = index.closeness(qv[i : i + 1024])
+        cut = np.partition(close, -min(n_probe, index.cells), axis=1)[:, -min(n_probe, index.cells)]
+        here = close[:, cells]
+        r, c = np.nonzero(here >= cut[:, None])
         probe_q.append(r + i)
-        probe_c.append(near[r, c])
-    pq, pc = np.concatenate(probe_q), np.concatenate(probe_c)
+        probe_c.append(c)
+        top = here.argmax(1)
+        best.append(np.where(here[np.arange(len(here)), top] >= cut, top, -1))
+    pq, pc, best = np.concatenate(probe_q), np.concatenate(probe_c), np.concatenate(best)
     by = np.argsort(pc, kind="stable")
     pq, pc = pq[by], pc[by]
     bounds = np.searchsorted(pc, np.arange(len(cells) + 1))
-    floor = np.full(len(qv), plan.least)
+    floor = np.full(len(qv), -2.0)
     own = np.full(len(qv), -1) if same is None else same
     none = np.empty(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.empty(0))]
@@ -161,93 +187,115 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
         full = last & (np.bincount(q, minlength=len(qv))[q] == plan.k)
         floor[q[full]] = np.maximum(floor[q[full]], s[full])
 
-    for c in range(len(cells)):
-        asks = pq[bounds[c] : bounds[c + 1]]
-        if not len(asks):
-            continue
+    def visit(c: int, asks: np.ndarray) -> None:
+        nonlocal size
         members = np.sort(order[starts[c] : ends[c]])
         for b in range(0, len(members), 256):
             mem = members[b : b + 256]
             coded = index.decode(codes[mem], cell[mem])
             # a score is off by the length of its member's coding error at most, as queries are unit vectors
-            error = np.linalg.norm(xv[mem] - coded, axis=1) + ROUNDING
+            error = (np.linalg.norm(xv[mem] - coded, axis=1) + ROUNDING).astype(np.float32)
             for a in range(0, len(asks), 2048):
                 ask = asks[a : a + 2048]
-                table, wanted = qv[ask], floor[ask].astype(np.float32) - np.float32(ROUNDING)
-                near = table @ coded.T + error >= wanted[:, None]
-                if not near.any():
-                    continue
-                exact = table @ xv[mem].T
-                if len(mem) > plan.k + 1 and near.sum() > 8 * len(ask):  # one of the k + 1 best may be the query itself
-                    wanted = np.maximum(wanted, np.partition(exact, -plan.k - 1, axis=1)[:, -plan.k - 1] - np.float32(ROUNDING))
-                r, m = np.nonzero(near & (exact >= wanted[:, None]) & (own[ask][:, None] != mem[None, :]))
+                wanted = (floor[ask] - ROUNDING).astype(np.float32)
+                scores = qv[ask] @ coded.T
+                scores += error
+                near = scores >= wanted[:, None]
+                r, m = np.nonzero(near)
+                if len(r) > 8 * len(ask) and len(mem) > plan.k + 1:  # many: only the k + 1 best of this lot, one of which may be the query itself
+                    exact = qv[ask].astype(np.float64) @ xv[mem].astype(np.float64).T
+                    m = np.argpartition(-exact, plan.k, axis=1)[:, : plan.k + 1].ravel()
+                    r = np.repeat(np.arange(len(ask)), plan.k + 1)
                 q, x = ask[r], mem[m]
+                other = own[q] != x
+                q, x = q[other], x[other]
                 for i in range(0, len(q), 65536):
                     qi, xi = q[i : i + 65536], x[i : i + 65536]
-                    held.append((qi, xi, np.einsum("ij,ij->i", qv[qi].astype(np.float64), xv[xi].astype(np.float64))))
-                size += len(r)
-                if size > 1_500_000:
+                    cosine = np.einsum("ij,ij->i", qv[qi].astype(np.float64), xv[xi].astype(np.float64))
+                    keep = cosine >= floor[qi]
+                    held.append((qi[keep], xi[keep], cosine[keep]))
+                    size += int(keep.sum())
+                if size > 1_000_000:
                     settle()
+
+    # the nearest cell first: it gives each query a k-th best that spares most reranks
+    asked = np.argsort(best, kind="stable")
+    edges = np.searchsorted(best[asked], np.arange(len(cells) + 1))
+    for c in range(len(cells)):
+        if edges[c] < edges[c + 1]:
+            visit(c, asked[edges[c] : edges[c + 1]])
     settle()
-    q, x, s = held[0]
-    wanted = s >= plan.least
-    return q[wanted], x[wanted], s[wanted]
+    for c in range(len(cells)):
+        asks = pq[bounds[c] : bounds[c + 1]]
+        asks = asks[best[asks] != c]
+        if len(asks):
+            visit(c, asks)
+    settle()
+    return held[0]
+
 
+def _judged_probes(coded: DataFrame, index, queries: np.ndarray, own: np.ndarray, plan: Plan) -> int:  # noqa: ANN001
+    """Probes that find the share plan.recall of the k nearest of a bounded set of queries, which meet every vector once."""
+    k = plan.k
 
-_PACKED = "block int, qblock int, role string, rows binary, cells binary, codes binary, vectors binary"
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = (-index.value.closeness(queries)).argsort(1).argsort(1)
+        best, cells = np.full((len(queries), k), -2.0), np.zeros((len(queries), k), np.int64)
+        for part in parts:
+            u = np.frombuffer(b"".join(part["u"]), np.float32).reshape(len(part), -1)
+            s = (queries @ u.T).astype(np.float64)
+            s[own[:, None] == part["row"].to_numpy()[None, :]] = -2
+            s, c = np.concatenate([best, s], axis=1), np.concatenate([cells, np.tile(part["cell"].to_numpy(np.int64), (len(queries), 1))], axis=1)
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best, cells = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(queries)), k), "s": best.ravel(), "place": np.take_along_axis(place, cells, 1).ravel()})
 
+    found = coded.select("row", "cell", "u").mapInPandas(meet, "q int, s double, place long").filter("s > -2")
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).filter(F.col("r") <= k)
+    places = np.sort([r["place"] for r in top.select("place").collect()])  # k rows a judged query
+    return int(places[min(len(places) - 1, int(np.ceil(plan.recall * len(places))))]) + 1 if len(places) else 1
 
-def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: Plan = Plan()) -> DataFrame:  # noqa: B008
-    """(id, neighbour, rank, cosine): for every usable vector the k most similar others by cosine.
 
-    Vectors of another length, all zero, null or not finite don't count. Fewer than k come out only where
-    the probed cells hold fewer others. Equal cosines go by place in the stored table. Recall against
-    brute force is a test; probe_share = 1 makes the candidate search visit every cell.
-    """
-    spark = rows.sparkSession
-    dim = plan.dim
-    base = staged(usable_vectors(rows, key, vector, dim).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n = base.count()
-    out = "row long, neighbour long, cosine double"
-    ids = base.select("row", "id")
+_PACKED = "block int, slice int, role string, rows binary, cells binary, codes binary, vectors binary"
+_NAMES = [f.split()[0] for f in _PACKED.split(", ")]
+
+
+def search(reps: DataFrame, plan: Plan) -> DataFrame:
+    """(row, neighbour, cosine): candidates among which are the k best probed ones of every vector of reps(row, mark, u), which are distinct."""
+    spark = reps.sparkSession
+    dim, out = plan.dim, "row long, neighbour long, cosine double"
+    n = reps.count()
     if n < 2:
-        return ids.select("id", F.col("id").alias("neighbour"), F.lit(1).alias("rank"), F.lit(0.0).alias("cosine")).limit(0)
-    # The fit sees a bounded sample: the rows with the smallest hashes.
-    share = min(1.0, 2.0 * plan.sample / n)
-    few = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id"), "row").limit(plan.sample)
-    x = _matrix(few.toPandas()["v"], dim)
-    x = x if len(x) else _matrix(base.limit(plan.sample).toPandas()["v"], dim)
-    cells = int(min(plan.max_cells, max(1, 2 ** round(np.log2(plan.cells_per_root * np.sqrt(n))))))
-    index = Index.fit(x, min(cells, len(x)), plan)
-    cells = len(index.centroids)
-    n_probe = max(1, min(cells, int(np.ceil(plan.probe_share * cells + plan.probe_roots * np.sqrt(cells)))))
-    shared = spark.sparkContext.broadcast(index)  # at most max_cells x dim floats and the codebooks
+        return spark.createDataFrame([], out)
+    few = reps.orderBy("mark").limit(plan.sample).select("row", "u").toPandas()  # a bounded sample: marks are hashes
+    x = np.frombuffer(b"".join(few["u"]), np.float32).reshape(-1, dim)
+    index = Index.fit(x, min(int(max(1, plan.cells_per_root * np.sqrt(n))), len(x) * 64), plan)
+    shared = spark.sparkContext.broadcast(index)  # first_cells x dim floats, a second level and the codebooks
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            v = _matrix(part["v"], dim)
+            v = np.frombuffer(b"".join(part["u"]), np.float32).reshape(len(part), dim)
             cell = shared.value.assign(v)
-            yield pd.DataFrame({"row": part["row"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in shared.value.code(v, cell)], "u": [r.tobytes() for r in v]})
-
-    coded = staged(base.select("row", "v").mapInPandas(assign, "row long, cell int, code binary, u binary"), "coded")
-    sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row per cell, max_cells at most
-
-    # cells in the order of their nearest neighbours, cut into blocks; a larger cell spans blocks of its own
-    spread = np.linalg.svd(index.centroids - index.centroids.mean(0), full_matrices=False)[2][0]
-    walk = [int(c) for c in np.argsort(index.centroids @ spread) if int(c) in sizes]
-    first, pieces, block, room = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0, plan.block
-    for c in walk:
-        if sizes[c] > room and room < plan.block:
-            block, room = block + 1, plan.block
-        first[c], pieces[c] = block, -(-sizes[c] // plan.block)
-        block, room = (block, room - sizes[c]) if pieces[c] == 1 else (block + int(pieces[c]), plan.block)
-    of_cell = spark.sparkContext.broadcast((first, pieces))
-
+            yield pd.DataFrame({"row": part["row"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in shared.value.code(v, cell)], "u": part["u"]})
+
+    coded = staged(reps.select("row", "u").mapInPandas(assign, "row long, cell int, code binary, u binary"), "coded")
+    n_probe = _judged_probes(coded, shared, x[: plan.judged], few["row"].to_numpy(np.int64)[: plan.judged], plan)
+    sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row a cell: some square roots of n
+
+    # blocks as large as memory allows, but enough of them, and of slices, to keep all cores busy
+    side = int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    limit = int(max(1, min(plan.block, -(-n // side))))
+    # cells in the order of their projection, cut into blocks; a larger cell spans blocks of its own
+    every = index.centroids(np.arange(index.cells))
+    spread = np.linalg.svd(index.first - index.first.mean(0), full_matrices=False)[2][0]
+    first, pieces, block, room = np.zeros(index.cells, np.int64), np.ones(index.cells, np.int64), 0, limit
+    for c in (int(c) for c in np.argsort(every @ spread) if int(c) in sizes):
+        if sizes[c] > room and room < limit:
+            block, room = block + 1, limit
+        first[c], pieces[c] = block, -(-sizes[c] // limit)
+        block, room = (block, room - sizes[c]) if pieces[c] == 1 else (block + int(pieces[c]), limit)
     blocks = int((first + pieces).max())
-    reach = np.zeros((cells, blocks), bool)
-    for c in sizes:
-        reach[c, first[c] : first[c] + pieces[c]] = True
-    reached = spark.sparkContext.broadcast(reach)
+    of_cell = spark.sparkContext.broadcast((first, pieces))  # two numbers a cell
 
     def _parts(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         first, pieces = of_cell.value
@@ -255,6 +303,28 @@ def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: P
         u = np.frombuffer(b"".join(part["u"]), np.float32).reshape(len(part), dim)
         return row, cell, u, first[cell] + row % pieces[cell]
 
+    def _seen(u: np.ndarray) -> np.ndarray:
+        """(rows, blocks): which blocks hold a cell that the row probes."""
+        first, pieces = of_cell.value
+        sees = np.zeros((len(u), blocks), bool)
+        for i in range(0, len(u), 1024):
+            near = shared.value.probes(u[i : i + 1024], n_probe)
+            at = np.arange(i, i + len(near))[:, None]
+            for more in range(int(pieces.max())):
+                held = pieces[near] > more
+                sees[np.broadcast_to(at, near.shape)[held], (first[near] + more)[held]] = True
+        return sees
+
+    def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = np.zeros((blocks, blocks), bool)
+        for part in batches:
+            _, _, u, own = _parts(part)
+            sees = _seen(u)
+            for s in np.unique(own):
+                met[s] |= sees[own == s].any(0)
+        s, b = np.nonzero(met)
+        yield pd.DataFrame({"block": b, "slice": s})
+
     def as_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             row, cell, u, own = _parts(part)
@@ -265,26 +335,16 @@ def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: P
     def as_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             row, _, u, own = _parts(part)
-            near = shared.value.probes(u, n_probe)
-            sees = np.zeros((len(part), blocks), bool)
-            for j in range(near.shape[1]):
-                sees |= reached.value[near[:, j]]
-            lines = []
-            for b in np.unique(own):
-                for t in range(blocks):
-                    s = (own == b) & sees[:, t]
-                    if s.any():
-                        lines.append((int(t), int(b), "q", row[s].tobytes(), b"", b"", u[s].tobytes()))
-            yield pd.DataFrame(lines, columns=[f.split()[0] for f in _PACKED.split(", ")])
-
-    queries = coded.mapInPandas(as_queries, _PACKED)
-    members = coded.mapInPandas(as_members, "block int, role string, rows binary, cells binary, codes binary, vectors binary")
-    # every block of queries meets every block of members; the meetings without a probe hold no query and end at once
-    members = members.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*[f.split()[0] for f in _PACKED.split(", ")])
-    tasks = queries.unionByName(members)
+            sees = _seen(u)
+            lines = [(int(t), int(s), "q", row[m].tobytes(), b"", b"", u[m].tobytes()) for s in np.unique(own) for t in range(blocks) for m in [(own == s) & sees[:, t]] if m.any()]
+            yield pd.DataFrame(lines, columns=_NAMES)
+
+    # members go only where a query of the slice probes their block
+    asked = staged(coded.select("row", "cell", "u").mapInPandas(meetings, "block int, slice int").distinct(), "meetings")
+    members = coded.mapInPandas(as_members, "block int, role string, rows binary, cells binary, codes binary, vectors binary").join(asked, "block").select(*_NAMES)
+    queries = coded.select("row", "cell", "u").mapInPandas(as_queries, _PACKED)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        index = shared.value
         q, m = part[part["role"] == "q"], part[part["role"] == "x"]
         if not len(q) or not len(m):
             return pd.DataFrame({"row": np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "cosine": np.empty(0)})
@@ -296,17 +356,69 @@ def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: P
         xrow, xv, cell, codes = xrow[by], xv[by], cell[by], codes[by]
         at = np.searchsorted(xrow, qrow)
         same = np.where(xrow[np.minimum(at, len(xrow) - 1)] == qrow, at, -1)
-        a, b, s = search_block(index, plan, qv, xv, cell, codes, n_probe, same)
+        a, b, s = search_block(shared.value, plan, qv, xv, cell, codes, n_probe, same)
         return pd.DataFrame({"row": qrow[a], "neighbour": xrow[b], "cosine": s})
 
-    found = tasks.groupBy("block", "qblock").applyInPandas(solve, out)
+    return queries.unionByName(members).groupBy("block", "slice").applyInPandas(solve, out)
+
+
+def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """(id, neighbour, rank, cosine): for every usable vector the k most similar others by cosine.
+
+    Vectors of another length, all zero, null or not finite don't count. Copies of a vector, also at another
+    length, are searched once and are neighbours of each other; a repeated id counts as another row. Fewer than
+    k come out only where the probed cells hold fewer others, or below plan.least. Equal cosines go by place in
+    the stored table. Recall against brute force is a query (p4_recall) and a test.
+    """
+    k = plan.k
+    base = usable_vectors(rows, key, vector, plan.dim).withColumn("row", F.monotonically_increasing_id())
+    kind = dict(base.dtypes)["id"]
+
+    def unit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            u = [r.tobytes() for r in _matrix(part["v"], plan.dim)]
+            yield pd.DataFrame({"row": part["row"], "id": part["id"], "mark": [xxhash.xxh3_128_digest(r) for r in u], "u": u})
+
+    units = staged(base.mapInPandas(unit, f"row long, id {kind}, mark binary, u binary"), "vectors")
+    # the first k + 1 rows of each vector are all that anyone's neighbours can name
+    same = Window.partitionBy("mark")
+    few = units.withColumn("copy", F.row_number().over(same.orderBy("row"))).filter(F.col("copy") <= k + 1)
+    few = staged(few.withColumn("rep", F.min("row").over(same)).withColumn("u", F.when(F.col("copy") == 1, F.col("u"))), "copies")
+    found = search(few.filter("copy = 1").select("row", "mark", "u"), plan)
     best = Window.partitionBy("row").orderBy(F.desc("cosine"), "neighbour")
-    top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= plan.k)
-    return (
-        top.join(ids, "row")
-        .join(ids.select(F.col("row").alias("neighbour"), F.col("id").alias("nid")), "neighbour")
-        .select("id", F.col("nid").alias("neighbour"), "rank", "cosine")
-    )
+    found = found.withColumn("r", F.row_number().over(best)).filter((F.col("r") <= k) & (F.col("cosine") >= plan.least)).select(F.col("row").alias("rep"), F.col("neighbour").alias("of"), "cosine")
+    names = few.select(F.col("rep").alias("of"), F.col("row").alias("nrow"), F.col("id").alias("neighbour"))
+    lists = found.join(names, "of").unionByName(names.withColumn("rep", F.col("of")).withColumn("cosine", F.lit(1.0)))
+    first = lambda *by: Window.partitionBy(*by).orderBy(F.desc("cosine"), "nrow")
+    lists = lists.withColumn("r", F.row_number().over(first("rep"))).filter(F.col("r") <= k + 1).select("rep", "nrow", "neighbour", "cosine")
+    # rows beyond the first k + 1 copies of a vector
+    rest = units.select("row", "id", "mark").join(few.filter(F.col("copy") == k + 1).select("mark", "rep", F.col("row").alias("last")), "mark").filter("row > last")
+    every = few.select("row", "id", "rep").unionByName(rest.select("row", "id", "rep"))
+    out = every.join(lists, "rep").filter("row <> nrow").withColumn("rank", F.row_number().over(first("row")))
+    return out.filter(F.col("rank") <= k).select("id", "neighbour", "rank", "cosine")
+
+
+def recall(rows: DataFrame, neighbours: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, of: int = 1000) -> DataFrame:
+    """One row (queries, wanted, found, recall): of rows with the smallest hashes of their id, of at most, the share of their k
+    nearest by brute force over all rows that neighbours(id, cosine) reaches. Cosines decide, so ties count as found."""
+    usable = usable_vectors(rows, key, vector, dim)
+    asked = usable.orderBy(F.xxhash64("id"), "id").limit(of).toPandas()
+    ids, q = asked["id"].tolist(), _matrix(asked["v"], dim)
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(q), k + 1), -2.0)
+        for part in parts:
+            if len(part):
+                best = -np.sort(-np.concatenate([best, (q @ _matrix(part["v"], dim).T).astype(np.float64)], axis=1), axis=1)[:, : k + 1]
+        yield pd.DataFrame({"id": np.repeat(np.array(ids, object), k + 1), "s": best.ravel()})
+
+    true = usable.mapInPandas(meet, f"id {dict(usable.dtypes)['id']}, s double").filter("s > -2") if len(q) else usable.select("id", F.lit(0.0).alias("s")).limit(0)
+    # the best of all is the query itself
+    kth = true.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s")))).filter(F.col("r").between(2, k + 1))
+    kth = kth.groupBy("id").agg(F.count(F.lit(1)).alias("wanted"), F.min("s").alias("kth"))
+    got = neighbours.join(kth, "id").groupBy("id").agg(F.count_if(F.col("cosine") >= F.col("kth") - 1e-5).alias("found"))
+    every = kth.join(got, "id", "left").agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    return every.withColumn("recall", F.round(F.coalesce(F.try_divide("found", "wanted"), F.lit(1.0)), 4))
 
 
 def close_pairs(neighbours: DataFrame, least: float) -> DataFrame:

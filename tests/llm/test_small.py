@@ -177,14 +177,24 @@ def test_neighbours_of_a_large_group_of_near_copies():
     s = x.astype(np.float64) @ x.astype(np.float64).T
     np.fill_diagonal(s, -2)
     fifth = -np.partition(-s, 4, axis=1)[:, 4]
-    for plan in (neighbours.Plan(), neighbours.Plan(least=0.9)):
+    for first_cells in (2048, 16):
+        plan = neighbours.Plan(first_cells=first_cells)
         index = neighbours.Index.fit(x, 64, plan)
         cell = index.assign(x)
-        q, n, cosine = neighbours.search_block(index, plan, x, x, cell, index.code(x, cell), 64, np.arange(3000))
+        q, n, cosine = neighbours.search_block(index, plan, x, x, cell, index.code(x, cell), index.cells, np.arange(3000))
         assert (q != n).all() and cosine == pytest.approx(s[q, n])
-        hits = s[q, n] >= np.maximum(fifth[q], plan.least) - 1e-9
-        assert hits.all() and len(q) == (np.sort(s, axis=1)[:, -5:] >= plan.least).sum()
-        assert [int(i) for i in n[q == 1039]] == [1000, 1001, 1002, 1003, 1004]
+        assert (np.bincount(q) == 5).all() and (s[q, n] >= fifth[q] - 1e-9).all()
+
+
+def test_neighbours_of_copies_and_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 64)).astype(np.float32)
+    x[:150] = x[0]
+    rows = [(f"{i:03d}", [float(v) * (1 + i % 2) for v in x[i]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    got = neighbours.nearest(df, plan=neighbours.Plan(block=50, recall=1.0, judged=400))
+    assert got.count() == 2000 and got.filter("id < '150' and cosine < 0.99999").count() == 0
+    assert neighbours.recall(df, got).collect()[0].recall == 1.0
 
 
 # 5 pieces ----------------------------------------------------------------------------------------
