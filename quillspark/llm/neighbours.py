@@ -49,6 +49,10 @@ class Plan:
 
 #: More than the error of a product of two unit vectors in single precision.
 ROUNDING = 1e-5
+#: More than the difference of a closeness computed among other cells.
+REACH = 1e-5
+#: Row numbers that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -75,7 +79,7 @@ class Index:
         rng = np.random.default_rng(seed)
         first = _kmeans(x, min(cells, plan.first_cells), plan.rounds, rng)
         left = x - first[_nearest(x, first)]
-        more = -(-cells // plan.first_cells)
+        more = max(1, round(cells / plan.first_cells))
         second = _kmeans(left, more, plan.rounds, rng) if more > 1 else np.zeros((1, x.shape[1]), np.float32)
         left = left - second[_nearest(left, second)]
         width = plan.dim // plan.parts
@@ -111,15 +115,15 @@ class Index:
         left = self.books[np.arange(parts)[None, :], codes].reshape(len(codes), parts * width)
         return self.centroids(cell) + left
 
-    def closeness(self, x: np.ndarray) -> np.ndarray:
-        """(rows, cells): larger for nearer cells."""
-        every = self.centroids(np.arange(self.cells))
+    def closeness(self, x: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+        """(rows, cells): larger for nearer cells; of all cells, or of some."""
+        every = self.centroids(np.arange(self.cells) if cells is None else cells)
+        half = (every * every).sum(1) / 2
+        if cells is not None or len(self.second) == 1:
+            return x @ every.T - half
         levels = (x @ self.first.T)[:, :, None] + (x @ self.second.T)[:, None, :]
-        return levels.reshape(len(x), -1) - (every * every).sum(1) / 2
+        return levels.reshape(len(x), -1) - half
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """(rows, n) the cells nearest to each row."""
-        return np.argpartition(-self.closeness(x), min(n, self.cells) - 1, axis=1)[:, :n]
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -142,33 +146,29 @@ def _matrix(values: pd.Series, dim: int) -> np.ndarray:
 
 
 def _best(q: np.ndarray, x: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keep best x of each q, best first; of equal scores the smaller x."""
-    order = np.lexsort((x, -s, q))
+    """The keep best x of each q, best first."""
+    order = np.argsort(4.0 * q - s)  # cosines are at most 1: queries stay apart
     q, x, s = q[order], x[order], s[order]
-    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.empty(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else q
-    rank = np.arange(len(q)) - start
-    m = rank < keep
+    m = np.arange(len(q)) - np.searchsorted(q, q) < keep
     return q[m], x[m], s[m]
 
 
-def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell: np.ndarray, codes: np.ndarray, n_probe: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, cosine) of the k best members for each query. same: for each query its own place among the members, or -1."""
+def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell: np.ndarray, codes: np.ndarray, reach: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of the k best members for each query, out of the cells as close as reach.
+
+    same: for each query its own place among the members, or -1.
+    """
     order = np.argsort(cell, kind="stable")
     cells, starts = np.unique(cell[order], return_index=True)
     ends = np.r_[starts[1:], len(order)]
-    which = np.full(index.cells, -1)
-    which[cells] = np.arange(len(cells))
     probe_q, probe_c, best = [], [], []
-    for i in range(0, len(qv), 1024):
-        close = index.closeness(qv[i : i + 1024])
-        cut = np.partition(close, -min(n_probe, index.cells), axis=1)[:, -min(n_probe, index.cells)]
-        here = close[:, cells]
-        r, c = np.nonzero(here >= cut[:, None])
-        probe_q.append(r + i)
-        probe_c.append(c)
+    for i in range(0, len(qv), 2048):
+        here = index.closeness(qv[i : i + 2048], cells)
+        hit = np.flatnonzero((here >= reach[i : i + 2048, None]).ravel())
+        probe_q.append((hit // len(cells) + i).astype(np.int32))
+        probe_c.append((hit % len(cells)).astype(np.int32))
         top = here.argmax(1)
-        best.append(np.where(here[np.arange(len(here)), top] >= cut, top, -1))
+        best.append(np.where(here[np.arange(len(here)), top] >= reach[i : i + 2048], top, -1))
     pq, pc, best = np.concatenate(probe_q), np.concatenate(probe_c), np.concatenate(best)
     by = np.argsort(pc, kind="stable")
     pq, pc = pq[by], pc[by]
@@ -200,8 +200,8 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
                 wanted = (floor[ask] - ROUNDING).astype(np.float32)
                 scores = qv[ask] @ coded.T
                 scores += error
-                near = scores >= wanted[:, None]
-                r, m = np.nonzero(near)
+                hit = np.flatnonzero((scores >= wanted[:, None]).ravel())
+                r, m = hit // len(mem), hit % len(mem)
                 if len(r) > 8 * len(ask) and len(mem) > plan.k + 1:  # many: only the k + 1 best of this lot, one of which may be the query itself
                     exact = qv[ask].astype(np.float64) @ xv[mem].astype(np.float64).T
                     m = np.argpartition(-exact, plan.k, axis=1)[:, : plan.k + 1].ravel()
@@ -215,7 +215,7 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
                     keep = cosine >= floor[qi]
                     held.append((qi[keep], xi[keep], cosine[keep]))
                     size += int(keep.sum())
-                if size > 1_000_000:
+                if size > 500_000:
                     settle()
 
     # the nearest cell first: it gives each query a k-th best that spares most reranks
@@ -242,12 +242,14 @@ def _judged_probes(coded: DataFrame, index, queries: np.ndarray, own: np.ndarray
         place = (-index.value.closeness(queries)).argsort(1).argsort(1)
         best, cells = np.full((len(queries), k), -2.0), np.zeros((len(queries), k), np.int64)
         for part in parts:
-            u = np.frombuffer(b"".join(part["u"]), np.float32).reshape(len(part), -1)
-            s = (queries @ u.T).astype(np.float64)
-            s[own[:, None] == part["row"].to_numpy()[None, :]] = -2
-            s, c = np.concatenate([best, s], axis=1), np.concatenate([cells, np.tile(part["cell"].to_numpy(np.int64), (len(queries), 1))], axis=1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            best, cells = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+            for i in range(0, len(part), 2048):
+                few = part.iloc[i : i + 2048]
+                s = queries @ np.frombuffer(b"".join(few["u"]), np.float32).reshape(len(few), -1).T
+                s[own[:, None] == few["row"].to_numpy()[None, :]] = -2
+                top = np.argpartition(-s, min(k, len(few)) - 1, axis=1)[:, :k]
+                s, c = np.concatenate([best, np.take_along_axis(s, top, 1)], axis=1), np.concatenate([cells, few["cell"].to_numpy(np.int64)[top]], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, cells = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
         yield pd.DataFrame({"q": np.repeat(np.arange(len(queries)), k), "s": best.ravel(), "place": np.take_along_axis(place, cells, 1).ravel()})
 
     found = coded.select("row", "cell", "u").mapInPandas(meet, "q int, s double, place long").filter("s > -2")
@@ -283,8 +285,8 @@ def search(reps: DataFrame, plan: Plan) -> DataFrame:
     sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row a cell: some square roots of n
 
     # blocks as large as memory allows, but enough of them, and of slices, to keep all cores busy
-    side = int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))
-    limit = int(max(1, min(plan.block, -(-n // side))))
+    side = int(np.ceil(np.sqrt(1.5 * spark.sparkContext.defaultParallelism)))
+    limit = int(max(1, min(plan.block, -(-21 * n // (20 * side)))))
     # cells in the order of their projection, cut into blocks; a larger cell spans blocks of its own
     every = index.centroids(np.arange(index.cells))
     spread = np.linalg.svd(index.first - index.first.mean(0), full_matrices=False)[2][0]
@@ -303,23 +305,27 @@ def search(reps: DataFrame, plan: Plan) -> DataFrame:
         u = np.frombuffer(b"".join(part["u"]), np.float32).reshape(len(part), dim)
         return row, cell, u, first[cell] + row % pieces[cell]
 
-    def _seen(u: np.ndarray) -> np.ndarray:
-        """(rows, blocks): which blocks hold a cell that the row probes."""
-        first, pieces = of_cell.value
-        sees = np.zeros((len(u), blocks), bool)
+    at_home = np.zeros((blocks, index.cells), bool)
+    for c in sizes:
+        at_home[first[c] : first[c] + pieces[c], c] = True
+    home = spark.sparkContext.broadcast([np.flatnonzero(h) for h in at_home])  # the cells of each block
+
+    def _seen(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far each row reaches, and (rows, blocks): which blocks hold a cell within that."""
+        sees, reach = np.zeros((len(u), blocks), bool), np.empty(len(u), np.float32)
         for i in range(0, len(u), 1024):
-            near = shared.value.probes(u[i : i + 1024], n_probe)
-            at = np.arange(i, i + len(near))[:, None]
-            for more in range(int(pieces.max())):
-                held = pieces[near] > more
-                sees[np.broadcast_to(at, near.shape)[held], (first[near] + more)[held]] = True
-        return sees
+            close = shared.value.closeness(u[i : i + 1024])
+            n = min(n_probe, close.shape[1])
+            reach[i : i + 1024] = np.partition(close, close.shape[1] - n, axis=1)[:, close.shape[1] - n] - np.float32(REACH)
+            for b, c in enumerate(home.value):
+                sees[i : i + 1024, b] = close[:, c].max(1) >= reach[i : i + 1024]
+        return reach, sees
 
     def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = np.zeros((blocks, blocks), bool)
         for part in batches:
             _, _, u, own = _parts(part)
-            sees = _seen(u)
+            sees = _seen(u)[1]
             for s in np.unique(own):
                 met[s] |= sees[own == s].any(0)
         s, b = np.nonzero(met)
@@ -335,8 +341,8 @@ def search(reps: DataFrame, plan: Plan) -> DataFrame:
     def as_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             row, _, u, own = _parts(part)
-            sees = _seen(u)
-            lines = [(int(t), int(s), "q", row[m].tobytes(), b"", b"", u[m].tobytes()) for s in np.unique(own) for t in range(blocks) for m in [(own == s) & sees[:, t]] if m.any()]
+            reach, sees = _seen(u)
+            lines = [(int(t), int(s), "q", row[m].tobytes(), reach[m].tobytes(), b"", u[m].tobytes()) for s in np.unique(own) for t in range(blocks) for m in [(own == s) & sees[:, t]] if m.any()]
             yield pd.DataFrame(lines, columns=_NAMES)
 
     # members go only where a query of the slice probes their block
@@ -356,7 +362,7 @@ def search(reps: DataFrame, plan: Plan) -> DataFrame:
         xrow, xv, cell, codes = xrow[by], xv[by], cell[by], codes[by]
         at = np.searchsorted(xrow, qrow)
         same = np.where(xrow[np.minimum(at, len(xrow) - 1)] == qrow, at, -1)
-        a, b, s = search_block(shared.value, plan, qv, xv, cell, codes, n_probe, same)
+        a, b, s = search_block(shared.value, plan, qv, xv, cell, codes, join(q["cells"], np.float32), same)
         return pd.DataFrame({"row": qrow[a], "neighbour": xrow[b], "cosine": s})
 
     return queries.unionByName(members).groupBy("block", "slice").applyInPandas(solve, out)
@@ -382,9 +388,13 @@ def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: P
     units = staged(base.mapInPandas(unit, f"row long, id {kind}, mark binary, u binary"), "vectors")
     # the first k + 1 rows of each vector are all that anyone's neighbours can name
     same = Window.partitionBy("mark")
-    few = units.withColumn("copy", F.row_number().over(same.orderBy("row"))).filter(F.col("copy") <= k + 1)
-    few = staged(few.withColumn("rep", F.min("row").over(same)).withColumn("u", F.when(F.col("copy") == 1, F.col("u"))), "copies")
-    found = search(few.filter("copy = 1").select("row", "mark", "u"), plan)
+    few = units.select("row", "id", "mark").withColumn("copy", F.row_number().over(same.orderBy("row"))).filter(F.col("copy") <= k + 1)
+    few = staged(few.withColumn("rep", F.min("row").over(same)), "copies")
+    # copies are few as a rule: then the vectors needn't be shuffled to leave them out
+    copies = units.select("row", "mark").join(few.filter("copy = 2").select("mark", "rep"), "mark").filter("row <> rep").select("row")
+    copies = staged(copies, "spare")
+    reps = units.select("row", "mark", "u").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti")
+    found = search(reps, plan)
     best = Window.partitionBy("row").orderBy(F.desc("cosine"), "neighbour")
     found = found.withColumn("r", F.row_number().over(best)).filter((F.col("r") <= k) & (F.col("cosine") >= plan.least)).select(F.col("row").alias("rep"), F.col("neighbour").alias("of"), "cosine")
     names = few.select(F.col("rep").alias("of"), F.col("row").alias("nrow"), F.col("id").alias("neighbour"))

@@ -181,7 +181,7 @@ def test_neighbours_of_a_large_group_of_near_copies():
         plan = neighbours.Plan(first_cells=first_cells)
         index = neighbours.Index.fit(x, 64, plan)
         cell = index.assign(x)
-        q, n, cosine = neighbours.search_block(index, plan, x, x, cell, index.code(x, cell), index.cells, np.arange(3000))
+        q, n, cosine = neighbours.search_block(index, plan, x, x, cell, index.code(x, cell), np.full(3000, -9, np.float32), np.arange(3000))
         assert (q != n).all() and cosine == pytest.approx(s[q, n])
         assert (np.bincount(q) == 5).all() and (s[q, n] >= fifth[q] - 1e-9).all()
 
