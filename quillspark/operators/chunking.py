@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import accumulate, groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,89 +79,72 @@ def heading(line: str) -> tuple[int, str] | None:
     return (1, s) if _NAMED.match(s) or _CAPS.match(s) and s[-1] not in ".," else None
 
 
-def _blocks(text: str) -> list[tuple[str, tuple[str, ...], list[str]]]:
-    """(kind, section path, lines) in order; kind is prose or table."""
-    out: list[tuple[str, tuple[str, ...], list[str]]] = []
+def _pieces(text: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
+    """(kind, section path, body) in order; kind is prose or table.
+
+    A heading, either table mark, and a change between lines with bars and others each begin a new piece;
+    blank lines belong to the piece they follow.
+    """
     path: tuple[str, ...] = ()
-    marked = fresh = False
-
-    def add(kind: str, line: str) -> None:
-        nonlocal fresh
-        if fresh or not out or out[-1][0] != kind or out[-1][1] != path:
-            out.append((kind, path, []))
-        out[-1][2].append(line)
-        fresh = False
-
-    for line in text.split("\n"):
-        s = line.strip()
-        if s == "[TABLE]":
-            marked = fresh = True
-        elif s == "[/TABLE]":
-            marked, fresh = False, True
-        elif marked or line.count("|") >= 2:
-            add("table", line)
-        elif not s:
-            if out and out[-1][0] == "prose":
-                add("prose", "")
-        else:
-            if found := heading(line):
-                level, title = found
-                path = (*path[: level - 1], title)
-            add("prose", line)
-    return [b for b in out if any(x.strip() for x in b[2])]
+    kind, marked, held = "prose", False, []
+    for line in map(str.rstrip, [*text.split("\n"), "[/TABLE]"]):  # a last mark ends the last piece
+        opens, closes = "[TABLE]" in line, "[/TABLE]" in line
+        bars = not marked and line.count("|") >= 2
+        title = None if marked or bars else heading(line)
+        turn = bars != (kind == "table") and not marked and bool(line)
+        if opens or closes or title or turn:
+            if body := "\n".join(held).strip():
+                yield kind, path, body
+            held = []
+        if opens or closes:
+            kind, marked = ("table", True) if opens else ("prose", False)
+            continue
+        if title:
+            path = (*path[: title[0] - 1], title[1])
+        if turn or title:
+            kind = "table" if bars else "prose"
+        held.append(line)
+
+
+def _filled(sizes: list[int], room: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items, each as long as its sizes fit in room; an item beyond room is a range of its own."""
+    ends, at = list(accumulate(sizes, initial=0)), 0
+    while at < len(sizes):
+        end = max(at + 1, bisect_right(ends, ends[at] + room) - 1)
+        yield at, end
+        at = end
 
 
 def structure_aware(text: str, size: int = CHUNK_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> list[Chunk]:
-    """Chunks along headings with their section path; a table is a chunk of its own; small prose joins the prose before it."""
-    chunks: list[Chunk] = []
-
-    def make(body: str, kind: str, path: tuple[str, ...]) -> None:
-        ref = " > ".join(path)
-        chunks.append((f"[Section: {ref}]\n{body}" if ref else body, kind, ref or None))
-
-    def long(body: str, path: tuple[str, ...]) -> None:
-        held, total = [], 0
-        for paragraph in filter(None, map(str.strip, _PARAGRAPH.split(body))):
-            n = count_tokens(paragraph)
-            if held and total + n > size:
-                make("\n\n".join(held), "prose", path)
-                held, total = [], 0
-            if n > size:
-                for window in _windows(paragraph.split(), size, size - min(overlap, size - 1)):
-                    make(window, "prose", path)
+    """Chunks along headings with their section path; a table is a chunk of its own; small prose joins the prose before it.
+
+    Pieces of prose share a chunk while they fit, under the path of the first; a larger one is filled up by its
+    paragraphs, and a paragraph beyond the size falls into windows of words.
+    """
+    step = size - min(overlap, size - 1)
+
+    def divided(body: str) -> Iterator[str]:
+        paragraphs = [p for p in map(str.strip, _PARAGRAPH.split(body)) if p]
+        counts = list(map(count_tokens, paragraphs))
+        for i, j in _filled(counts, size):
+            if counts[i] > size:
+                yield from _windows(paragraphs[i].split(), size, step)
             else:
-                held.append(paragraph)
-                total += n
-        if held:
-            make("\n\n".join(held), "prose", path)
-
-    for is_table, run in groupby(_blocks(text), key=lambda b: b[0] == "table"):
-        held, total, first = [], 0, ()
-        for _, path, lines in run:
-            body = "\n".join(lines).strip()
-            n = count_tokens(body)
-            if is_table:
-                make(body, "table", path)
-                continue
-            if held and total + n > size:
-                make("\n".join(held), "prose", first)
-                held, total = [], 0
-            if n > size:
-                long(body, path)
-                continue
-            if not held:
-                first = path
-            held.append(body)
-            total += n
-        if held:
-            make("\n".join(held), "prose", first)
-    merged: list[Chunk] = []
-    for body, kind, ref in chunks:
-        if merged and kind == merged[-1][1] == "prose" and count_tokens(body) < least:
-            merged[-1] = (merged[-1][0] + "\n" + body, kind, merged[-1][2])
-        else:
-            merged.append((body, kind, ref))
-    return merged
+                yield "\n\n".join(paragraphs[i:j])
+
+    made: list[Chunk] = []
+    for kind, run in groupby(_pieces(text), key=lambda p: p[0]):
+        paths, bodies = zip(*((path, body) for _, path, body in run), strict=True)
+        counts = list(map(count_tokens, bodies))
+        ranges = _filled(counts, size) if kind == "prose" else ((i, i + 1) for i in range(len(bodies)))
+        for i, j in ranges:
+            ref = " > ".join(paths[i]) or None
+            prefix = f"[Section: {ref}]\n" if ref else ""
+            whole = divided(bodies[i]) if kind == "prose" and counts[i] > size else ["\n\n".join(bodies[i:j])]
+            made += [(prefix + body, kind, ref) for body in whole]
+    # a chunk begins anew unless it is small prose that follows prose
+    begins = [i for i, (body, kind, _) in enumerate(made) if not (i and kind == made[i - 1][1] == "prose" and count_tokens(body) < least)]
+    return [("\n\n".join(c[0] for c in made[i:j]), *made[i][1:]) for i, j in pairwise([*begins, len(made)])]
 
 
 CHUNKERS: dict[str, Callable[[str, int, int], list[Chunk]]] = {"recursive": recursive, "structure_aware": structure_aware}

@@ -72,10 +72,16 @@ def supersede_chain(spark: SparkSession, d: str) -> DataFrame:
     return V.ingest(_ordered(spark, d))["links"].select("by", "target", F.array_join("scope", ",").alias("scope"))
 
 
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    s = I.snapshot(table(spark, d, "chunks"), table(spark, d, "document_versions"), table(spark, d, "circulars"))
+    return s.select(F.col("id").alias("chunk_id"), F.col("chunk_text").alias("text"), "doc_number", "title")
+
+
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, queries = Q._docs(spark, d), Q._queries(spark, d)
-    hits = staged(R.bm25(queries, docs, Q.K, Q._live(docs)).select("qid", "chunk_id", "rank"), "hits")
-    return queries, hits, docs
+    """Queries, the hits of the default search, passages with their source."""
+    queries = Q._queries(spark, d)
+    hits = staged(R.search(queries, Q._docs(spark, d), "hybrid_rerank", Q.K).select("qid", "chunk_id", "rank"), "hits")
+    return queries, hits, staged(_passages(spark, d).join(hits.select("chunk_id").distinct(), "chunk_id"), "passages")
 
 
 def extractive_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -88,18 +94,35 @@ def retrieval_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
-    return A.answers(*_hits(spark, d))
+    return A.answers(*_hits(spark, d)).select("qid", "answer", "refused")
 
 
-def faithfulness_report(spark: SparkSession, d: str) -> DataFrame:
+def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     queries, hits, docs = _hits(spark, d)
-    return A.check_answers(A.answers(queries, hits, docs), hits, docs)[1]
+    answered = staged(A.answers(queries, hits, docs), "answers")
+    return answered, A.check_answers(answered, hits, docs)[1]
+
+
+def faithfulness_report(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)[1]
 
 
 def faithfulness_summary(spark: SparkSession, d: str) -> DataFrame:
     return A.faithfulness_summary(faithfulness_report(spark, d))
 
 
+def answer_remarks(spark: SparkSession, d: str) -> DataFrame:
+    return A.remarks(*_report(spark, d))
+
+
+def source_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What a generator would be given for each query: its numbered passages, as a digest."""
+    _, hits, _ = _hits(spark, d)
+    s = I.snapshot(table(spark, d, "chunks"), table(spark, d, "document_versions"), table(spark, d, "circulars"))
+    docs = s.select(F.col("id").alias("chunk_id"), F.col("chunk_text").alias("text"), "doc_number", "title", "section_ref", "published_date", "status")
+    return A.source_blocks(hits, docs).select("qid", F.md5(F.col("sources").cast("binary")).alias("sources_md5"), F.length("sources").cast("long").alias("n_chars"))
+
+
 def notices(spark: SparkSession, d: str) -> DataFrame:
     """Notices on the hits of all queries, deprecated chunks included."""
     docs, queries = Q._docs(spark, d), Q._queries(spark, d)
@@ -145,28 +168,61 @@ def stream_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _FUNCTIONS = (
     chunk_fixed, chunk_recursive, chunk_structure_aware, rechunk_all, chunker_sweep, ingest_results, deprecate_scoped, supersede_chain, extractive_sentences,
-    retrieval_confidence, extractive_answers, faithfulness_report, faithfulness_summary, notices, lexical_support, salient_missing, stream_dedupe, stream_ingest_counts,
+    retrieval_confidence, extractive_answers, faithfulness_report, faithfulness_summary, answer_remarks, source_blocks, notices, lexical_support, salient_missing, stream_dedupe, stream_ingest_counts,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
-_SENTENCES = f"list_transform(string_split(regexp_replace(replace(regexp_replace(text, {q(X.SECTION_PREFIX)}, ''), chr(10), ' '), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x))"
+_SENTENCES = f"list_transform(string_split(regexp_replace(replace(regexp_replace(text, {q(X.SECTION_PREFIX)}, ''), chr(10), ' '), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' -•' || chr(9)))"
+_FOUND = f"{Q._CTES}, {Q._sql_rerank('SELECT qid, chunk_id, rank FROM fused WHERE rank <= 40')}, top AS (SELECT qid, chunk_id, rank FROM final WHERE rank <= 8)"
+_ALL_WORDS = lambda t: f"list_distinct(regexp_extract_all(lower({t}), {q(X.ANSWER_WORD)}))"
+_BEST = f"""kws AS (SELECT qid, {SQL_ANSWER('text')} AS kw FROM queries),
+ h AS (SELECT qid, chunk_id, rank, count(*) OVER (PARTITION BY qid) AS many FROM top),
+ sen AS (SELECT qid, rank, many, kw, unnest({_SENTENCES}) AS sentence, generate_subscripts({_SENTENCES}, 1) AS nth FROM h JOIN docs USING (chunk_id) JOIN kws USING (qid)),
+ sc AS (SELECT *, len(list_intersect(kw, {_ALL_WORDS('sentence')})) / (1 + len({_ALL_WORDS('sentence')}) / 60) + (many - rank) * 0.01 AS score FROM sen
+   WHERE len(sentence) BETWEEN 40 AND 600 AND len(list_intersect(kw, {_ALL_WORDS('sentence')})) > 0),
+ un AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qid, lower(left(sentence, 80)) ORDER BY round(score, 9) DESC, rank, nth) = 1),
+ best AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, nth) AS place, rank AS n, sentence, round(score, 5) AS score FROM un
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, nth) <= 5),
+ got AS (SELECT qid, count(DISTINCT w) AS n FROM (SELECT qid, unnest(list_intersect(kw, {_ALL_WORDS('docs.text')})) AS w FROM top JOIN docs USING (chunk_id) JOIN kws USING (qid) WHERE rank <= 3) GROUP BY 1),
+ conf AS (SELECT qid, CASE WHEN len(kw) = 0 THEN 1.0 ELSE coalesce(n, 0) / len(kw) END AS confidence FROM kws LEFT JOIN got USING (qid)),
+ bul AS (SELECT qid, string_agg('- ' || regexp_replace(sentence, '\\.+$', '') || '. [' || n || ']', chr(10) ORDER BY place) AS b FROM best GROUP BY 1),
+ head AS (SELECT qid, doc_number || coalesce(', ' || regexp_replace(title, '\\.+$', ''), '') AS source FROM top JOIN chunks ch ON ch.id = chunk_id JOIN document_versions v ON v.id = document_version_id JOIN circulars c ON c.id = document_id WHERE rank = 1),
+ ans AS (SELECT qid, CASE WHEN confidence < 0.4 OR b IS NULL THEN {q(X.REFUSAL)} || chr(10) || chr(10) || {q(X.DISCLAIMER)} ELSE 'According to ' || source || ': [1]' || chr(10) || chr(10) || b || chr(10) || chr(10) || {q(X.DISCLAIMER)} END AS answer,
+   confidence < 0.4 OR b IS NULL AS refused, confidence FROM conf LEFT JOIN bul USING (qid) LEFT JOIN head USING (qid))"""
+_CITE = q(X.CITATION)
+_CHECKED = f"""lines AS (SELECT qid, unnest(string_split(translate(answer, chr(8239) || chr(160), '  '), chr(10))) AS line FROM ans),
+ parts AS (SELECT qid, row_number() OVER () AS id, trim(x, ' -*' || chr(9)) AS s FROM (SELECT qid, unnest(string_split(regexp_replace(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '([\\[【])(\\d)', ' \\1\\2', 'g'), chr(1))) AS x FROM lines)),
+ bare AS (SELECT qid, id, trim(regexp_replace(s, {_CITE}, '', 'g')) AS claim, regexp_extract_all(s, {_CITE}, 1) AS cites FROM parts),
+ cl AS (SELECT * FROM bare WHERE len({SQL_CLAIM('claim')}) >= 3 AND (len(cites) > 0 OR NOT (starts_with(lower(claim), {q(X.REFUSAL.lower().rstrip('.'))}) OR starts_with(lower(claim), {q(X.DISCLAIMER.lower().rstrip('.'))})
+   OR ends_with(claim, ':') OR (starts_with(claim, '**') AND ends_with(claim, '**'))))),
+ cn AS (SELECT qid, id, claim, CAST(unnest(cites) AS BIGINT) AS n FROM cl UNION ALL SELECT qid, id, claim, NULL FROM cl WHERE len(cites) = 0),
+ cp AS (SELECT cn.qid, cn.id, cn.n, claim, docs.text AS passage FROM cn LEFT JOIN top ON top.qid = cn.qid AND top.rank = cn.n LEFT JOIN docs USING (chunk_id)),
+ cf AS (SELECT *, {SQL_CLAIM('claim')} AS cw, {SQL_CLAIM('passage')} AS pw, {SQL_NUMBERS('claim')} AS cnum, {SQL_NUMBERS('passage')} AS pnum, {SQL_SALIENT('claim')} AS sal FROM cp),
+ co AS (SELECT *, CASE WHEN len(cw) = 0 THEN 1.0 ELSE len(list_intersect(cw, pw)) / len(cw) END AS ov, len(list_filter(sal, lambda t: NOT contains(lower(passage), t))) AS miss FROM cf),
+ cb AS (SELECT *, CASE WHEN len(cnum) > 0 THEN 0.6 * ov + 0.4 * len(list_intersect(cnum, pnum)) / len(cnum) ELSE ov END AS base FROM co),
+ cs AS (SELECT qid, id, n, passage, CASE WHEN passage IS NOT NULL THEN CASE WHEN miss > 0 THEN base * greatest(0.15, 1 - 0.6 * miss / len(sal)) ELSE base END END AS score FROM cb),
+ claims AS (SELECT qid, id, coalesce(max(score), 0) >= 0.35 AS supported, count(n) = 0 AS uncited FROM cs GROUP BY 1, 2),
+ bad AS (SELECT qid, count(DISTINCT n) AS invalid FROM cs WHERE n IS NOT NULL AND passage IS NULL GROUP BY 1),
+ report AS (SELECT a.qid, round(coalesce(sum(supported::INT) / nullif(count(id), 0), 1.0), 3) AS rate, count(id) AS checked, CAST(coalesce(sum(supported::INT), 0) AS BIGINT) AS supported,
+   CAST(coalesce(sum(uncited::INT), 0) AS BIGINT) AS uncited, coalesce(any_value(invalid), 0) AS invalid FROM ans a LEFT JOIN claims USING (qid) LEFT JOIN bad USING (qid) GROUP BY 1)"""
 _SUPPORT = """round(CASE WHEN miss > 0 THEN base * greatest(0.15, 1 - 0.6 * miss / len(sal)) ELSE base END, 6)"""
 ORACLES = {
     "chunk_fixed": f"""WITH w AS (SELECT id, {_WORDS.replace('chunk_text', 'raw_text')} AS ws FROM document_versions),
  s AS (SELECT id, ws, unnest(range(0, len(ws), 290)) AS i FROM w WHERE len(ws) > 0),
  k AS (SELECT id, i // 290 AS ordinal, array_to_string(ws[i + 1 : i + 350], ' ') AS t FROM s WHERE i = 0 OR i - 290 + 350 < len(ws))
  SELECT id, ordinal, md5(t) AS text_md5, len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) AS token_count FROM k WHERE ordinal = 0 OR len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) >= 15""",
-    "extractive_sentences": f"""{Q._CTES}, kws AS (SELECT qid, {SQL_ANSWER('text')} AS kw FROM queries),
- h AS (SELECT qid, chunk_id, rank, count(*) OVER (PARTITION BY qid) AS many FROM bm25 WHERE rank <= 8),
- sen AS (SELECT qid, rank, many, kw, unnest({_SENTENCES}) AS sentence, generate_subscripts({_SENTENCES}, 1) AS nth FROM h JOIN docs USING (chunk_id) JOIN kws USING (qid)),
- sc AS (SELECT *, len(list_intersect(kw, {SQL_ANSWER('sentence')})) / (1 + len({SQL_ANSWER('sentence')}) / 60) + (many - rank + 1) * 0.01 AS score FROM sen
-   WHERE len(sentence) BETWEEN 40 AND 600 AND len(list_intersect(kw, {SQL_ANSWER('sentence')})) > 0),
- un AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qid, lower(left(sentence, 80)) ORDER BY round(score, 9) DESC, rank, nth) = 1)
- SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, nth) AS place, rank AS n, sentence, round(score, 5) AS score FROM un
- QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, nth) <= 5""",
-    "retrieval_confidence": f"""{Q._CTES}, kws AS (SELECT qid, {SQL_ANSWER('text')} AS kw FROM queries),
- got AS (SELECT qid, count(DISTINCT w) AS n FROM (SELECT qid, unnest(list_intersect(kw, {SQL_ANSWER('docs.text')})) AS w FROM bm25 JOIN docs USING (chunk_id) JOIN kws USING (qid) WHERE rank <= 3) GROUP BY 1)
- SELECT qid, round(CASE WHEN len(kw) = 0 THEN 1.0 ELSE coalesce(n, 0) / len(kw) END, 6) AS confidence FROM kws LEFT JOIN got USING (qid)""",
+    "extractive_sentences": f"{_FOUND}, {_BEST} SELECT * FROM best",
+    "retrieval_confidence": f"{_FOUND}, {_BEST} SELECT qid, round(confidence, 6) AS confidence FROM conf",
+    "extractive_answers": f"{_FOUND}, {_BEST} SELECT qid, answer, refused FROM ans",
+    "faithfulness_report": f"{_FOUND}, {_BEST}, {_CHECKED} SELECT * FROM report",
+    "faithfulness_summary": f"""{_FOUND}, {_BEST}, {_CHECKED} SELECT round(avg(rate), 6) AS mean_rate, count(*) FILTER (rate >= 0.999) AS fully_faithful,
+ CAST(sum(uncited) AS BIGINT) AS uncited, CAST(sum(invalid) AS BIGINT) AS invalid, count(*) AS answers FROM report""",
+    "answer_remarks": f"""{_FOUND}, {_BEST}, {_CHECKED} SELECT qid, concat_ws(' ', CASE WHEN refused THEN 'The passages cover ' || CAST(round(confidence * 100) AS INT) || ' % of the question''s words.' END,
+ CASE WHEN rate < 0.5 AND checked > 0 THEN 'Only ' || CAST(round(rate * 100) AS INT) || ' % of the claims are borne out; check the source.' END) AS remark FROM ans JOIN report USING (qid)""",
+    "source_blocks": f"""{_FOUND}, blocks AS (SELECT qid, rank, '[' || rank || '] ' || concat_ws(', ', doc_number, title) || coalesce(' | section ' || section_ref, '') || coalesce(' | of ' || published_date::DATE::VARCHAR, '')
+  || CASE WHEN lower(ch.status) <> 'active' THEN ' | superseded' ELSE '' END || chr(10) || trim(chunk_text) AS b
+  FROM top JOIN chunks ch ON ch.id = chunk_id JOIN document_versions v ON v.id = document_version_id JOIN circulars c ON c.id = document_id)
+ SELECT qid, md5(string_agg(b, chr(10) || chr(10) ORDER BY rank)) AS sources_md5, len(string_agg(b, chr(10) || chr(10) ORDER BY rank)) AS n_chars FROM blocks GROUP BY 1""",
     "lexical_support": f"""WITH p AS (SELECT id, chunk_text AS passage, lead(chunk_text) OVER (PARTITION BY document_version_id ORDER BY ordinal, id) AS claim FROM chunks),
  f AS (SELECT id, passage, {SQL_CLAIM('claim')} AS cw, {SQL_CLAIM('passage')} AS pw, {SQL_NUMBERS('claim')} AS cn, {SQL_NUMBERS('passage')} AS pn, {SQL_SALIENT('claim')} AS sal FROM p WHERE claim IS NOT NULL),
  o AS (SELECT *, CASE WHEN len(cw) = 0 THEN 1.0 ELSE len(list_intersect(cw, pw)) / len(cw) END AS ov, len(list_filter(sal, lambda t: NOT contains(lower(passage), t))) AS miss FROM f),

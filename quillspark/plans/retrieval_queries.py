@@ -148,6 +148,16 @@ def _sql_unit(parts: str, key: str) -> str:
     return f"""SELECT {key}, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM (SELECT {key}, bucket, any_value(per) * sqrt(count(*)) AS w FROM ({parts}) GROUP BY 1, 2)"""
 
 
+def _sql_chars(src: str, key: str) -> str:
+    cut = lambda n: f"list_transform(range(1, len(p) - {n - 2}), lambda i: substr(p, i, {n}))"
+    grams = f"list_concat(list_concat({cut(3)}, {cut(4)}), {cut(5)})"
+    return f"""SELECT {key}, 512 + {_BUCKET} AS bucket, 0.5 AS per FROM (SELECT {key}, unnest({grams}) AS g FROM (SELECT {key}, ' ' || unnest({SQL_RERANK('text')}) || ' ' AS p FROM {src}))"""
+
+
+def _sql_embedded(src: str, key: str) -> str:
+    return _sql_unit(f"{_sql_words(src, key)} UNION ALL {_sql_chars(src, key)}", key)
+
+
 _TOP = "QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) <= {k}"
 _RANK = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id)"
 _CTES = f"""WITH queries AS (SELECT id AS qid, title AS text FROM circulars),
@@ -157,7 +167,7 @@ asked AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({SQL_INDE
 scored AS (SELECT qid, p.id AS chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
  FROM asked a JOIN posts p USING (term) JOIN idfs USING (term) JOIN stats s ON s.id = p.id, corpus GROUP BY 1, 2),
 bm25 AS (SELECT qid, chunk_id, score, {_RANK} AS rank FROM scored WHERE score > 0 AND chunk_id IN (SELECT chunk_id FROM live)),
-qw AS ({_sql_unit(_sql_words("queries", "qid"), "qid")}), dw AS ({_sql_unit(_sql_words("live", "chunk_id"), "chunk_id")}),
+qw AS ({_sql_embedded("queries", "qid")}), dw AS ({_sql_embedded("live", "chunk_id")}),
 dense AS (SELECT *, {_RANK} AS rank FROM (SELECT qid, chunk_id, sum(qw.weight * dw.weight) AS score FROM qw JOIN dw USING (bucket) GROUP BY 1, 2) WHERE score > 0),
 joint AS (SELECT qid, chunk_id, sum(1.0 / (60 + rank)) AS score, max(rank) FILTER (f = 'b') AS bm25_rank, max(rank) FILTER (f = 'd') AS dense_rank FROM (
  SELECT qid, chunk_id, rank, 'b' AS f FROM bm25 WHERE rank <= 40 UNION ALL SELECT qid, chunk_id, rank, 'd' FROM dense WHERE rank <= 40) GROUP BY 1, 2),
@@ -195,11 +205,8 @@ ORACLES = {
     "bm25_audit": f"{_CTES} {_SHOW} (SELECT qid, chunk_id, score, {_RANK} AS rank FROM scored WHERE score > 0) WHERE rank <= 8",
     "bm25_topk": f"{_CTES} {_SHOW} bm25 WHERE rank <= 8",
     "hash_embed_word": f"WITH docs AS (SELECT id AS chunk_id, chunk_text AS text FROM chunks) SELECT chunk_id, bucket, round(weight, 6) AS weight FROM ({_sql_unit(_sql_words('docs', 'chunk_id'), 'chunk_id')})",
-    "hash_embed_char": f"""WITH queries AS (SELECT id AS qid, title AS text FROM circulars),
- ws AS (SELECT qid, ' ' || unnest({SQL_RERANK('text')}) || ' ' AS p FROM queries),
- grams AS (SELECT qid, unnest(list_concat(list_concat(list_transform(range(1, greatest(len(p) - 1, 2)), lambda i: substr(p, i, 3)), CASE WHEN len(p) >= 4 THEN list_transform(range(1, len(p) - 2), lambda i: substr(p, i, 4)) ELSE [] END),
-   CASE WHEN len(p) >= 5 THEN list_transform(range(1, len(p) - 3), lambda i: substr(p, i, 5)) ELSE [] END)) AS g FROM ws)
- SELECT qid, bucket, round(weight, 6) AS weight FROM ({_sql_unit(_sql_words('queries', 'qid') + f" UNION ALL SELECT qid, 512 + {_BUCKET}, 0.5 FROM grams", 'qid')})""",
+    "hash_embed_char": f"WITH queries AS (SELECT id AS qid, title AS text FROM circulars) SELECT qid, bucket, round(weight, 6) AS weight FROM ({_sql_embedded('queries', 'qid')})",
+    "hash_embed_chunks": f"WITH docs AS (SELECT id AS chunk_id, chunk_text AS text FROM chunks) SELECT chunk_id, bucket, round(weight, 6) AS weight FROM ({_sql_embedded('docs', 'chunk_id')})",
     "hash_dense_topk": f"{_CTES} {_SHOW} dense WHERE rank <= 8",
     "dense_topk": f"WITH {_NEAR} SELECT query_id, vec_id, rank, round(score, 5) AS score FROM ranked WHERE rank <= 10",
     "dense_label_precision": f"WITH {_NEAR} SELECT query_id, round(count(*) FILTER (la = lb) / 10, 6) AS precision_at_10 FROM ranked WHERE rank <= 10 GROUP BY 1",

@@ -53,10 +53,10 @@ def build_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 #: Parser cases that the tables lack: rows of (case, text).
 CASES = (
-    ("rbi", "RBI/2026-27/88\nRef\nKnow Your Customer Amendment Directions\n18 September 2026\nIn supersession of paragraph 6 of DBR.AML.BC.No.81/14.01.001/2015-16, banks shall act."),
-    ("dept", "DOR.CRE.REC.66/21.07.001/2022-23\nSeptember 2, 2022\nAmends the provisions of paragraphs 3, 4.2 and 7 and RBI/2020-21/12"),
+    ("rbi", "RBI/2031-32/7\nRef\nRecords of Harbour Fees Amendment Directions\n18 September 2031\nIn supersession of paragraph 6 of XYZ.ABC.DE.No.12/34.56.789/2029-30, banks shall act."),
+    ("dept", "XYZ.FEE.REC.5/11.22.333/2031-32\nSeptember 2, 2022\nAmends the provisions of paragraphs 3, 4.2 and 7 and RBI/2020-21/12"),
     ("iso", "no number here\n2024-02-30 then 2024-02-28\nsupersedes the earlier instructions"),
-    ("bad", "31 February 2020 but April 3 2021\nReplaces RBI/DBR/2015-16/18 and more"),
+    ("bad", "31 February 2020 but April 3 2021\nReplaces RBI/QQQ/2030-31/5 and more"),
     ("range", "This supersedes clauses 3 to 5 of the Annex.\nsupersedes para 3"),
     ("none", ""),
 )
@@ -150,11 +150,11 @@ def sql_tokens(t: str, pattern: str, stop: tuple[str, ...] = (), distinct: bool
 
 SQL_BM25 = lambda t: sql_tokens(f"lower({t})", r"[a-z0-9]+(?:\.[a-z0-9]+)*", X.BM25_STOP)
 SQL_RERANK = lambda t: sql_tokens(f"lower({t})", "[a-z0-9]+")
-SQL_ANSWER = lambda t: sql_tokens(f"lower({t})", r"[a-z0-9][a-z0-9\-\.]*", X.ANSWER_STOP, True, 2)
-SQL_CLAIM = lambda t: sql_tokens(f"lower({t})", r"[a-z0-9][a-z0-9\-\.%/,]*", X.CLAIM_STOP, True, 2)
+SQL_ANSWER = lambda t: sql_tokens(f"lower({t})", X.ANSWER_WORD, X.ANSWER_STOP, True, 2)
+SQL_CLAIM = lambda t: sql_tokens(f"lower({t})", X.CLAIM_WORD, X.CLAIM_STOP, True, 2)
 SQL_NUMBERS = lambda t: f"list_distinct(list_transform(regexp_extract_all({t}, '\\d[\\d,\\.]*'), lambda x: regexp_replace(replace(x, ',', ''), '\\.+$', '')))"
 SQL_SALIENT = lambda t: (
-    f"list_distinct(list_concat(list_concat(list_filter(regexp_extract_all(lower({t}), '[a-z]+'), lambda x: list_contains({sql_list(X.NUMBER_WORDS)}, x)), "
+    f"list_distinct(list_concat(list_concat(list_filter(regexp_extract_all(lower({t}), {q(X.CLAIM_WORD)}), lambda x: list_contains({sql_list(X.NUMBER_WORDS)}, x)), "
     f"{SQL_NUMBERS(t)}), list_transform(regexp_extract_all({t}, {q(X.ACRONYM)}), lambda x: lower(x))))"
 )
 
@@ -223,7 +223,7 @@ FROM (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS l FROM circulars
     "space_words": f"SELECT id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT id, {_WORDS} AS w FROM chunks)",
     "truncate_words": f"SELECT id, array_to_string({_WORDS}[1:40], ' ') AS head FROM chunks",
     "answer_sentences": f"""SELECT id, i - 1 AS n, s AS sentence FROM (
- SELECT id, unnest(list_transform(string_split(regexp_replace(replace(regexp_replace(chunk_text, {q(X.SECTION_PREFIX)}, ''), chr(10), ' '), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x))) AS s,
+ SELECT id, unnest(list_transform(string_split(regexp_replace(replace(regexp_replace(chunk_text, {q(X.SECTION_PREFIX)}, ''), chr(10), ' '), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' -•' || chr(9)))) AS s,
         generate_subscripts(string_split(regexp_replace(replace(regexp_replace(chunk_text, {q(X.SECTION_PREFIX)}, ''), chr(10), ' '), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM chunks)
 WHERE len(s) BETWEEN 40 AND 600""",
     "heading_levels": f"""SELECT id, i - 1 AS line_no, {_LEVEL} AS level FROM (
