@@ -71,8 +71,8 @@ def check_answers(answered: DataFrame, hits: DataFrame, docs: DataFrame, judge:
     """(claims, report) of answered(qid, answer).
 
     A claim is a sentence with at least 3 content words; it is supported if a passage it cites reaches
-    SUPPORT. A claim without a citation counts as unsupported, unless it is the refusal or the disclaimer, ends
-    in a colon or is set in bold. Citations beyond the hits are invalid, each number once an answer. judge(claim,
+    SUPPORT. A claim without a citation counts as unsupported, unless it is the refusal or the disclaimer or ends
+    in a colon (marks of bold type are gone by then). Citations beyond the hits are invalid, each number once an answer. judge(claim,
     passage) may give a boolean instead of the score; where it gives null, the score decides. report has a row for
     every answer; its rate is 1 where nothing was claimed.
     """
@@ -80,7 +80,7 @@ def check_answers(answered: DataFrame, hits: DataFrame, docs: DataFrame, judge:
     s = s.withColumn("claim", F.trim(F.regexp_replace("sentence", X.CITATION, ""))).filter(F.size(X.claim_words(F.col("claim"))) >= 3)
     s = s.withColumn("cites", F.transform(X.found_all(F.col("sentence"), X.CITATION, 1), lambda x: x.cast("int")))
     fixed = F.lower("claim").startswith(X.REFUSAL.lower().rstrip(".")) | F.lower("claim").startswith(X.DISCLAIMER.lower().rstrip("."))
-    s = s.filter((F.size("cites") > 0) | ~(fixed | F.col("claim").endswith(":") | F.col("claim").rlike(r"(?s)^\*\*.*\*\*$")))
+    s = s.filter((F.size("cites") > 0) | ~(fixed | F.col("claim").endswith(":")))
     cited = s.select("qid", "at", "claim", F.explode_outer("cites").alias("n"))
     passages = hits.join(docs.select("chunk_id", "text"), "chunk_id").select("qid", F.col("rank").alias("n"), F.col("text").alias("passage"))
     scored = cited.join(passages, ["qid", "n"], "left")

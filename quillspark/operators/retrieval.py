@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
@@ -20,6 +22,7 @@ MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 RRF_K, CANDIDATES, TOP_K = 60, 40, 8
 BUCKETS = 512
 _STOP = frozenset(X.BASE_STOP)
+TOKEN = re.compile("[a-z0-9]+")
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "qid", key: str = "chunk_id") -> DataFrame:
@@ -48,27 +51,52 @@ def _named(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     return ranked.join(queries.select("qid", F.col("no").alias("q")), "q").join(docs.select("chunk_id", "no"), "no").select("qid", "chunk_id", "score", "rank")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, chunk_id, score, rank) from queries(qid, text) and docs(chunk_id, text).
+@dataclass(frozen=True)
+class Index:
+    """docs(chunk_id, no, dl), postings(term, no, dl, tf), weights(term, df, idf), corpus(n, avgdl)."""
 
-    Statistics cover all docs, hits only those in allowed(chunk_id). Terms count as often as the query
-    has them; only positive scores are kept. Terms of queries meet the index in one equi-join.
-    """
+    docs: DataFrame
+    postings: DataFrame
+    weights: DataFrame
+    corpus: DataFrame
+
+    def write(self, folder: str) -> None:
+        for name in ("docs", "postings", "weights", "corpus"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> Index:
+        return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("docs", "postings", "weights", "corpus")])
+
+
+def build_index(docs: DataFrame) -> Index:
+    """The inverted index of docs(chunk_id, text); statistics cover all of them. A document without tokens has length 0."""
     d = _numbered(docs, "chunk_id", X.bm25_tokens(F.col("text")).alias("ts"))
-    q = _numbered(queries, "qid", X.bm25_tokens(F.col("text")).alias("ts"))
     dl = F.size("ts").cast("long")
     corpus = I.corpus_stats(d.select(F.greatest(dl, F.lit(0)).alias("dl")))
     posts = staged(d.select("no", dl.alias("dl"), F.explode("ts").alias("term")).groupBy("no", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    weights = I.idf(posts, corpus)
-    hits = posts if allowed is None else posts.join(d.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
+    return Index(d.select("chunk_id", "no", dl.alias("dl")), posts, staged(I.idf(posts, corpus), "weights"), corpus)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank) from queries(qid, text) and docs(chunk_id, text), or their index.
+
+    Statistics cover all docs, hits only those in allowed(chunk_id). Terms count as often as the query has them; only
+    positive scores are kept. Postings of terms that no query has are left out before anything is weighted or shuffled.
+    """
+    index = index or build_index(docs)
+    q = _numbered(queries, "qid", X.bm25_tokens(F.col("text")).alias("ts"))
     asked = _asked(q.select(F.col("no").alias("q"), F.explode("ts").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")))
+    terms = _asked(asked.select("term").distinct().join(index.weights.select("term", "idf"), "term"))
+    known = index.postings.join(terms, "term")
+    if allowed is not None:
+        known = known.join(index.docs.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
     part = F.col("tf") * (I.K1 + 1) / (F.col("tf") + I.K1 * (1 - I.B + I.B * F.col("dl") / F.col("avgdl")))
-    known = hits.crossJoin(F.broadcast(corpus.select("avgdl")))  # one row
-    known = known.join(weights.select("term", "idf"), "term").select("term", "no", (F.col("idf") * part).alias("gain"))
+    known = known.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("term", "no", (F.col("idf") * part).alias("gain"))  # one row
     # by document, not by term: a term of every second document is spread out, and the sums need no further exchange
     known = known.repartition("no")
     scored = known.join(asked, "term").groupBy("q", "no").agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
-    return _named(top_k(scored.filter("score > 0"), k, query="q", key="no"), q, d)
+    return _named(top_k(scored.filter("score > 0"), k, query="q", key="no"), q, index.docs)
 
 
 def bucket(token: Column) -> Column:
@@ -166,9 +194,20 @@ def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     qb = _text_blocks(q.repartition(max(1, -(-q.count() // QUERY_BLOCK))), QUERY_BLOCK, "qids", "qtexts")
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def vectors(numbers: np.ndarray, texts: Sequence[str], side: str) -> np.ndarray:
+            """Those of a block, kept for the next meetings: the last four."""
+            name = (side, len(numbers), int(numbers[0]), int(numbers[-1]))
+            if name not in held:
+                while len(held) > 3:
+                    held.pop(next(iter(held)))
+                held[name] = unit_vectors(texts)
+            return held[name]
+
         for part in parts:
             for qids, qtexts, ids, texts in zip(part["qids"], part["qtexts"], part["ids"], part["texts"], strict=True):
-                s = unit_vectors(qtexts) @ unit_vectors(texts).T
+                s = vectors(qids, qtexts, "q") @ vectors(ids, texts, "d").T
                 place = np.rint(s * 1e6)
                 least = np.partition(place, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
                 r, c = np.nonzero((place >= least[:, None]) & (s > 0))  # with all ties
@@ -221,22 +260,23 @@ def lexical_rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, k
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
 
 
-def search(queries: DataFrame, docs: DataFrame, mode: str = "hybrid_rerank", k: int = TOP_K, candidates: int | None = None, include_deprecated: bool = False) -> DataFrame:
-    """(qid, chunk_id, score, rank) of docs(chunk_id, text, status) for all queries(qid, text) at once.
+def search(queries: DataFrame, docs: DataFrame, mode: str = "hybrid_rerank", k: int = TOP_K, candidates: int | None = None, include_deprecated: bool = False, index: Index | None = None, reranker: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank) of docs(chunk_id, text, status) for all queries(qid, text) at once, with their index if there is one.
 
     Blank queries and an empty table give no rows; an unknown mode is a ValueError.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
     wide = candidates or max(CANDIDATES, k)
-    text = docs.select("chunk_id", "text")
     live = docs if include_deprecated else docs.filter(F.lower("status") == "active")
-    if mode == "bm25":
-        return bm25(queries, text, k, live).select("qid", "chunk_id", "score", "rank")
     live_text = live.select("chunk_id", "text")
     if mode == "dense":
         return sparse_dense(queries, live_text, k).select("qid", "chunk_id", "score", "rank")
-    fused = rrf({"bm25": bm25(queries, text, wide, live), "dense": sparse_dense(queries, live_text, wide)}, k if mode == "hybrid" else wide)
+    index = index or build_index(docs.select("chunk_id", "text"))
+    lexical = lambda n: bm25(queries, docs, n, live, index)
+    if mode == "bm25":
+        return lexical(k).select("qid", "chunk_id", "score", "rank")
+    fused = rrf({"bm25": lexical(wide), "dense": sparse_dense(queries, live_text, wide)}, k if mode == "hybrid" else wide)
     if mode == "hybrid":
         return fused.select("qid", "chunk_id", "score", "rank")
-    return lexical_rerank(queries, staged(fused, "fused"), live_text, k)
+    return (reranker or lexical_rerank)(queries, staged(fused, "fused"), live_text, k)

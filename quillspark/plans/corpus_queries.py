@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import index as I
+from quillspark.operators import versioning as V
+from quillspark.operators.prefix import running_total
 from quillspark.plans.text_queries import q
 from quillspark.sources.tables import table
 
@@ -105,18 +107,17 @@ def version_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_reference(spark: SparkSession, d: str) -> DataFrame:
-    """For every version that names a superseded reference: the document it resolves to.
+    """For every circular's number, and for that number without its last digit: the document it resolves to, if any.
 
-    A document number counts before a reference that the header of a stored version bears; the earliest
-    version wins. References are taken out of the headers, so the match is an equi-join.
+    A document number counts before a reference that the header of a stored version bears, also within a longer one;
+    the earliest version wins. The forms a header bears are spelt out, so the match is an equi-join.
     """
     _, v, c = _tables(spark, d)
-    hints = v.select("id", X.supersedes_hint(X.normalise_text(F.col("raw_text"))).alias("ref")).filter("ref is not null")
-    exact = c.select(F.col("doc_number").alias("r"), F.lit(0).alias("prio"), "created_at", F.col("id").alias("document_id"))
-    head = F.left("raw_text", F.lit(3000))
-    borne = v.select(F.explode(F.array_distinct(F.concat(X.found_all(head, X.DOC_NUMBER), X.found_all(head, X.DEPT_REFERENCE)))).alias("r"), F.lit(1).alias("prio"), "created_at", "document_id")
-    best = exact.unionByName(borne).groupBy("r").agg(F.min(F.struct("prio", "created_at", "document_id")).alias("m"))
-    return hints.join(best, F.col("ref") == F.col("r"), "left").select("id", "ref", F.col("m.document_id").alias("document_id"))
+    asked = c.select(F.explode(F.array(F.col("doc_number"), F.expr("substr(doc_number, 1, length(doc_number) - 1)"))).alias("ref")).distinct()
+    exact = c.select(F.lower("doc_number").alias("r"), F.lit(0).alias("prio"), "created_at", F.col("id").alias("document_id"))
+    bearing = v.select(F.explode(V.borne(F.col("raw_text"))).alias("r"), F.lit(1).alias("prio"), "created_at", "document_id")
+    best = exact.unionByName(bearing).groupBy("r").agg(F.min(F.struct("prio", "created_at", "document_id")).alias("m"))
+    return asked.join(best, F.lower("ref") == F.col("r"), "left").select("ref", F.col("m.document_id").alias("document_id"))
 
 
 def header_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -155,10 +156,11 @@ def chat_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_history(spark: SparkSession, d: str) -> DataFrame:
-    """Events of each user as numbered turns with their properties out of JSON text."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events")
-    return e.select("event_id", "user_id", F.row_number().over(w).cast("long").alias("turn"), "event_type")
+    """Events of each user as numbered turns, with the keys of their properties out of JSON text. A user may hold a third of all events: turns are numbered over all tasks."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "props")
+    turns = running_total(e.withColumn("one", F.lit(1).cast("long")), ["user_id"], ["ts", "event_id"], "one", "turn")
+    keys = F.array_join(F.array_sort(F.map_keys(F.from_json("props", "map<string,string>"))), ",")
+    return turns.select("event_id", "user_id", "turn", "event_type", F.coalesce(keys, F.lit("")).alias("keys"))
 
 
 def tables_in_scope(spark: SparkSession, d: str) -> DataFrame:
@@ -215,17 +217,17 @@ ORACLES = {
     "has_active": "SELECT id FROM circulars WHERE id IN (SELECT document_id FROM document_versions WHERE lower(status) = 'active')",
     "remaining_active": "SELECT document_version_id AS id, CASE WHEN count(*) FILTER (lower(status) = 'active') = 0 THEN 'deprecated' ELSE 'active' END AS status FROM chunks GROUP BY 1",
     "version_links": "SELECT a.id, coalesce(CAST(b.version_number AS BIGINT), -1) AS next_number, CAST(b.published_date AS VARCHAR) AS next_date FROM document_versions a LEFT JOIN document_versions b ON a.superseded_by_id = b.id",
-    "resolve_reference": f"""WITH hints AS (SELECT id, {_HINT} AS ref FROM document_versions),
-refs AS (SELECT doc_number AS r, 0 AS prio, created_at, id AS document_id FROM circulars
- UNION ALL SELECT unnest(list_distinct(list_concat(regexp_extract_all(left(raw_text, 3000), {q(X.DOC_NUMBER)}), regexp_extract_all(left(raw_text, 3000), {q(X.DEPT_REFERENCE)})))), 1, created_at, document_id FROM document_versions)
-SELECT h.id, ref, arg_min(document_id, (prio, created_at, document_id)) AS document_id FROM hints h LEFT JOIN refs ON ref = r WHERE ref IS NOT NULL GROUP BY 1, 2""",
+    "resolve_reference": f"""WITH asked AS (SELECT DISTINCT unnest([doc_number, doc_number[:-2]]) AS ref FROM circulars),
+exact AS (SELECT lower(doc_number) AS r, arg_min(id, (created_at, id)) AS document_id FROM circulars GROUP BY 1),
+holds AS (SELECT ref, arg_min(document_id, (created_at, document_id)) AS document_id FROM asked JOIN document_versions ON contains(lower(left(raw_text, 3000)), lower(ref)) WHERE regexp_full_match(lower(ref), {q("(?:" + V._ANY_CASE_NUMBER.replace("(?i)", "").lower().replace("\\d", "[0-9]") + ")")}) OR regexp_full_match(lower(ref), {q("(?i)(?:" + V._ANY_CASE_REFERENCE.replace("(?i)", "") + ")")}) GROUP BY 1)
+SELECT ref, coalesce(e.document_id, h.document_id) AS document_id FROM asked LEFT JOIN exact e ON r = lower(ref) LEFT JOIN holds h USING (ref)""",
     "header_containment": "SELECT v.id, doc_number FROM document_versions v JOIN circulars c ON v.document_id = c.id WHERE contains(lower(left(raw_text, 3000)), lower(doc_number))",
     "index_stats": f"SELECT count(DISTINCT doc_number) AS documents, count(*) AS chunks, count(*) FILTER (lower(ch.status) = 'active') AS active, count(*) FILTER (lower(ch.status) = 'deprecated') AS deprecated, count(*) FILTER (chunk_type = 'table') AS tables FROM {_SNAP}",
     "ingest_distinct": "SELECT reason, skipped, count(*) AS attempts, CAST(sum(chunks_created) AS BIGINT) AS chunks_created, count(DISTINCT doc_number) AS documents FROM (SELECT DISTINCT * FROM ingest_results) GROUP BY 1, 2",
     "ingest_latest": "SELECT doc_number, version_id, reason FROM ingest_results QUALIFY row_number() OVER (PARTITION BY doc_number ORDER BY created_at DESC, version_number DESC, version_id DESC, reason DESC) = 1",
     "status_report": f"SELECT doc_number, count(DISTINCT document_version_id) AS versions, count(*) AS chunks, count(*) FILTER (lower(ch.status) = 'active') AS active FROM {_SNAP} GROUP BY 1",
     "chat_sessions": "SELECT user_id, 'session: ' || arg_min(event_type, (ts, event_id)) AS title, count(*) AS messages FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 30",
-    "chat_history": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, event_type FROM events",
+    "chat_history": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, event_type, coalesce(array_to_string(list_sort(json_keys(props)), ','), '') AS keys FROM events",
     "tables_in_scope": r"""SELECT id FROM chunks WHERE list_bool_or(list_transform(string_split(coalesce(section_ref, ''), '>'), lambda c: regexp_matches(trim(c), '^2(\.|\s|$|\))') OR regexp_matches(trim(c), '^3\.1(\.|\s|$|\))')))
  OR regexp_matches(chunk_text, '(?m)^2[.)]\s') OR regexp_matches(chunk_text, '(?m)^3\.1[.)]\s')""",
     "postings": f"WITH {SQL_INDEX} SELECT * FROM posts",

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.operators import answers as A
 from quillspark.operators import chunking as C
+from quillspark.operators import evaluation as E
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
 from quillspark.operators import versioning as V
+from quillspark.operators.prefix import running_total
 from quillspark.plans import retrieval_queries as Q
-from quillspark.plans.text_queries import _WORDS, SQL_ANSWER, SQL_CLAIM, SQL_NUMBERS, SQL_SALIENT, q
+from quillspark.plans.text_queries import _WORDS, SQL_ANSWER, SQL_CLAIM, SQL_NUMBERS, SQL_SALIENT, _sql_parsed, q, sql_normalise
 from quillspark.session import shared_dir, staged
 from quillspark.sources.tables import table
 from quillspark.streaming import ingest as S
@@ -41,35 +43,87 @@ def rechunk_all(spark: SparkSession, d: str) -> DataFrame:
     return V.rechunk_all(table(spark, d, "document_versions"), "structure_aware")
 
 
+def rechunk_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every version by windows of words, with the status of their version."""
+    c = V.rechunk_all(table(spark, d, "document_versions"), "fixed")
+    return c.select("id", F.col("ordinal").cast("long").alias("ordinal"), F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), "status")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments by anchor: chunks of a circular with the first two words of its title are the best, those with the first word good ones."""
+    c = table(spark, d, "circulars").select(F.col("id").alias("qid"), F.col("doc_number").alias("doc"), F.trim("title").alias("t"))
+    anchors = [F.struct(F.substring_index("t", " ", n).alias("anchor"), F.lit(n).alias("grade")) for n in (2, 1)]
+    return c.select("qid", "doc", F.inline(F.array(*anchors))).filter("anchor <> ''")
+
+
+def _circular_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return I.snapshot(table(spark, d, "chunks"), table(spark, d, "document_versions"), table(spark, d, "circulars")).select(F.col("id").alias("chunk_id"), F.col("chunk_text").alias("text"), "doc_number", "status")
+
+
+def judged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Anchored judgments resolved to the active chunks that hold them."""
+    return E.resolve_judgments(_judged(spark, d), _circular_chunks(spark, d))[0].select("qid", "chunk_id", F.col("grade").cast("long").alias("grade"))
+
+
+def judgments_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Anchored judgments that no chunk holds."""
+    return E.resolve_judgments(_judged(spark, d), _circular_chunks(spark, d))[1].select("qid", "anchor")
+
+
 def chunker_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks and tokens by chunker, over the same texts."""
-    out = None
-    for name in ("fixed", "recursive", "structure_aware"):
-        c = C.chunk(_versions(spark, d), "id", "raw_text", name)
-        row = c.agg(F.lit(name).alias("chunker"), F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").cast("long").alias("most_tokens"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Metrics of the default mode after each chunker has cut all versions anew, judgments resolved in the new chunks."""
+    v = table(spark, d, "document_versions").select(F.col("id").alias("version_id"), "document_id", F.col("raw_text").alias("text"), "status")
+    v = v.join(table(spark, d, "circulars").select(F.col("id").alias("document_id"), "doc_number"), "document_id")
+    swept = E.chunking_sweep(v.select("version_id", "text", "doc_number", "status"), Q._queries(spark, d), _judged(spark, d), 5)
+    return swept.select("config", "chunks", "tokens", *[F.round(c, 5).alias(c) for c in E.FIGURES], "queries")
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
-    """Versions numbered in the order they came: ranks of small keys, the texts aren't sorted."""
+    """Versions numbered in the order they came: small keys are ordered over all tasks, the texts aren't sorted."""
     v = table(spark, d, "document_versions").select("id", "created_at", F.col("raw_text").alias("raw"))
-    seq = v.select("id", "created_at").withColumn("seq", F.row_number().over(Window.orderBy("created_at", "id"))).select("id", "seq")
-    return v.join(seq, "id").select("seq", "raw")
+    keys = v.select("id", "created_at", F.lit(0).alias("all"), F.lit(1).cast("long").alias("one"))
+    return v.join(running_total(keys, ["all"], ["created_at", "id"], "one", "seq").select("id", "seq"), "id").select("seq", "raw")
 
 
 def ingest_results(spark: SparkSession, d: str) -> DataFrame:
     """All version texts ingested in their order into an empty store."""
-    return V.ingest(_ordered(spark, d))["results"]
+    return V.ingest(_ordered(spark, d)).results
+
+
+def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each text: its document, its version number, or that it was skipped."""
+    return V.ingest(_ordered(spark, d)).results.select("seq", "doc_number", "title", F.coalesce(F.col("version_number").cast("long"), F.lit(0)).alias("version_number"), "skipped", "reason")
 
 
 def deprecate_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Chunk counts by status after that ingest, with supersession in full and by paragraph."""
-    return V.ingest(_ordered(spark, d))["chunks"].groupBy("version_id", "status").agg(F.count(F.lit(1)).alias("chunks"))
+    return V.ingest(_ordered(spark, d)).chunks.groupBy("version_id", "status").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def supersede_chain(spark: SparkSession, d: str) -> DataFrame:
-    return V.ingest(_ordered(spark, d))["links"].select("by", "target", F.array_join("scope", ",").alias("scope"))
+    return V.ingest(_ordered(spark, d)).links.select("by", "target", F.array_join("scope", ",").alias("scope"))
+
+
+#: Texts whose clauses resolve, which those of the tables never do: rows of (seq, text) in the order of ingest.
+INGESTED = (
+    (1, "RBI/QQQ/2029-30/18\nXYZ.ABC.DE.No.12/34.56.789/2029-30\nHarbour Fees Directions\n\n1. Scope\n1.1 All harbours."),
+    (2, "RBI/2030-31/12\nxyz.fee.rec.5/11.22.333/2030-31 (as amended)\nLighthouse Dues Circular\n\n1. Scope\n1.1 All lights."),
+    (3, "RBI/2030-31/1\nPilotage Circular\n\nIn supersession of paragraph 1 of XYZ.ABC.DE.No.12/34.56.789/2029-30, pilots shall act."),
+    (4, "RBI/QQQ/2029-30/18\nXYZ.ABC.DE.No.12/34.56.789/2029-30\nHarbour Fees Directions\n\n1. Scope\n1.1 All harbours and docks."),
+    (5, "RBI/2031-32/3\nBuoys Circular\n\nThis supersedes clauses 2 and 3.1 of RBI/QQQ/2029-30/18 in part."),
+    (6, "RBI/2031-32/4\nWrecks Circular\n\nThis replaces FEE.REC.5/11.22.333/2030-31 and other texts."),
+    (7, "RBI/2031-32/5\nDredging Circular\n\nThis replaces RBI/2031-32/9, which comes later."),
+    (8, "RBI/2031-32/9\nAnchorage Circular\n\nThis amends the RBI/2031-32/9 of last year, that is, itself."),
+    (9, "RBI/2031-32/10\nMoorings Circular\n\nThis replaces RBI/2030-31/1 of old."),
+)
+
+
+def supersede_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Links among INGESTED: by number, by a reference in a header, as part of a longer one, to nothing."""
+    out = V.ingest(spark.createDataFrame(INGESTED, "seq long, raw string"))
+    seqs = out.versions.select("version_id", "seq")
+    by, target = seqs.select(F.col("version_id").alias("by"), F.col("seq").alias("by_seq")), seqs.select(F.col("version_id").alias("target"), F.col("seq").alias("target_seq"))
+    return out.links.join(by, "by").join(target, "target").select("by_seq", "target_seq", F.array_join("scope", ",").alias("scope"))
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +221,7 @@ def stream_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    chunk_fixed, chunk_recursive, chunk_structure_aware, rechunk_all, chunker_sweep, ingest_results, deprecate_scoped, supersede_chain, extractive_sentences,
+    chunk_fixed, chunk_recursive, chunk_structure_aware, rechunk_all, rechunk_fixed, judged_chunks, judgments_missing, chunker_sweep, ingest_results, ingest_outcomes, deprecate_scoped, supersede_chain, supersede_cases, extractive_sentences,
     retrieval_confidence, extractive_answers, faithfulness_report, faithfulness_summary, answer_remarks, source_blocks, notices, lexical_support, salient_missing, stream_dedupe, stream_ingest_counts,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -206,11 +260,39 @@ _CHECKED = f"""lines AS (SELECT qid, unnest(string_split(translate(answer, chr(8
  report AS (SELECT a.qid, round(coalesce(sum(supported::INT) / nullif(count(id), 0), 1.0), 3) AS rate, count(id) AS checked, CAST(coalesce(sum(supported::INT), 0) AS BIGINT) AS supported,
    CAST(coalesce(sum(uncited::INT), 0) AS BIGINT) AS uncited, coalesce(any_value(invalid), 0) AS invalid FROM ans a LEFT JOIN claims USING (qid) LEFT JOIN bad USING (qid) GROUP BY 1)"""
 _SUPPORT = """round(CASE WHEN miss > 0 THEN base * greatest(0.15, 1 - 0.6 * miss / len(sal)) ELSE base END, 6)"""
+_JUDGED = """WITH judged AS (SELECT id AS qid, doc_number AS doc, array_to_string(string_split(trim(title), ' ')[1:n], ' ') AS anchor, n AS grade FROM circulars, (VALUES (1), (2)) x(n) WHERE trim(title) <> ''),
+ hits AS (SELECT j.qid, j.anchor, j.grade, ch.id AS chunk_id FROM judged j JOIN circulars c ON c.doc_number = j.doc JOIN document_versions v ON v.document_id = c.id JOIN chunks ch ON ch.document_version_id = v.id
+  WHERE lower(ch.status) = 'active' AND contains(lower(chunk_text), lower(j.anchor)))"""
+_STORED = f"SELECT row_number() OVER (ORDER BY created_at, id) AS seq, {sql_normalise('raw_text')} AS t FROM document_versions"
+_GIVEN = "SELECT * FROM (VALUES " + ",".join(f"({n}, {q(t)})" for n, t in INGESTED) + ") x(seq, t)"
+_SLUG = "coalesce(nullif(left(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'document')"
+# texts in order, the first of each hash numbered within its document; links to the version before, and to what a clause names:
+# the document of that number, else that of the first text whose head holds it, if it came before; its latest version before
+_INGEST = f"""WITH src AS ({_STORED}), p AS ({_sql_parsed('seq, t')}),
+ titled AS (SELECT *, coalesce(title, 'Untitled document') AS heading FROM p),
+ i AS (SELECT seq, t, heading AS title, coalesce(doc_number, 'LOCAL/' || {_SLUG.format('heading')}) AS doc_number, supersedes_hint AS hint, supersedes_scope AS scope, sha256(t) AS sha, row_number() OVER (PARTITION BY sha256(t) ORDER BY seq) AS nth FROM titled),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_number ORDER BY seq) AS version_number FROM i WHERE nth = 1),
+ v AS (SELECT *, sha256(doc_number || '|' || version_number || '|' || sha) AS version_id FROM n)"""
+_LINKS = """asks AS (SELECT seq, doc_number AS mine, lower(trim(hint)) AS r, scope FROM v WHERE hint IS NOT NULL),
+ ex AS (SELECT a.seq, arg_min(v.doc_number, v.seq) AS of FROM asks a JOIN v ON lower(v.doc_number) = r GROUP BY a.seq HAVING min(v.seq) < a.seq),
+ be AS (SELECT a.seq, arg_min(v.doc_number, v.seq) AS of FROM asks a JOIN v ON contains(lower(left(v.t, 3000)), r) GROUP BY a.seq HAVING min(v.seq) < a.seq),
+ res AS (SELECT a.seq, mine, scope, coalesce(ex.of, be.of) AS of FROM asks a LEFT JOIN ex USING (seq) LEFT JOIN be USING (seq)),
+ links AS (SELECT seq AS by_seq, lag(seq) OVER (PARTITION BY doc_number ORDER BY seq) AS target_seq, '' AS scope FROM v QUALIFY target_seq IS NOT NULL
+  UNION ALL SELECT r.seq, max(v.seq), any_value(r.scope) FROM res r JOIN v ON v.doc_number = r.of WHERE r.of <> r.mine AND v.seq < r.seq GROUP BY r.seq)"""
 ORACLES = {
     "chunk_fixed": f"""WITH w AS (SELECT id, {_WORDS.replace('chunk_text', 'raw_text')} AS ws FROM document_versions),
  s AS (SELECT id, ws, unnest(range(0, len(ws), 290)) AS i FROM w WHERE len(ws) > 0),
  k AS (SELECT id, i // 290 AS ordinal, array_to_string(ws[i + 1 : i + 350], ' ') AS t FROM s WHERE i = 0 OR i - 290 + 350 < len(ws))
  SELECT id, ordinal, md5(t) AS text_md5, len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) AS token_count FROM k WHERE ordinal = 0 OR len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) >= 15""",
+    "rechunk_fixed": f"""WITH w AS (SELECT id, lower(status) AS status, {_WORDS.replace('chunk_text', 'raw_text')} AS ws FROM document_versions),
+ s AS (SELECT id, status, ws, unnest(range(0, len(ws), 290)) AS i FROM w WHERE len(ws) > 0),
+ k AS (SELECT id, status, i // 290 AS ordinal, array_to_string(ws[i + 1 : i + 350], ' ') AS t FROM s WHERE i = 0 OR i - 290 + 350 < len(ws))
+ SELECT id, ordinal, md5(t) AS text_md5, status FROM k WHERE ordinal = 0 OR len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) >= 15""",
+    "judged_chunks": f"{_JUDGED} SELECT qid, chunk_id, CAST(max(grade) AS BIGINT) AS grade FROM hits GROUP BY 1, 2",
+    "judgments_missing": f"{_JUDGED} SELECT qid, anchor FROM judged j WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = j.qid AND h.anchor = j.anchor)",
+    "ingest_outcomes": f"{_INGEST} SELECT i.seq, i.doc_number, i.title, coalesce(v.version_number, 0) AS version_number, i.nth > 1 AS skipped, CASE WHEN i.nth > 1 THEN {q(X.DUPLICATE_REASON)} ELSE '' END AS reason FROM i LEFT JOIN v USING (seq)",
+    "supersede_chain": f"{_INGEST}, {_LINKS} SELECT b.version_id AS by, t.version_id AS target, links.scope FROM links JOIN v b ON b.seq = by_seq JOIN v t ON t.seq = target_seq",
+    "supersede_cases": f"{_INGEST.replace(_STORED, _GIVEN)}, {_LINKS} SELECT by_seq, target_seq, scope FROM links",
     "extractive_sentences": f"{_FOUND}, {_BEST} SELECT * FROM best",
     "retrieval_confidence": f"{_FOUND}, {_BEST} SELECT qid, round(confidence, 6) AS confidence FROM conf",
     "extractive_answers": f"{_FOUND}, {_BEST} SELECT qid, answer, refused FROM ans",

@@ -30,12 +30,15 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder of this machine is used.
+    Only where the setting is absent (tests, a laptop) a temporary folder of this machine is used, and only by a
+    session whose executors are on this machine.
     """
     scala_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if scala_dir.isDefined():
         return scala_dir.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.text import file_slug
+from quillspark.operators.prefix import running_total
+from quillspark.session import staged
+
 # Dropped tags, scanned suffixes, skipped names, links that lead to documents.
 DROPPED = frozenset({"script", "style", "nav", "footer", "header", "noscript"})
 PATTERNS = (".txt", ".md", ".pdf", ".html")
@@ -108,30 +113,29 @@ def html_text(column: Column) -> Column:
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, path, raw, error) of all documents below folder: by suffix in the order of PATTERNS, then by path.
 
-    A file that can't be read has a null raw and its error; the others aren't affected.
+    A file that can't be read has a null raw and its error; the others aren't affected. Paths are numbered over all
+    tasks before any file is opened, and each file is decoded once.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     suffix = F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))
     place = F.array_position(F.array(*[F.lit(p) for p in PATTERNS]), suffix)
-    files = files.filter((place > 0) & ~name.isin(*SKIPPED)).select("path", place.alias("kind"), "content")
+    wanted = (place > 0) & ~name.isin(*SKIPPED)
+    paths = files.filter(wanted).select("path", place.alias("kind"), F.lit(0).alias("all"), F.lit(1).cast("long").alias("one"))
+    order = running_total(paths, ["all"], ["kind", "path"], "one", "seq").select("path", "seq")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, kind, data in zip(part["path"], part["kind"], part["content"], strict=True):
+            for path, data in zip(part["path"], part["content"], strict=True):
                 try:
-                    rows.append((path, kind, bytes_to_text(data, path), None))
+                    rows.append((path, bytes_to_text(data, path), None))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((path, kind, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "kind", "raw", "error"])
-
-    read = files.mapInPandas(run, "path string, kind long, raw string, error string")
-    # a global number needs one order; only names are sorted, the texts stay where they are
-    from pyspark.sql import Window
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "raw", "error"])
 
-    order = read.select("path", "kind").withColumn("seq", F.row_number().over(Window.orderBy("kind", "path")))
-    return read.drop("kind").join(order.select("path", "seq"), "path").select("seq", "path", "raw", "error")
+    read = files.filter(wanted).select("path", "content").mapInPandas(run, "path string, raw string, error string")
+    return read.join(order, "path").select("seq", "path", "raw", "error")
 
 
 def discover_links(pages: DataFrame, least_title: int = 8) -> DataFrame:
@@ -175,14 +179,55 @@ def read_judged_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_beir(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(corpus(doc, text), queries(qid, text), qrels(qid, doc, grade)) of a folder in the BEIR layout."""
+    """(corpus(at, doc, text), queries(qid, text), qrels(at, qid, doc, grade)) of a folder in the BEIR layout; at numbers lines in their order."""
+    at = F.monotonically_increasing_id().alias("at")
     corpus = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl")
-    corpus = corpus.select(F.col("_id").alias("doc"), F.trim(F.concat_ws("\n", "title", "text")).alias("text"))
+    corpus = corpus.select(at, F.col("_id").alias("doc"), F.trim(F.concat_ws("\n", "title", "text")).alias("text"))
     queries = spark.read.schema("_id string, text string").json(f"{folder}/queries.jsonl").select(F.col("_id").alias("qid"), "text")
-    qrels = spark.read.option("sep", "\t").option("header", True).schema("qid string, doc string, grade int").csv(f"{folder}/qrels/test.tsv")
+    qrels = spark.read.option("sep", "\t").option("header", True).schema("qid string, doc string, grade int").csv(f"{folder}/qrels/test.tsv").select(at, "qid", "doc", "grade")
     return corpus, queries, qrels
 
 
+def http_get(url: str) -> bytes:
+    """The body behind a url."""
+    with urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=60) as answer:  # noqa: S310
+        return answer.read()
+
+
+def fetch_documents(links: DataFrame, get: Callable[[str], bytes] = http_get, least: int = 200) -> DataFrame:
+    """(url, title, file, raw, error) of links(url, title): each page's text and the name of the file it would get.
+
+    A page that can't be fetched or whose text is shorter than least characters has a null raw and its error. get may
+    read stored pages instead of the network. Fetches run in Arrow batches, as many at once as there are tasks.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for url, title in zip(part["url"], part["title"], strict=True):
+                try:
+                    data = get(url)
+                    text = bytes_to_text(data, "a.pdf" if data[:5] == b"%PDF-" else "a.html")
+                    rows.append((url, title, text, None) if len(text) >= least else (url, title, None, "too short"))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((url, title, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "title", "raw", "error"])
+
+    read = links.select("url", "title").mapInPandas(run, "url string, title string, raw string, error string")
+    return read.select("url", "title", F.concat(file_slug(F.col("title")), F.lit(".txt")).alias("file"), "raw", "error")
+
+
+def crawl(spark: SparkSession, listings: list[str], stored: DataFrame | None = None, get: Callable[[str], bytes] = http_get) -> tuple[DataFrame, DataFrame]:
+    """(fetched, manifest(url, title, file)): the documents that listing pages link to and the manifest lacks, fetched, and the manifest with them."""
+    pages = spark.createDataFrame([(u, get(u).decode("utf-8", "ignore")) for u in listings], "url string, html string")  # a handful of listings
+    links = discover_links(pages)
+    if stored is not None:
+        links = links.join(stored.select("url"), "url", "left_anti")
+    fetched = staged(fetch_documents(links, get), "fetched")
+    good = fetched.filter("raw is not null").select("url", "title", "file")
+    return fetched, good if stored is None else merge_manifest(stored, good)
+
+
 def merge_manifest(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """stored and the rows of fetched whose url it lacks, one row a url."""
     return stored.unionByName(fetched.dropDuplicates(["url"]).join(stored.select("url"), "url", "left_anti"), allowMissingColumns=True)

@@ -15,11 +15,14 @@ def text_stream(spark: SparkSession, folder: str, schema: str, per_batch: int =
 
 
 def first_of_hash(rows: DataFrame, text: str = "text", time: str | None = None, delay: str = "7 days") -> DataFrame:
-    """The first row of each content hash. With a time column the state is bounded: repeats are dropped within delay."""
+    """The first row of each content hash; repeats are dropped within delay of event time, so the state is bounded.
+
+    Without a time column the time of reading counts. Later repeats are left to the store, which knows all hashes.
+    """
     hashed = rows.withColumn("sha256", X.content_hash(F.col(text)))
     if time is None:
-        return hashed.dropDuplicates(["sha256"])
-    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
+        hashed, time = hashed.withColumn("__read", F.current_timestamp()), "__read"
+    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"]).drop("__read")
 
 
 def run_to_end(stream: DataFrame, out: str, name: str) -> DataFrame:

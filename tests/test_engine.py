@@ -5,9 +5,9 @@ from quillspark.operators import versioning as V
 from quillspark.sources import files
 from quillspark.streaming import ingest as S
 
-BASE = """RBI/DBR/2015-16/18
-DBR.AML.BC.No.81/14.01.001/2015-16
-Know Your Customer Master Direction
+BASE = """RBI/QQQ/2025-26/18
+XYZ.ABC.DE.No.81/34.56.789/2025-26
+Harbour Records Master Direction
 25 February 2016
 
 1. Short title
@@ -18,12 +18,12 @@ Know Your Customer Master Direction
 
 7. Penalty
 7.1 A penalty may be levied where records of a customer are not updated in time by the bank or by an agent that acts on its behalf."""
-AMENDMENT = """RBI/2026-27/88
-DOR.AML.REC.42/14.01.001/2026-27
-Know Your Customer Amendment Directions
+AMENDMENT = """RBI/2036-37/88
+XYZ.FEE.REC.42/34.56.789/2036-37
+Harbour Records Amendment Directions
 18 September 2026
 
-In supersession of paragraph 6 of DBR.AML.BC.No.81/14.01.001/2015-16, the following is directed to all banks with immediate effect.
+In supersession of paragraph 6 of XYZ.ABC.DE.No.81/34.56.789/2025-26, the following is directed to all banks with immediate effect.
 
 6. Periodic Updation
 6.1 Records shall be updated every three years for high risk customers and the bank shall keep the evidence of each update in its files."""
@@ -35,23 +35,23 @@ def ingest(spark, *texts):
 
 def test_scoped_supersession(spark):
     out = ingest(spark, BASE, AMENDMENT)
-    chunks = out["chunks"].collect()
+    chunks = out.chunks.collect()
     old = [c for c in chunks if c.status == "deprecated"]
     assert old and all("6." in c.chunk_text for c in old)
     assert any(c.status == "active" and "7.1" in c.chunk_text for c in chunks)
     assert not any(c.status == "active" and "two years" in c.chunk_text for c in chunks)
-    assert {v.doc_number: v.status for v in out["versions"].collect()} == {"RBI/DBR/2015-16/18": "active", "RBI/2026-27/88": "active"}
+    assert {v.doc_number: v.status for v in out.versions.collect()} == {"RBI/QQQ/2025-26/18": "active", "RBI/2036-37/88": "active"}
 
 
 def test_order_duplicates_and_new_versions(spark):
     out = ingest(spark, AMENDMENT, BASE)
-    assert all(c.status == "active" for c in out["chunks"].collect())
+    assert all(c.status == "active" for c in out.chunks.collect())
     out = ingest(spark, BASE, BASE, BASE + "\n\n8. New\n8.1 A further paragraph.")
-    results = out["results"].orderBy("seq").collect()
+    results = out.results.orderBy("seq").collect()
     assert [r.skipped for r in results] == [False, True, False] and "sha256" in results[1].reason
     assert [r.version_number for r in results] == [1, None, 2]
-    assert {v.version_number: v.status for v in out["versions"].collect()} == {1: "deprecated", 2: "active"}
-    assert ingest(spark, "").get("results").count() == 1
+    assert {v.version_number: v.status for v in out.versions.collect()} == {1: "deprecated", 2: "active"}
+    assert ingest(spark, "").results.count() == 1
 
 
 def test_split_by_scope():
@@ -66,18 +66,63 @@ def test_engine_round(spark, tmp_path):
     assert e.ingest_text(BASE).first().chunks_created > 0
     q = spark.createDataFrame([("q", "how often are records of high risk customers updated")], "qid string, text string")
     assert "two years" in e.search(q, "dense").orderBy("rank").first().chunk_text
-    e.upload(AMENDMENT.encode(), "a.txt")
+    first = e.upload(AMENDMENT.encode(), "a.txt").first()
+    assert first.chunks_deprecated >= 1 and first.superseded_version_id
     assert "three years" in e.search(q, "dense").orderBy("rank").first().chunk_text
-    assert not e.ask(q).first().refused
+    assert e.upload(AMENDMENT.encode(), "a.txt").first().skipped
+    assert not e.upload(AMENDMENT.encode(), "a.txt", title="Given", allow_duplicate=True).first().skipped
+    assert sorted(p.name for p in (tmp_path / "store-uploads").iterdir() if not p.name.startswith(".")) == ["a-1.txt", "a-2.txt", "a.txt"]
+    answer = e.ask(q).first()
+    assert not answer.refused and answer.provider == "extractive" and answer.citations[0].n == 1
     stats = e.stats().first()
-    assert stats.documents == 2 and stats.deprecated >= 1
-    assert e.documents().count() == 2
-    for bad in (lambda: e.upload(b"x", "a.exe"), lambda: e.upload(b"", "a.txt"), lambda: e.ingest_text("short"), lambda: e.search(q, k=0)):
+    assert stats.documents == 2 and stats.deprecated >= 1 and stats.embedder == "hashing:1024"
+    before = {(r.chunk_id, r.status) for r in e._current("chunks").collect()}
+    assert [v["version_number"] for v in e.document("RBI/2036-37/88")["versions"]] == [1, 2] and e.documents().count() == 2
+    e.compact()
+    assert {(r.chunk_id, r.status) for r in e._current("chunks").collect()} == before
+    again = Engine(spark, str(tmp_path / "store"), "recursive")
+    again.rebuild()
+    assert again.stats().first().documents == 2
+    assert again.reembed().count() == again.stats().first().chunks
+    judged = spark.createDataFrame([("q", "how often are records updated", "RBI/2036-37/88", "three YEARS", 2), ("q", "how often are records updated", "RBI/none", "x", 1)], "qid string, text string, doc string, anchor string, grade int")
+    sweep = {r.config: r for r in again.sweep(judged, q).collect()}
+    assert set(sweep) == {"fixed", "recursive", "structure_aware"} and all(r.mrr > 0 and r.chunks > 0 for r in sweep.values())
+    bad_calls = (
+        lambda: e.upload(b"x", "a.exe"), lambda: e.upload(b"", "a.txt"), lambda: e.upload(b"x" * (25 * 1024 * 1024 + 1), "a.txt"), lambda: e.ingest_text("short"),
+        lambda: e.search(q, k=0), lambda: e.ask(q, k=21), lambda: e.ask(q.withColumn("text", V.F.lit("x" * 4001))),
+    )
+    for bad in bad_calls:
         with pytest.raises(ValueError):
             bad()
+    with pytest.raises(KeyError):
+        e.document("none")
     e.reset()
 
 
+def test_sessions(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.ingest_text(BASE)
+    assert e.sessions().count() == 0
+    e.chat("s1", "how often are records of high risk customers updated")
+    e.chat("s1", "what may be levied as a penalty")
+    turns = e.history("s1").collect()
+    assert [t.role for t in turns] == ["user", "assistant"] * 2 and turns[1].meta.citations[0].n == 1
+    assert e.sessions().first().title.startswith("how often")
+    e.delete_session("s1")
+    assert e.sessions().count() == 0
+    for name in ("s1", "../x"):
+        with pytest.raises(KeyError):
+            e.delete_session(name)
+
+
+def test_references_and_targets(spark):
+    out = V.ingest(spark.createDataFrame([(1, BASE, None), (2, "RBI/2037-38/1\nA Circular on other Matters of Harbours\n\n1. Scope", "RBI/QQQ/2025-26/18")], "seq long, raw string, target string"))
+    assert out.links.count() == 1
+    t = spark.createDataFrame([("see rbi/2030-31/120 and xdbr.AML.BC.No.81/14.01.001/2015-16",), (None,)], "t string")
+    refs = [r[0] for r in t.select(V.borne(V.F.col("t"))).collect()]
+    assert {"rbi/2030-31/120", "rbi/2030-31/12", "dbr.aml.bc.no.81/14.01.001/2015-16", "bc.no.81/14.01.001/2015-16"} <= set(refs[0]) and refs[1] == []
+
+
 def test_stream_drops_repeats(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id long, text string").write.parquet(folder)

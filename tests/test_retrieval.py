@@ -109,3 +109,89 @@ def test_chunks_are_embedded_whole(spark, corpus, tmp_path):
     rows = {(r.chunk_id, r.bucket): r.weight for r in Q.QUERIES["hash_embed_chunks"](spark, str(tmp_path)).collect()}
     assert rows == pytest.approx({(r.chunk_id, r.bucket): r.weight for r in R.hash_embedding(docs, "chunk_id", "text").collect()}, abs=1e-6)
     assert {k for k, b in rows if b >= R.BUCKETS} == {"c1", "c2", "c3", "c4", "c7"}
+
+
+def test_uncited_rules_and_invalid_numbers(spark, corpus):
+    queries, docs = corpus
+    hits = spark.createDataFrame([("q", "c3", 1)], "qid string, chunk_id string, rank int")
+    text = "**Cyber incident reporting rules**\nThe following duties apply here:\n- Cyber incidents must be reported\u00a0within two to six hours [1] and [9].\n* Banks gain holidays every year [9].\nToo short [9]."
+    made = spark.createDataFrame([("q", text), ("e", None)], "qid string, answer string")
+    claims, report = A.check_answers(made, hits, docs)
+    got = {r.qid: r for r in report.collect()}
+    assert (got["q"].checked, got["q"].supported, got["q"].uncited, got["q"].invalid) == (3, 1, 1, 1) and got["e"].rate == 1.0
+    always = A.check_answers(made, hits, docs, judge=lambda c, p: F.lit(False))[1].filter("qid = 'q'").first()
+    assert always.supported == 0
+
+
+def test_providers_fall_back_and_plug_in(spark, corpus):
+    from quillspark.operators import providers as P
+
+    queries, docs = corpus
+    assert P.embedder("neural").signature == P.embedder("none such").signature == "hashing:1024"
+    assert P.reranker("cross-encoder") is R.lexical_rerank and P.answerer("chat") is P.extractive
+    rows = P.reembed_all(docs, P.embedder()).collect()
+    assert len(rows) == 5 and all(r.embedding_dim == 1024 == len(r.embedding) for r in rows)
+    longest = P.cross_rerank(lambda pairs: np.array([len(p) for _, p in pairs]))
+    hits = R.search(queries, docs, "hybrid_rerank", 2, include_deprecated=True, reranker=longest).filter("qid = 'q1'").orderBy("rank").collect()
+    assert hits[0].chunk_id == "c1"
+    full = docs.withColumn("doc_number", F.lit("N")).withColumn("title", F.lit("T")).withColumn("section_ref", F.lit(None).cast("string")).withColumn("published_date", F.lit(None).cast("date"))
+    top = R.search(queries, docs, "bm25", 3).select("qid", "chunk_id", "rank")
+    said = {r.qid: r for r in P.generated(lambda system, user: "Loans cool off for three days. [1]")(queries, top, full).collect()}
+    assert said["q1"].provider == "chat" and said["q1"].answer.startswith("Loans cool") and said["q3"].refused and said["q3"].provider == "extractive"
+
+    def broken(system, user):
+        raise OSError
+
+    assert {r.provider for r in P.generated(broken)(queries, top, full).collect()} == {"extractive"}
+
+
+def test_chat_endpoint_over_http():
+    import http.server
+    import json
+    import threading
+
+    from quillspark.operators import providers as P
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            out = json.dumps({"choices": [{"message": {"content": body["model"] + ":" + body["messages"][1]["content"]}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert P.ChatEndpoint(f"http://127.0.0.1:{server.server_port}", "k", "m").complete("s", "u") == "m:u"
+    server.shutdown()
+
+
+def test_judgments_and_benchmark(spark, tmp_path):
+    from quillspark.operators import evaluation as E
+    from quillspark.sources import files
+
+    chunks = spark.createDataFrame([("c1", "The FEE is due", "D1", "active"), ("c2", "the fee", "D1", "Deprecated"), ("c3", "fee", "D2", "active")], "chunk_id string, text string, doc_number string, status string")
+    judged = spark.createDataFrame([("q", "D1", "fee is", 1), ("q", "D1", "fee", 2), ("q", "D2", "toll", 2)], "qid string, doc string, anchor string, grade int")
+    qrels, missing = E.resolve_judgments(judged, chunks)
+    assert [(r.qid, r.chunk_id, r.grade) for r in qrels.collect()] == [("q", "c1", 2)] and [r.anchor for r in missing.collect()] == ["toll"]
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text("\n".join(f'{{"_id": "d{i}", "title": "t{i}", "text": "word{i} common text"}}' for i in range(40)))
+    (tmp_path / "queries.jsonl").write_text("\n".join(f'{{"_id": "q{i}", "text": "word{i}"}}' for i in range(4)))
+    (tmp_path / "qrels" / "test.tsv").write_text("qid\tdoc\tscore\n" + "\n".join(f"q{i}\td{39 - i}\t1\nq{i}\td{i}\t1" for i in range(4)))
+    corpus, queries, rels = E.beir_subset(*files.read_beir(spark, str(tmp_path)), 2)
+    assert corpus.count() == 22 and {r.qid for r in queries.collect()} == {"q0", "q1"} and rels.count() == 4
+    rows = {r.config: r for r in E.beir_evaluate(corpus, queries, rels, 10).collect()}
+    assert set(rows) == set(R.MODES) and rows["bm25"].mrr == 1.0 and rows["bm25"].queries == 2
+    table = E.write_results(spark, E.per_query(qrels, spark.createDataFrame([("q", "c1", 1)], "qid string, chunk_id string, rank int"), 5, "one"), str(tmp_path / "out"), "run")
+    assert "| one | 0.200 | 1.000 |" in table and spark.read.parquet(str(tmp_path / "out" / "per_query")).count() == 1
+
+
+def test_stored_index_gives_the_same(spark, corpus, tmp_path):
+    queries, docs = corpus
+    R.build_index(docs.select("chunk_id", "text")).write(str(tmp_path / "ix"))
+    stored = R.Index.read(spark, str(tmp_path / "ix"))
+    row = lambda df: sorted((r.qid, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert row(R.search(queries, docs, "bm25", 3, index=stored)) == row(R.search(queries, docs, "bm25", 3))

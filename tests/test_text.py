@@ -5,8 +5,8 @@ from quillspark.functions import text as X
 from quillspark.operators import chunking as C
 from quillspark.sources import files
 
-SAMPLE = """RBI/2026-27/88
-Know Your Customer Directions
+SAMPLE = """RBI/2036-37/88
+Harbour Records Directions
 
 1. Short title
 1.1 These directions apply to every bank.
@@ -31,10 +31,10 @@ def test_normalise_and_extract(spark):
     assert one(spark, X.normalise_text, "a\r\nb  c\t d \n\n\n\n“x” – y\xa0z ") == 'a\nb c d\n\n"x" - y z'
     assert str(one(spark, X.extract_date, "31 February 2020, then April 3, 2021")) == "2021-04-03"
     assert one(spark, X.extract_date, "no date") is None
-    assert one(spark, X.extract_doc_number, "see RBI/DBR/2015-16/18") == "RBI/DBR/2015-16/18"
-    assert one(spark, X.supersedes_hint, "In supersession of para 6 of DBR.AML.BC.No.81/14.01.001/2015-16") == "DBR.AML.BC.No.81/14.01.001/2015-16"
+    assert one(spark, X.extract_doc_number, "see RBI/QQQ/2025-26/18") == "RBI/QQQ/2025-26/18"
+    assert one(spark, X.supersedes_hint, "In supersession of para 6 of XYZ.ABC.DE.No.81/34.56.789/2025-26") == "XYZ.ABC.DE.No.81/34.56.789/2025-26"
     assert one(spark, X.supersession_scope, "supersedes clauses 3 to 5; amends the paragraph 3") == ["3", "5"]
-    assert one(spark, X.extract_title, SAMPLE) == "Know Your Customer Directions"
+    assert one(spark, X.extract_title, SAMPLE) == "Harbour Records Directions"
     assert one(spark, X.bm25_tokens, "The KYC of 6.1 shall apply") == ["kyc", "6.1", "apply"]
     assert one(spark, lambda c: X.bigrams(F.split(c, " ")), "x") == [] and one(spark, lambda c: X.bigrams(F.split(c, " ")), "a b c") == ["a b", "b c"]
     for f in (X.normalise_text, X.extract_date, X.extract_title, X.budget_tokens, X.slug):
@@ -64,6 +64,22 @@ def test_chunkers(spark):
         C.chunk(docs, "id", "t", "other")
 
 
+def test_structure_aware_pieces():
+    text = "Preamble of it.\n\n1. Head\nbody one\n\n2. Next\nbody | two |\n| three | four\n\nafter | one bar\nrow [TABLE] mark\n1. a | b\n\nc\n[/TABLE]\ntail"
+    made = C.structure_aware(text, 350, 60, 0)
+    assert [c[1] for c in made] == ["prose", "table", "prose", "table", "prose"]
+    assert made[0][0] == "Preamble of it.\n\n1. Head\nbody one\n\n2. Next" and made[0][2] is None
+    assert made[1][0] == "[Section: 2. Next]\nbody | two |\n| three | four" and made[3][0] == "[Section: 2. Next]\n1. a | b\n\nc"
+    assert made[4][0] == "[Section: 2. Next]\ntail"
+    merged = C.structure_aware(text, 350, 60, 40)
+    assert len(merged) == 5  # small prose joins prose only, never over a table
+    long = "\n\n".join(" ".join(f"w{i}" for i in range(n)) for n in (30, 30, 90, 10))
+    parts = C.structure_aware("1. Head\n" + long, 50, 10, 5)
+    assert [C.count_tokens(c[0].split("\n", 1)[1]) for c in parts] == [33, 30, 50, 50, 10, 10]
+    assert C.structure_aware("1. Head\n\n" + "x " * 60 + "\n\n2. Two\nfew words", 50, 10, 40)[-1][0].endswith("\n\n[Section: 2. Two]\n2. Two\nfew words")
+    assert C.structure_aware("", 50, 10) == []
+
+
 def test_html_and_links(spark):
     text = files.html_to_text("<h1>T</h1><script>x</script><table><tr><td>A</td><td>B</td></tr><tr><td>1</td><td>2</td></tr></table>")
     assert "A | B" in text and "1 | 2" in text and "[TABLE]" in text and "x" not in text
@@ -82,3 +98,23 @@ def test_folder(spark, tmp_path):
     (tmp_path / "bad.pdf").write_bytes(b"%PDF broken")
     rows = files.read_folder(spark, str(tmp_path)).orderBy("seq").collect()
     assert [r.raw for r in rows] == ["first", "second", None, "third"] and rows[2].error
+
+
+def test_fetch_and_crawl(spark, tmp_path):
+    page = "<p>" + "A stored page of a circular on harbour fees. " * 8 + "</p>"
+    (tmp_path / "pages").mkdir()
+    for name, body in (("1", page), ("2", "<p>tiny</p>")):
+        (tmp_path / "pages" / name).write_text(body)
+    folder = str(tmp_path / "pages")
+
+    def get(url):
+        if "list" in url:
+            return b'<a href="NotificationUser.aspx?Id=1">Harbour fees circular</a><a href="NotificationUser.aspx?Id=2">Another circular</a><a href="NotificationUser.aspx?Id=3">A missing circular</a>'
+        with open(f"{folder}/{url[-1]}", "rb") as f:
+            return f.read()
+
+    fetched, manifest = files.crawl(spark, ["http://h/list"], None, get)
+    rows = {r.url[-1]: r for r in fetched.collect()}
+    assert rows["1"].raw.startswith("A stored page") and rows["2"].error == "too short" and "FileNotFound" in rows["3"].error
+    assert [(r.title, r.file) for r in manifest.collect()] == [("Harbour fees circular", "harbour-fees-circular.txt")]
+    assert files.crawl(spark, ["http://h/list"], manifest, get)[1].count() == 1
