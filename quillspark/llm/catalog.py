@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import lookalike, mixture, neighbours, packing, pieces, quality, retyped, revisions, tokens
@@ -102,6 +102,12 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_rows(rows, ["field", "id", "section_ref"], "body", whole=False)
 
 
+def p5_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts by where they fall: 3 before a section, 2 a paragraph, 1 a sentence or line, 0 none of these within reach."""
+    cuts = p5_pieces(spark, sf_dir).filter("piece > 0")
+    return cuts.groupBy("boundary").agg(F.count(F.lit(1)).alias("cuts"), F.round(F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy(F.lit(0))), 4).alias("share"))
+
+
 def _sizes(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return tokens.token_sizes(table(spark, sf_dir, "documents").select(*keys, "text"), list(keys))
 
@@ -156,7 +162,7 @@ canon AS (
 """
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p4_recall, p5_found, p5_pieces,
+    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p4_recall, p5_found, p5_pieces, p5_boundaries,
     p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_quality,
 )}
 ORACLES = {

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +39,32 @@ LOOK_ALIKES = {
 }
 #: Blocks of code points without width that are no format characters.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+#: Strings of one form that one task pairs with the rest at most.
+PAIR_BLOCK = 1000
 #: A stretch: characters beyond ASCII, with the character before them, which may carry their marks.
 STRETCH = r"[\x00-\x7f]?[^\x00-\x7f]+"
 
 
-def _code_point(cp: int) -> str | None:
+@cache
+def confusables(jvm: object) -> dict[str, str]:
+    """Letters and digits beyond ASCII by the glyph shown, from the public confusables data of Unicode in Spark's own ICU library.
+
+    The data merge 1, I, l and | too: a capital shown as their stroke becomes I, a digit 1, another letter l. Han and
+    Hangul are left alone, and so are marks: LOOK_ALIKES has those that don't differ to the eye.
+    """
+    skip = (range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0xE000, 0xF900), range(0x20000, 0x33480))
+    chars = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LN" and not any(ord(c) in r for r in skip)]
+    skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(0, "\n".join(chars)).split("\n")
+    stroke = {"Lu": "I", "Nd": "1"}
+    return {c: stroke.get(unicodedata.category(c), s) if s == "l" else s for c, s in zip(chars, skeletons, strict=True) if s != unicodedata.normalize("NFD", c)}
+
+
+def glyphs(spark: SparkSession) -> dict[str, str]:
+    """What shows as what: the confusables, and LOOK_ALIKES before them."""
+    return confusables(spark.sparkContext._jvm) | LOOK_ALIKES
+
+
+def _code_point(cp: int, shown: dict[str, str]) -> str | None:
     """What one code point becomes before ordering; None if it stays itself."""
     ch = chr(cp)
     if cp < 128 or 0xD800 <= cp < 0xE000:
@@ -57,18 +77,19 @@ def _code_point(cp: int) -> str | None:
     parts = unicodedata.normalize("NFKD", ch)
     if len(parts) > 1 and unicodedata.category(ch) == "Sk":
         parts = ch  # spacing accents stay visible characters of their own
-    new = "".join("" if unicodedata.category(c) == "Cf" or ord(c) in INVISIBLE else LOOK_ALIKES.get(c, c) for c in parts)
+    new = parts
+    for _ in range(3):  # what is shown may itself show as something else
+        new = "".join("" if unicodedata.category(c) == "Cf" or ord(c) in INVISIBLE else shown.get(c, c) for c in (new if new == ch else unicodedata.normalize("NFKD", new)))
     return None if new == ch else new
 
 
-@cache
-def mapping_rows() -> list[tuple[int, list[int]]]:
-    """(code point, what it becomes) for all code points that change; about 17 000 of at most 1 114 112.
+def mapping_rows(shown: dict[str, str] = LOOK_ALIKES) -> list[tuple[int, list[int]]]:
+    """(code point, what it becomes) for all code points that change; about 8 000 of at most 1 114 112.
 
     Hangul syllables decompose by arithmetic and recompose to themselves, so they are left alone.
     """
     cps = (c for c in range(128, sys.maxunicode + 1) if not 0xAC00 <= c < 0xD7A4 and not 0xE000 <= c < 0xF900)
-    return [(c, [ord(x) for x in new]) for c in cps if (new := _code_point(c)) is not None]
+    return [(c, [ord(x) for x in new]) for c in cps if (new := _code_point(c, shown)) is not None]
 
 
 @cache
@@ -77,14 +98,29 @@ def class_rows() -> list[tuple[int, int]]:
     return [(c, k) for c in range(128, sys.maxunicode + 1) if (k := unicodedata.combining(chr(c)))]
 
 
+_mappings: dict[str, list[tuple[int, list[int]]]] = {}
+
+
+def mapping(spark: SparkSession) -> list[tuple[int, list[int]]]:
+    """mapping_rows of all glyphs, made once a process."""
+    if "all" not in _mappings:
+        _mappings["all"] = mapping_rows(glyphs(spark))
+    return _mappings["all"]
+
+
+def translation(spark: SparkSession) -> dict[int, str]:
+    """The mapping for str.translate, to be broadcast to Python stages: at most one entry a code point."""
+    return {c: "".join(map(chr, new)) for c, new in mapping(spark)}
+
+
 @cache
 def _table() -> dict[int, str]:
     return {c: "".join(map(chr, new)) for c, new in mapping_rows()}
 
 
-def consistent(text: str) -> str:
-    """The consistent form of one string, for use inside other operators' Python stages."""
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_table()))
+def consistent(text: str, table: dict[int, str] | None = None) -> str:
+    """The consistent form of one string by a translation, for use inside other operators' Python stages; without one, by LOOK_ALIKES only."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_table() if table is None else table))
 
 
 @F.pandas_udf(T.StringType())
@@ -95,7 +131,7 @@ def _recompose(stretches: pd.Series) -> pd.Series:
 def _stretch_forms(stretches: DataFrame) -> DataFrame:
     """(stretch, form) of the distinct stretches(stretch)."""
     spark: SparkSession = stretches.sparkSession
-    becomes = F.broadcast(spark.createDataFrame(mapping_rows(), "cp int, becomes array<int>"))
+    becomes = F.broadcast(spark.createDataFrame(mapping(spark), "cp int, becomes array<int>"))
     classes = F.broadcast(spark.createDataFrame(class_rows(), "mark int, class int"))
     points = stretches.select("stretch", F.posexplode(F.split("stretch", "")).alias("at", "char")).filter("char <> ''")
     # ascii() gives the code point of the first character
@@ -103,30 +139,13 @@ def _stretch_forms(stretches: DataFrame) -> DataFrame:
     mapped = points.join(becomes, "cp", "left").select(
         "stretch", "at", F.posexplode(F.coalesce("becomes", F.array("cp"))).alias("sub", "new")
     )
-    ranked = mapped.join(classes, F.col("new") == F.col("mark"), "left").select(
-        "stretch", F.struct("at", "sub", F.coalesce("class", F.lit(0)).alias("class"), "new").alias("p")
-    )
-    gathered = ranked.groupBy("stretch").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    # The marks after a starter move among themselves only: number the starters, then sort by (starter, class, place).
-    numbered = F.aggregate(
-        "ps",
-        F.expr("struct(0 as n, cast(array() as array<struct<n:int,class:int,at:int,sub:int,new:int>>) as xs)"),
-        lambda acc, p: F.struct(
-            (acc["n"] + F.when(p["class"] == 0, 1).otherwise(0)).alias("n"),
-            F.concat(
-                acc["xs"],
-                F.array(F.struct((acc["n"] + F.when(p["class"] == 0, 1).otherwise(0)).alias("n"), p["class"].alias("class"), p["at"].alias("at"), p["sub"].alias("sub"), p["new"].alias("new"))),
-            ).alias("xs"),
-        ),
-        lambda acc: acc["xs"],
-    )
+    ranked = mapped.join(classes, F.col("new") == F.col("mark"), "left").select("stretch", "at", "sub", F.coalesce("class", F.lit(0)).alias("class"), "new")
+    # the marks after a starter move among themselves only: number the starters, then sort by (starter, class, place)
+    starters = F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(Window.partitionBy("stretch").orderBy("at", "sub"))
+    numbered = ranked.withColumn("n", starters)
+    ordered = F.array_sort(F.collect_list(F.struct("n", "class", "at", "sub", "new")))
     spelled = F.transform("xs", lambda x: F.decode(F.unhex(F.lpad(F.hex(x["new"]), 8, "0")), "UTF-32"))
-    forms = gathered.withColumn("marked", F.exists("ps", lambda p: p["class"] > 0)).select(
-        "stretch",
-        F.when(F.col("marked"), F.array_sort(numbered)).otherwise(
-            F.transform("ps", lambda p: F.struct(F.lit(0).alias("n"), p["class"].alias("class"), p["at"].alias("at"), p["sub"].alias("sub"), p["new"].alias("new")))
-        ).alias("xs"),
-    ).select("stretch", F.array_join(spelled, "").alias("spelled"))
+    forms = numbered.groupBy("stretch").agg(ordered.alias("xs")).select("stretch", F.array_join(spelled, "").alias("spelled"))
     # a stretch of characters without width leaves no point behind only if it has no other character
     return stretches.join(forms, "stretch", "left").select("stretch", _recompose(F.coalesce("spelled", F.lit(""))).alias("form"))
 
@@ -179,10 +198,12 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     )
     same = ["field", "form", "size"]
     kinds = prints.select(*same, "raw").distinct()
-    several = kinds.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kinds = kinds.join(several.drop("n"), same, "left_semi")
-    left, right = kinds.withColumnRenamed("raw", "raw_a"), kinds.withColumnRenamed("raw", "raw_b")
-    pairs = left.join(right, same).filter("raw_a <> raw_b")
+    several = kinds.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    kinds = kinds.join(several.drop("n"), same)
+    # many strings of one form meet block by block, so no task pairs more than PAIR_BLOCK of them with the rest
+    left = kinds.select(*same, F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("raw"), F.col("blocks")).cast("int").alias("block"))
+    right = kinds.select(*same, F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = left.join(right, [*same, "block"]).filter("raw_a <> raw_b").drop("block")
     rows = prints.select(*same, "raw", "id")
     pairs = pairs.join(rows.withColumnRenamed("raw", "raw_a").withColumnRenamed("id", "id_a"), [*same, "raw_a"])
     pairs = pairs.join(rows.withColumnRenamed("raw", "raw_b").withColumnRenamed("id", "id_b"), [*same, "raw_b"])
@@ -194,13 +215,3 @@ def version_and_chunk_texts(versions: DataFrame, chunks: DataFrame) -> DataFrame
     return versions.select(F.lit("raw_text").alias("field"), "id", F.col("raw_text").alias("text")).unionByName(
         chunks.select(F.lit("chunk_text").alias("field"), "id", F.col("chunk_text").alias("text"))
     )
-
-
-def normalised(column: str | Column) -> Column:
-    """consistent() as a column, for pipelines that need the form but not the exploded operator."""
-    @F.pandas_udf(T.StringType())
-    def form(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(consistent, na_action="ignore")
-
-    return form(column)

@@ -27,13 +27,30 @@ def _rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, share, weight, repeats, stock): weight is the share among the sources that have tokens."""
     want = targets.select(source_name("source").alias("source"), F.col("target_share").alias("share"), F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1))).alias("repeats")).filter("source is not null and share > 0")
     want = want.groupBy("source").agg(F.sum("share").alias("share"), F.min("repeats").alias("repeats"))
-    have = sized.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("stock"))
-    both = want.join(have, F.col("source") == F.col("s"), "left").select("source", "share", "repeats", F.coalesce("stock", F.lit(0)).alias("stock"))
+    have = sized.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("stock"), F.max("size").alias("longest"))
+    both = want.join(have, F.col("source") == F.col("s"), "left").select("source", "share", "repeats", F.coalesce("stock", F.lit(0)).alias("stock"), F.coalesce("longest", F.lit(0)).alias("longest"))
     present = F.when(F.col("stock") > 0, F.col("share"))
     # One group of at most MAX_SOURCES rows.
     return both.withColumn("weight", present / F.sum(present).over(Window.partitionBy(F.lit(0))))
 
 
+def _last_time(rates: DataFrame, budget: int) -> float:
+    """A time by which documents of at least the budget have finished, if there are so many; all that may be taken finish by then.
+
+    By time t a source has finished weight * t tokens, less one document at most, and all copies of its stock at most.
+    """
+    rows = [(r["weight"], r["stock"] * r["repeats"], r["longest"]) for r in rates.filter("stock > 0").collect()]  # MAX_SOURCES at most
+    done = lambda t: sum(max(0.0, min(w * t - longest, total)) for w, total, longest in rows)
+    end = max(((total + longest) / w for w, total, longest in rows), default=0.0)
+    if done(end) < budget:
+        return end * 1.01 + 1
+    lo, hi = 0.0, end
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if done(mid) >= budget else (mid, hi)
+    return hi * 1.000001 + 1
+
+
 def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "size", budget: int | None = None, seed: int = SEED) -> DataFrame:
     """(key, source, copy, size, finish): the documents of the mixture in the order of finish.
 
@@ -55,11 +72,12 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "s
     wanted = sized.join(F.broadcast(rates.filter("stock > 0")), "source")
     shuffled = wanted.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc")))
     queued = running_total(shuffled, ["source"], ["turn", "doc"], "size", "upto")
+    # copies that finish after the last time that can matter are never made
+    last = F.floor((F.lit(_last_time(rates, budget)) * F.col("weight") - F.col("upto")) / F.col("stock")) + 1
+    copies = F.least(F.col("repeats").cast("double"), last).cast("int")
     served = (
-        queued.withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats")))
+        queued.withColumn("copies", copies).filter("copies >= 1").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
         .withColumn("finish", ((F.col("copy") - 1) * F.col("stock") + F.col("upto")) / F.col("weight"))
-        # No document beyond this time can fall within the budget while every source still serves;
-        # sources that run dry leave room, so the cut by running total below has the last word.
         .select("doc", "source", "copy", "size", "finish")
     )
     total = running_total(served, [], ["finish", "source", "doc", "copy"], "size", "sum")

@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers: harmonic packing over the histogram of sizes.
 
 Sizes between capacity / (k + 1) and capacity / k form class k, whose containers hold k items of the
-class each. Only the histogram of sizes, at most capacity entries, is planned on the driver: each size
-opens containers with its class's fixed count, and what is left of them takes smaller sizes. Workers
+class each. Only the histogram of sizes, at most capacity entries, is planned on the driver: which ranks of
+a class share a bin, and, as a second step, which items of later classes fill what bins have left. Workers
 then place their items by their rank within a size, independently of each other.
 """
 
@@ -21,11 +21,39 @@ from quillspark.session import staged
 CAPACITY = 2048
 
 
+def harmonic_class(size: int, capacity: int = CAPACITY) -> int:
+    """k for sizes above capacity / (k + 1) and up to capacity / k: as many items of the class as always fit in a container."""
+    return capacity // size
+
+
+def class_bins(left: np.ndarray, k: int, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """(containers, {size: items in each}) that hold k items of class k each, in order of size; the last may hold fewer. left loses them."""
+    sizes = [s for s in range(capacity // k, capacity // (k + 1), -1) if left[s]]
+    bins: list[tuple[int, dict[int, int]]] = []
+    mixed: dict[int, int] = {}
+    for s in sizes:
+        n = int(left[s])
+        left[s] = 0
+        if mixed:  # a container that larger sizes of the class began
+            take = min(n, k - sum(mixed.values()))
+            mixed[s] = take
+            n -= take
+            if sum(mixed.values()) == k:
+                bins.append((1, mixed))
+                mixed = {}
+        if n >= k:
+            bins.append((n // k, {s: k}))
+        if n % k and n:
+            mixed[s] = n % k
+    return [*bins, (1, mixed)] if mixed else bins
+
+
 def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(number of containers, {size: items in each}) for sizes 1..capacity; every item has one place.
 
-    Sizes go from large to small. A container of class k starts with k items of one size (fewer where the
-    size runs out); its gap takes the largest smaller size that fits, again and again.
+    Classes go from 1 on: the bins of a class hold its fixed count of items. What a bin has left is less than any
+    item of its class, and takes items of later classes, the largest that fits, again and again; what remains of
+    those then forms the bins of their own class.
     """
     left = np.zeros(capacity + 1, np.int64)
     for s, n in histogram.items():
@@ -42,24 +70,20 @@ def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY) -> list
         return int(s)
 
     plan: list[tuple[int, dict[int, int]]] = []
-    for size in range(capacity, 0, -1):
-        while left[size]:
-            k = min(capacity // size, int(left[size]))
-            n = int(left[size]) // k
-            left[size] -= n * k
-            todo = [(n, {size: k}, capacity - size * k)]
-            while todo:
-                n, items, gap = todo.pop()
-                s = largest(gap) if gap else 0
-                if not s:
-                    plan.append((n, items))
-                    continue
-                each = max(1, min(gap // s, int(left[s]) // n))
-                take = min(n, int(left[s]))
-                left[s] -= take * each
-                todo.append((take, items | {s: items.get(s, 0) + each}, gap - s * each))
-                if take < n:
-                    todo.append((n - take, items, gap))
+    for k in range(1, capacity + 1):
+        todo = [(n, items, capacity - sum(s * m for s, m in items.items())) for n, items in class_bins(left, k, capacity)][::-1]
+        while todo:
+            n, items, gap = todo.pop()
+            s = largest(gap) if gap else 0
+            if not s:
+                plan.append((n, items))
+                continue
+            each = max(1, min(gap // s, int(left[s]) // n))
+            take = min(n, int(left[s]))
+            left[s] -= take * each
+            todo.append((take, items | {s: items.get(s, 0) + each}, gap - s * each))
+            if take < n:
+                todo.append((n - take, items, gap))
     return plan
 
 

@@ -22,7 +22,8 @@ from quillspark.llm.tokens import WORD_OR_MARK
 LIMIT, OVERLAP, LEAST = 350, 60, 100
 #: Tokens the rolling hash covers; about one place in 2**MASK_BITS is a landmark.
 WINDOW, MASK_BITS = 12, 5
-_SECTION = re.compile(r"(?:\d{1,2}(?:\.\d{1,2}){0,3}[.)]?\s+\S|(?:annex(?:ure)?|appendix|schedule|chapter|part|section)\b|\[TABLE\]|\[Section:|Q\d+[.:)]|[A-Z][A-Z0-9 ,&()\-/'.]{6,90}(?:\n|$))", re.I)
+#: Beginning of a section: a numbered line, a named heading with a number or letter, a mark of a table or section, a line in capitals.
+_SECTION = re.compile(r"\d{1,2}(?:(?:\.\d{1,2}){1,3}[.)]?|[.)])\s+\S|(?i:annex(?:ure)?|appendix|schedule|chapter|part|section)\s+(?:\d{1,3}|[IVXLC]{1,6}|[A-Z])\b|\[/?TABLE\]|\[Section:|[A-Z][A-Z0-9 ,&()\-/'.]{6,90}(?:\n|$)")
 _STOP = frozenset(".!?;:。！？…")
 
 
@@ -76,32 +77,32 @@ def cuts(level: np.ndarray, marks: np.ndarray, limit: int = LIMIT, overlap: int
     return [*out, n]
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, int, int, int, int]]:
-    """(piece, tokens, begin, fresh, end) of a text above the limit, else one piece; no token gives no piece.
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, int, int, int, int, int]]:
+    """(piece, tokens, begin, fresh, end, boundary) of a text above the limit, else one piece; no token gives no piece.
 
-    begin and end are places in the text, fresh the place where the text that the piece before doesn't hold
+    boundary is the level of the place the piece begins at (of boundaries(); 3 for the first). begin and end are places in the text, fresh the place where the text that the piece before doesn't hold
     begins: the parts from fresh to end put together give the text again.
     """
     if len(text) <= limit:
         n = len(WORD_OR_MARK.findall(text))
-        return [(text, n, 0, 0, len(text))] if n else []
+        return [(text, n, 0, 0, len(text), 3)] if n else []
     spans = [m.span() for m in WORD_OR_MARK.finditer(text)]
     n = len(spans)
     if n <= limit:
-        return [(text, n, 0, 0, len(text))] if n else []
+        return [(text, n, 0, 0, len(text), 3)] if n else []
     starts, ends = [a for a, _ in spans], [b for _, b in spans]
     tokens = [text[a:b] for a, b in spans]
-    out, before = [], 0
-    for cut in cuts(boundaries(text, starts, ends, tokens), landmarks(tokens), limit, overlap, least):
+    out, before, level = [], 0, boundaries(text, starts, ends, tokens)
+    for cut in cuts(level, landmarks(tokens), limit, overlap, least):
         first = max(0, before - overlap)
         begin, fresh = (0, 0) if before == 0 else (starts[first], starts[before])
         end = starts[cut] if cut < n else len(text)
-        out.append((text[begin:end], cut - first, begin, fresh, end))
+        out.append((text[begin:end], cut - first, begin, fresh, end, int(level[before]) if before else 3))
         before = cut
     return out
 
 
-PIECE = "piece int, pieces int, piece_text string, token_count int, begin int, fresh int, end int"
+PIECE = "piece int, pieces int, piece_text string, token_count int, begin int, fresh int, end int, boundary int"
 
 
 def split_rows(rows: DataFrame, keys: list[str], text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST, whole: bool = True) -> DataFrame:

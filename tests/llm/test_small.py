@@ -59,7 +59,7 @@ def test_exploded_operator_equals_plain_form(spark):
     got = lookalike.consistent_texts(df.select("field", "id", "text")).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r.form == (None if r.text is None else lookalike.consistent(r.text)), repr(r.text[:50])
+        assert r.form == (None if r.text is None else lookalike.consistent(r.text, lookalike.translation(spark))), repr(r.text[:50])
 
 
 def test_same_looking_pairs(spark):
@@ -203,15 +203,16 @@ def test_pieces_round_trip_limits_and_stability(spark):
     text = "\n\n".join(f"{k}. Head {k}\n" + " ".join(f"Bank {random.randrange(999)} shall file form {random.choice('ABCDE')}-{random.randrange(99)}." for _ in range(random.randrange(5, 60))) for k in range(1, 30))
     for t in (text, LONG, "x" * 5000, "- " * 900, "한 " * 800):
         made = pieces.split_text(t)
-        assert "".join(t[f:e] for _, _, _, f, e in made) == t
-        assert all(len(pieces.WORD_OR_MARK.findall(p)) == n <= 350 and p == t[b:e] for p, n, b, _, e in made)
-        assert all(len(pieces.WORD_OR_MARK.findall(t[b:f])) == 60 for _, _, b, f, _ in made[1:])
-    starts = {text[f:e] for _, _, _, f, e in pieces.split_text(text)}
+        assert "".join(t[f:e] for _, _, _, f, e, _ in made) == t
+        assert all(len(pieces.WORD_OR_MARK.findall(p)) == n <= 350 and p == t[b:e] for p, n, b, _, e, _ in made)
+        assert all(len(pieces.WORD_OR_MARK.findall(t[b:f])) == 60 for _, _, b, f, _, _ in made[1:])
+    starts = {text[f:e] for _, _, _, f, e, _ in pieces.split_text(text)}
     edited = {text[:3000] + " One more word. " + text[3000:]}.pop()
-    changed = [1 for _, _, _, f, e in pieces.split_text(edited) if edited[f:e] not in starts]
+    changed = [1 for _, _, _, f, e, _ in pieces.split_text(edited) if edited[f:e] not in starts]
     assert len(changed) <= 4 < len(starts) / 3
-    natural = [text[f - 1] in " \n" for _, _, _, f, _ in pieces.split_text(text)[1:]]
-    assert all(natural)
+    assert all(level > 0 for *_, level in pieces.split_text(text))
+    wrapped = "\n\n".join("and more text here that goes on\nfrom line to line, as wrapped prose does.\nit has no heading\n" * 7 for _ in range(12))
+    assert {level for *_, level in pieces.split_text(wrapped)[1:]} == {2}
     df = spark.createDataFrame([("a", "s", text), ("b", None, "short"), ("c", None, None), ("d", "", ""), ("a", "s", text)], "id string, section_ref string, t string").withColumn("piece", F.lit(0))
     rows = pieces.split_rows(df, ["id", "section_ref"], "t").collect()
     assert {r.id for r in rows} == {"a", "b"} and all(r.section_ref == "s" for r in rows if r.id == "a")
@@ -237,6 +238,8 @@ def test_packing(spark):
     filled = packing.fill_report(packing.pack(df.filter("size between 1 and 700"), ["doc_id"])).first()
     assert filled.containers <= filled.least_containers * 1.02 + 1
     assert packing.pack(df.limit(0), ["doc_id"]).count() == 0
+    left = np.bincount([900, 900, 800, 700, 683, 683])
+    assert packing.class_bins(np.r_[left, np.zeros(2048, int)], 2) == [(1, {900: 2}), (1, {800: 1, 700: 1}), (1, {683: 2})] and packing.harmonic_class(683) == 2
     plan = packing.plan_containers({700: 5, 600: 5, 40: 50})
     assert sum(n * c.get(40, 0) for n, c in plan) == 50 and all(sum(s * k for s, k in c.items()) <= 2048 for _, c in plan)
 
@@ -251,6 +254,11 @@ def test_mixture(spark):
     used = big.groupBy("doc_id", "source").count().collect()
     limit = {"big": 1, "small": 2, "tiny": 4}
     assert all(r["count"] <= limit[r.source] for r in used) and big.agg(F.sum("size")).first()[0] <= 20000
+    for budget in (1, 700, 20000, 10**9):  # the copies left unmade change nothing
+        lazy = {tuple(r) for r in mixture.mix(df, targets, budget=budget).collect()}
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixture, "_last_time", lambda *_: 1e18)
+            assert lazy == {tuple(r) for r in mixture.mix(df, targets, budget=budget).collect()}
     exact = mixture.mix(df, targets)
     share = {r.source: r for r in mixture.shares(exact, targets).collect()}
     assert share["tiny"].most_copies == 4 and share["absent"].tokens == 0
@@ -275,12 +283,25 @@ def test_quality(spark):
     rows = {r.doc_id: r for r in quality.text_quality(docs, words).collect()}
     wrong = [(i, t) for i, t in enumerate(PROSE + JUNK) if rows[i].is_prose != (i < len(PROSE))]
     assert not wrong
+    plain = quality.Measure(COMMON)
+    assert [quality.measure_batch([t], plain).n_words[0] for t in ("{{ }}", "<div class='x'><p>one two</p></div>")] == [0, 2]
     assert rows[0].n_words == 24 and rows[3].n_words == 0 and rows[3].profile == "empty"
     assert quality.text_quality(docs.limit(0), words).count() == 0
 
 
-def test_every_mapping_is_stable():
-    for cp, new in lookalike.mapping_rows()[::7]:
-        once = lookalike.consistent(chr(cp))
-        assert lookalike.consistent(once) == once, hex(cp)
+def test_every_mapping_is_stable(spark):
+    table = lookalike.translation(spark)
+    assert len(table) > 7_000
+    for cp, new in lookalike.mapping(spark)[::3]:
+        once = lookalike.consistent(chr(cp), table)
+        assert lookalike.consistent(once, table) == once, hex(cp)
         assert unicodedata.normalize("NFC", "".join(map(chr, new))) == once
+    show = lambda t: lookalike.consistent(t, table)
+    assert show("ραυ") == "pau" and show("тк") == show("τκ") and show("М٥о") == "Moo"
+    assert len({show(c) for c in "1lI|0Oo"}) == 7 and show("ІӀ") == "II" and show("中国 한글 é ñ") == "中国 한글 é ñ"
+
+
+def test_same_looking_group_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PAIR_BLOCK", 3)
+    df = spark.createDataFrame([("f", f"{i:02d}", "a" + "\u200b" * i) for i in range(20)], "field string, id string, text string")
+    assert lookalike.same_looking_pairs(df).count() == lookalike.same_looking_pairs(df).distinct().count() == 190
