@@ -135,7 +135,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and the decision on natural prose of every document."""
-    return quality.text_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "common_words"))
+    return quality.text_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "common_words"), lang="lang")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from quillspark.session import staged
 BETWEEN_WORDS = r"[\p{P}$+<=>^`|~\p{IsWhite_Space}\x1c-\x1f]+"
 BLANK_LINE = r"(?:^|\n)[\p{IsWhite_Space}\x1c-\x1f&&[^\n]]*(?:\n|$)"
 #: Rows of one group that one task pairs with the rest of the group at most.
-PAIR_BLOCK = 1000
+PAIR_BLOCK, SALTS = 1000, 32
 
 
 def _words(text: Column) -> Column:
@@ -71,7 +71,9 @@ def retyped_pairs(rows: DataFrame, key: str = "id", text: str = "raw_text") -> D
     same = ["print", "check", "length"]
     groups = prints.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     blocks = F.ceil(F.col("copies") / PAIR_BLOCK).cast("int")
-    members = prints.join(groups, same).withColumn("blocks", blocks)
+    # the rows of a group are spread over SALTS tasks before they meet its count
+    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, [*same, "salt"]).withColumn("blocks", blocks)
     left = members.select(*same, F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     right = members.select(*same, F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     return left.join(right, [*same, "block"]).filter("id_a < id_b").select("id_a", "id_b")

@@ -287,6 +287,10 @@ def test_quality(spark):
     assert [quality.measure_batch([t], plain).n_words[0] for t in ("{{ }}", "<div class='x'><p>one two</p></div>")] == [0, 2]
     assert rows[0].n_words == 24 and rows[3].n_words == 0 and rows[3].profile == "empty"
     assert quality.text_quality(docs.limit(0), words).count() == 0
+    said = {"en": ["the bank of the town and all that was with it"] * 4, "de": ["die bank ist mit dem kunden und der kasse"] * 4}
+    labelled = spark.createDataFrame([(i, t, lang.upper()) for i, (lang, t) in enumerate((k, t) for k, ts in said.items() for t in ts)] + [(90, "die frist der kasse", None), (91, "of the town", "und"), (92, "xyz", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.text_quality(labelled, words, lang="lang").collect()}
+    assert [got[i].language for i in (0, 5, 90, 91, 92)] == ["en", "de", "de", "en", None] and got[0].language_divergence < 0.01
 
 
 def test_every_mapping_is_stable(spark):
