@@ -40,12 +40,6 @@ def _numbered(df: DataFrame, key: str, *columns: Column) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def _asked(df: DataFrame) -> DataFrame:
-    """The query side of a scoring join: broadcast if it is counted small, joined on its key otherwise."""
-    df = staged(df, "asked")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _named(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, chunk_id, score, rank) of ranked(q, no, score, rank)."""
     return ranked.join(queries.select("qid", F.col("no").alias("q")), "q").join(docs.select("chunk_id", "no"), "no").select("qid", "chunk_id", "score", "rank")
@@ -86,17 +80,83 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None
     """
     index = index or build_index(docs)
     q = _numbered(queries, "qid", X.bm25_tokens(F.col("text")).alias("ts"))
-    asked = _asked(q.select(F.col("no").alias("q"), F.explode("ts").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")))
-    terms = _asked(asked.select("term").distinct().join(index.weights.select("term", "idf"), "term"))
-    known = index.postings.join(terms, "term")
+    asked = staged(q.select(F.col("no").alias("q"), F.explode("ts").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    terms = staged(asked.select("term").distinct().join(index.weights.select("term", "idf"), "term").withColumn("t", F.monotonically_increasing_id()), "terms")
+    small = asked.count() <= BROADCAST_ROWS  # and so are its terms
+    known = index.postings.join(F.broadcast(terms) if small else terms, "term")
     if allowed is not None:
         known = known.join(index.docs.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
     part = F.col("tf") * (I.K1 + 1) / (F.col("tf") + I.K1 * (1 - I.B + I.B * F.col("dl") / F.col("avgdl")))
-    known = known.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("term", "no", (F.col("idf") * part).alias("gain"))  # one row
+    known = known.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("t", "no", (F.col("idf") * part).alias("gain"))  # one row
     # by document, not by term: a term of every second document is spread out, and the sums need no further exchange
-    known = known.repartition("no")
-    scored = known.join(asked, "term").groupBy("q", "no").agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
-    return _named(top_k(scored.filter("score > 0"), k, query="q", key="no"), q, index.docs)
+    known, asked = known.repartition("no"), asked.join(terms.select("term", "t"), "term").select("q", "t", "times")
+    if small:
+        scored = _summed_in_blocks(known.sortWithinPartitions("no"), asked, k)
+    else:
+        scored = known.join(asked, "t").groupBy("q", "no").agg(F.sum(F.col("times") * F.col("gain")).alias("score")).filter("score > 0")
+    return _named(top_k(scored, k, query="q", key="no"), q, index.docs)
+
+
+def best_of_block(scores: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, score) of the k best positive scores of each row, by score to six places, then by number."""
+    place = np.rint(scores * 1e6)
+    n = min(k, scores.shape[1])
+    least = np.partition(place, -n, axis=1)[:, -n]
+    r, c = np.nonzero((place >= least[:, None]) & (scores > 0))  # with all ties
+    order = np.lexsort((numbers[c], -place[r, c], r))
+    r, c = r[order], c[order]
+    m = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[m], numbers[c[m]], scores[r[m], c[m]]
+
+
+#: Scores that a block of documents has at most.
+BLOCK_SCORES = 8_000_000
+
+
+def _summed_in_blocks(known: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(q, no, score): the k best of each block of documents of known(t, no, gain), which come document by document.
+
+    asked(q, t, times) is BROADCAST_ROWS long at most. A block is a matrix of queries and documents, filled term by term.
+    """
+    rows = asked.orderBy("t").toPandas()
+    queries, at = np.unique(rows["q"].to_numpy(np.int64), return_inverse=True)
+    t, edge = np.unique(rows["t"].to_numpy(np.int64), return_index=True)
+    shared = known.sparkSession.sparkContext.broadcast((queries, t, np.r_[edge, len(rows)], at, rows["times"].to_numpy(float)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, terms, edge, at, times = shared.value
+        width = max(16, BLOCK_SCORES // max(1, len(queries)))
+
+        def block(rows: pd.DataFrame) -> pd.DataFrame:
+            docs, column = np.unique(rows["no"].to_numpy(np.int64), return_inverse=True)
+            scores = np.zeros((len(queries), len(docs)))
+            order = np.argsort(rows["t"].to_numpy(), kind="stable")
+            t, gain, column = rows["t"].to_numpy(np.int64)[order], rows["gain"].to_numpy(float)[order], column[order]
+            cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+            for i, j in pairwise(cuts):
+                x = np.searchsorted(terms, t[i])
+                a, b = edge[x], edge[x + 1]
+                scores[np.ix_(at[a:b], column[i:j])] += times[a:b, None] * gain[None, i:j]
+            r, no, s = best_of_block(scores, docs, k)
+            return pd.DataFrame({"q": queries[r], "no": no, "score": s})
+
+        held, many = [], 0
+        for part in parts:
+            while len(part):
+                docs = part["no"].to_numpy()
+                starts = np.flatnonzero(np.r_[len(held) == 0 or held[-1]["no"].iloc[-1] != docs[0], docs[1:] != docs[:-1]])
+                if many + len(starts) <= width:
+                    held.append(part)
+                    many += len(starts)
+                    break
+                cut = starts[width - many]
+                held.append(part.iloc[:cut])
+                yield block(pd.concat(held))
+                held, many, part = [], 0, part.iloc[cut:]
+        if many:
+            yield block(pd.concat(held))
+
+    return known.mapInPandas(run, "q long, no long, score double")
 
 
 def bucket(token: Column) -> Column:
@@ -208,15 +268,8 @@ def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         for part in parts:
             for qids, qtexts, ids, texts in zip(part["qids"], part["qtexts"], part["ids"], part["texts"], strict=True):
                 s = vectors(qids, qtexts, "q") @ vectors(ids, texts, "d").T
-                place = np.rint(s * 1e6)
-                least = np.partition(place, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-                r, c = np.nonzero((place >= least[:, None]) & (s > 0))  # with all ties
-                no = np.asarray(ids)[c]
-                order = np.lexsort((no, -place[r, c], r))
-                r, c, no = r[order], c[order], no[order]
-                first = np.searchsorted(r, r)
-                m = np.arange(len(r)) - first < k
-                yield pd.DataFrame({"q": np.asarray(qids)[r[m]], "no": no[m], "score": s[r[m], c[m]]})
+                r, no, best = best_of_block(s, np.asarray(ids), k)
+                yield pd.DataFrame({"q": np.asarray(qids)[r], "no": no, "score": best})
 
     met = qb.join(_text_blocks(d, DOC_BLOCK, "ids", "texts").hint("shuffle_replicate_nl"))
     scored = met.mapInPandas(score, "q long, no long, score double")

@@ -195,3 +195,16 @@ def test_stored_index_gives_the_same(spark, corpus, tmp_path):
     stored = R.Index.read(spark, str(tmp_path / "ix"))
     row = lambda df: sorted((r.qid, r.chunk_id, round(r.score, 9)) for r in df.collect())
     assert row(R.search(queries, docs, "bm25", 3, index=stored)) == row(R.search(queries, docs, "bm25", 3))
+
+
+def test_bm25_in_small_blocks_and_without_a_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(30)])
+    docs = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(200)], "chunk_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words, 3))) for i in range(9)], "qid string, text string")
+    row = lambda df: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    whole = row(R.bm25(queries, docs, 5))
+    monkeypatch.setattr(R, "BLOCK_SCORES", 1)
+    blocks = row(R.bm25(queries, docs, 5))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    assert whole == blocks == row(R.bm25(queries, docs, 5)) and len(whole) == 45
