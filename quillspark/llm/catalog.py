@@ -102,6 +102,12 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_rows(rows, ["field", "id", "section_ref"], "body", whole=False)
 
 
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every cut text, counted over its pieces without their overlaps, and whether all pieces keep the limit."""
+    fresh = F.col("token_count") - F.when(F.col("piece") > 0, pieces.OVERLAP).otherwise(0)
+    return p5_pieces(spark, sf_dir).groupBy("field", "id").agg(F.sum(fresh).alias("tokens"), (F.max("token_count") <= pieces.LIMIT).alias("within"))
+
+
 def p5_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts by where they fall: 3 before a section, 2 a paragraph, 1 a sentence or line, 0 none of these within reach."""
     cuts = p5_pieces(spark, sf_dir).filter("piece > 0")
@@ -161,13 +167,43 @@ canon AS (
   FROM parts)
 """
 
+def _sql_forms() -> str:
+    """Forms by the mapping as a table: letters that only the confusables data know stay themselves; the given tables have none."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ",".join(f"({quoted(chr(c))},{quoted(''.join(map(chr, new)))})" for c, new in lookalike.mapping_rows())
+    return f"""WITH m(c, t) AS (VALUES {rows}),
+texts AS (SELECT 'raw_text' AS field, id, raw_text AS text FROM document_versions UNION ALL SELECT 'chunk_text', id, chunk_text FROM chunks),
+rich AS (SELECT * FROM texts WHERE regexp_matches(text, '[^\\x00-\\x7f]')),
+ch AS (SELECT field, id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM rich),
+made AS (SELECT field, id, nfc_normalize(string_agg(coalesce(t, c), '' ORDER BY i)) AS form FROM ch LEFT JOIN m USING (c) GROUP BY 1, 2),
+forms AS (SELECT field, id, text, coalesce(form, text) AS form FROM texts LEFT JOIN made USING (field, id))"""
+
+
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p4_recall, p5_found, p5_pieces, p5_boundaries,
+    p1_found, p1_records, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_neighbours, p4_recall, p5_found, p5_pieces, p5_totals, p5_boundaries,
     p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_quality,
 )}
+_FORMS = _sql_forms()
 ORACLES = {
+    "p2_forms": f"{_FORMS} SELECT field, id, md5(form) AS form_md5, form <> text AS changed FROM forms",
+    # every pair that shares a run of three words, counted; rows of copies come back at the end
+    "p3_found": _FORMS + ", " + _CANON.strip().removeprefix("WITH ") + r""",
+w AS (SELECT field, form, regexp_extract_all(lower(form), '[\p{L}\p{N}]+') AS ws FROM (SELECT DISTINCT field, form FROM forms WHERE form IS NOT NULL)),
+s AS (SELECT field, row_number() OVER () AS k, form, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS sh FROM w WHERE len(ws) > 2),
+e AS (SELECT field, k, len(sh) AS n, unnest(sh) AS g FROM s),
+c AS (SELECT a.k AS ka, b.k AS kb, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM e a JOIN e b ON a.field = b.field AND a.g = b.g AND a.k < b.k GROUP BY 1, 2 HAVING j >= 0.6),
+f AS (SELECT k, s.field, id, CASE WHEN s.field = 'raw_text' THEN canon.c END AS print FROM s JOIN forms USING (field, form) LEFT JOIN canon USING (id))
+SELECT a.field, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM c JOIN f a ON a.k = ka JOIN f b ON b.k = kb WHERE a.print IS DISTINCT FROM b.print OR a.print IS NULL""",
+    "p2_found": f"{_FORMS} SELECT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.text <> b.text AND a.id < b.id",
+    # brute force; p4_found needs no more of the 5 nearest than those with a cosine of 0.9
+    "p4_found": """WITH u AS (SELECT id, embedding AS v FROM chunks WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+near AS (SELECT a.id AS q, b.id AS n, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY c DESC) <= 5)
+SELECT DISTINCT least(q, n) AS id_a, greatest(q, n) AS id_b FROM near WHERE c >= 0.9""",
     "p1_found": _CANON + "SELECT a.id AS id_a, b.id AS id_b FROM canon a JOIN canon b ON a.c = b.c AND a.id < b.id",
     "p1_records": _CANON + "SELECT min(id) AS keep, count(*) AS copies, false AS collision FROM canon GROUP BY c",
+    "p5_totals": r"""
+WITH t AS (SELECT 'chunk_text' AS field, id, chunk_text AS body FROM chunks UNION ALL SELECT 'raw_text', id, raw_text FROM document_versions WHERE id NOT IN (SELECT document_version_id FROM chunks WHERE document_version_id IS NOT NULL))
+SELECT field, id, len(regexp_extract_all(body, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x0b\x1c-\x1f]')) AS tokens, true AS within FROM t WHERE tokens > 350""",
     # a run of letters, digits and underscores, or another single character that isn't white space
     "p5_found": r"""
 SELECT id AS chunk_id FROM chunks
