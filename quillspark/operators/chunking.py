@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby, pairwise
 
@@ -45,28 +45,26 @@ def _windows(words: list[str], size: int, step: int) -> Iterator[str]:
         yield " ".join(words[i : i + size])
 
 
+def _filled(sizes: list[int], room: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items, each as long as its sizes fit in room, with one new item at least.
+
+    A range begins with the last items of the one before it, as many as fit in overlap.
+    """
+    ends, lead, at = list(accumulate(sizes, initial=0)), 0, 0
+    while at < len(sizes):
+        at = max(at + 1, bisect_right(ends, ends[lead] + room) - 1)
+        yield lead, at
+        lead = max(lead, bisect_left(ends, ends[at] - overlap))
+
+
 def recursive(text: str, size: int = CHUNK_TOKENS, overlap: int = OVERLAP) -> list[Chunk]:
     """Paragraphs, else sentences, else windows of words, packed up to size tokens; the last units within overlap tokens start the next chunk."""
     units: list[str] = []
     for paragraph in filter(None, map(str.strip, _PARAGRAPH.split(text))):
         for unit in [paragraph] if count_tokens(paragraph) <= size else _SENTENCE.split(paragraph):
             units += [unit] if count_tokens(unit) <= size else _windows(unit.split(), size, size)
-    sized = [(u, count_tokens(u)) for u in units if u]
-    chunks, held, total = [], [], 0
-    for unit, n in sized:
-        if held and total + n > size:
-            chunks.append("\n\n".join(u for u, _ in held))
-            tail: list[tuple[str, int]] = []
-            for back in reversed(held):
-                if sum(k for _, k in tail) + back[1] > overlap:
-                    break
-                tail.insert(0, back)
-            held, total = tail, sum(k for _, k in tail)
-        held.append((unit, n))
-        total += n
-    if held:
-        chunks.append("\n\n".join(u for u, _ in held))
-    return [(c, "prose", None) for c in chunks]
+    units = [u for u in units if u]
+    return [("\n\n".join(units[i:j]), "prose", None) for i, j in _filled(list(map(count_tokens, units)), size, overlap)]
 
 
 def heading(line: str) -> tuple[int, str] | None:
@@ -106,15 +104,6 @@ def _pieces(text: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
         held.append(line)
 
 
-def _filled(sizes: list[int], room: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive items, each as long as its sizes fit in room; an item beyond room is a range of its own."""
-    ends, at = list(accumulate(sizes, initial=0)), 0
-    while at < len(sizes):
-        end = max(at + 1, bisect_right(ends, ends[at] + room) - 1)
-        yield at, end
-        at = end
-
-
 def structure_aware(text: str, size: int = CHUNK_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> list[Chunk]:
     """Chunks along headings with their section path; a table is a chunk of its own; small prose joins the prose before it.
 

@@ -12,6 +12,7 @@ from quillspark.operators import answers as A
 from quillspark.operators import chunking as C
 from quillspark.operators import evaluation as E
 from quillspark.operators import index as I
+from quillspark.operators import providers as P
 from quillspark.operators import retrieval as R
 from quillspark.operators import versioning as V
 from quillspark.operators.prefix import running_total
@@ -43,6 +44,43 @@ def rechunk_all(spark: SparkSession, d: str) -> DataFrame:
     return V.rechunk_all(table(spark, d, "document_versions"), "structure_aware")
 
 
+#: A text and the chunks that the rules make of it, written down by hand: rows of (chunker, ordinal, type, section, text); sizes of 20 and 4 tokens.
+CASE_TEXT = (
+    "Preamble of it.\n\n1. Head\nbody one\n\n2. Next\nbody | two |\n| three | four\n\nafter one bar | here\nrow [TABLE] mark\n1. a | b\n\nc\n[/TABLE]\n"
+    "a b c d e f g h i j k l m n o p q r s t u v w x y z\n\nANNEX ONE\nlast words of it here are more than a few and so they do not join what goes before them"
+)
+_N, _A = "2. Next", "ANNEX ONE"
+CASE_CHUNKS = (
+    ("structure_aware", 0, "prose", None, "Preamble of it.\n\n1. Head\nbody one\n\n2. Next"),
+    ("structure_aware", 1, "table", _N, f"[Section: {_N}]\nbody | two |\n| three | four"),
+    ("structure_aware", 2, "prose", _N, f"[Section: {_N}]\nafter one bar | here"),
+    ("structure_aware", 3, "table", _N, f"[Section: {_N}]\n1. a | b\n\nc"),
+    ("structure_aware", 4, "prose", _N, f"[Section: {_N}]\na b c d e f g h i j k l m n o p q r s t\n\n[Section: {_N}]\nq r s t u v w x y z\n\n[Section: {_A}]\nANNEX ONE last words of it here are more than a few and so they do not join what goes\n\n[Section: {_A}]\nnot join what goes before them"),
+    ("recursive", 0, "prose", None, "Preamble of it.\n\n1. Head\nbody one\n\n2. Next\nbody | two |\n| three | four"),
+    ("recursive", 1, "prose", None, "after one bar | here\nrow [TABLE] mark\n1. a | b"),
+    ("recursive", 2, "prose", None, "c [/TABLE] a b c d e f g h i j k l m n o p q r"),
+    ("recursive", 3, "prose", None, "s t u v w x y z"),
+    ("recursive", 4, "prose", None, "ANNEX ONE last words of it here are more than a few and so they do not join what goes"),
+    ("recursive", 5, "prose", None, "before them"),
+)
+
+
+def chunk_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy chunkers on a text whose chunks are known."""
+    docs, out = spark.createDataFrame([(1, CASE_TEXT)], "id long, t string"), None
+    for name in ("structure_aware", "recursive"):
+        c = C.chunk(docs, "id", "t", name, 20, 4).select(F.lit(name).alias("chunker"), F.col("ordinal").cast("long").alias("ordinal"), "chunk_type", "section_ref", "chunk_text")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def reembed_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk embedded again: width, signature and length of its vector, 0 for a text without a token."""
+    e = P.reembed_all(Q._docs(spark, d), P.embedder())
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("chunk_id", F.col("embedding_dim").cast("long").alias("embedding_dim"), "signature", F.round(norm, 3).alias("norm"))
+
+
 def rechunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every version by windows of words, with the status of their version."""
     c = V.rechunk_all(table(spark, d, "document_versions"), "fixed")
@@ -221,7 +259,7 @@ def stream_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    chunk_fixed, chunk_recursive, chunk_structure_aware, rechunk_all, rechunk_fixed, judged_chunks, judgments_missing, chunker_sweep, ingest_results, ingest_outcomes, deprecate_scoped, supersede_chain, supersede_cases, extractive_sentences,
+    chunk_fixed, chunk_recursive, chunk_structure_aware, chunk_cases, reembed_all, rechunk_all, rechunk_fixed, judged_chunks, judgments_missing, chunker_sweep, ingest_results, ingest_outcomes, deprecate_scoped, supersede_chain, supersede_cases, extractive_sentences,
     retrieval_confidence, extractive_answers, faithfulness_report, faithfulness_summary, answer_remarks, source_blocks, notices, lexical_support, salient_missing, stream_dedupe, stream_ingest_counts,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -284,6 +322,8 @@ ORACLES = {
  s AS (SELECT id, ws, unnest(range(0, len(ws), 290)) AS i FROM w WHERE len(ws) > 0),
  k AS (SELECT id, i // 290 AS ordinal, array_to_string(ws[i + 1 : i + 350], ' ') AS t FROM s WHERE i = 0 OR i - 290 + 350 < len(ws))
  SELECT id, ordinal, md5(t) AS text_md5, len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) AS token_count FROM k WHERE ordinal = 0 OR len(regexp_extract_all(t, {q(X.BUDGET_TOKEN)})) >= 15""",
+    "chunk_cases": "SELECT * FROM (VALUES " + ",".join(f"({q(a)}, {n}, {q(k)}, {q(r) if r else 'NULL'}, {q(t)})" for a, n, k, r, t in CASE_CHUNKS) + ") x(chunker, ordinal, chunk_type, section_ref, chunk_text)",
+    "reembed_all": f"SELECT id AS chunk_id, 1024 AS embedding_dim, 'hashing:1024' AS signature, CASE WHEN len({Q.SQL_RERANK('chunk_text')}) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM chunks",
     "rechunk_fixed": f"""WITH w AS (SELECT id, lower(status) AS status, {_WORDS.replace('chunk_text', 'raw_text')} AS ws FROM document_versions),
  s AS (SELECT id, status, ws, unnest(range(0, len(ws), 290)) AS i FROM w WHERE len(ws) > 0),
  k AS (SELECT id, status, i // 290 AS ordinal, array_to_string(ws[i + 1 : i + 350], ' ') AS t FROM s WHERE i = 0 OR i - 290 + 350 < len(ws))

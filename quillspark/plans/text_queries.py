@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.sources.files import html_text
 from quillspark.sources.tables import table
 
 
@@ -78,6 +79,20 @@ def token_budget(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", n.cast("long").alias("n_tokens"), F.coalesce(F.col("token_count") == n, F.lit(False)).alias("stored_is_right"))
 
 
+#: Pages and the text they read as: rows of (case, html, text).
+PAGES = (
+    ("table", "<h1>Fees</h1><table><tr><th>A</th><th> B\n b</th></tr><tr><td>1</td><td>2</td></tr></table><p>end</p>", "Fees\n\n[TABLE]\nA | B b\n1 | 2\n[/TABLE]\n\nend"),
+    ("dropped", "<head><style>p{}</style></head><nav>menu</nav><p>kept &amp; read</p><script>x()</script><footer>f</footer>", "kept & read"),
+    ("plain", "no tags at all", "no tags at all"),
+    ("empty", "", ""),
+)
+
+
+def html_cases(spark: SparkSession, d: str) -> DataFrame:
+    """What pages read as: tables as marked rows, scripts and navigation left out."""
+    return spark.createDataFrame([p[:2] for p in PAGES], "case string, html string").select("case", html_text(F.col("html")).alias("text"))
+
+
 def _token_query(tokens):  # noqa: ANN001, ANN202
     def run(spark: SparkSession, d: str) -> DataFrame:
         return _chunks(spark, d).select("id", F.array_join(F.array_sort(tokens(F.col("chunk_text"))), " ").alias("tokens"))
@@ -123,7 +138,7 @@ QUERIES = {
     k: f
     for k, f in globals().items()
     if k in {
-        "normalise_text", "content_hash", "slugs", "snippets", "build_parsed", "parser_cases", "token_budget", "space_words", "truncate_words",
+        "normalise_text", "content_hash", "slugs", "snippets", "build_parsed", "parser_cases", "html_cases", "token_budget", "space_words", "truncate_words",
         "answer_sentences", "heading_levels", "pipe_table_runs", "bm25_tokens", "rerank_tokens", "answer_keywords", "claim_words", "number_tokens", "salient_tokens",
     }
 }
@@ -213,6 +228,7 @@ FROM (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS l FROM circulars
     "snippets": r"SELECT id, left(regexp_replace(chunk_text, '\s+', ' ', 'g'), 400) AS snippet FROM chunks",
     "build_parsed": f"WITH src AS (SELECT id, {sql_normalise('raw_text')} AS t FROM document_versions) {_sql_parsed('id')}",
     "parser_cases": "WITH src(\"case\", t) AS (VALUES " + ",".join(f"({q(a)}, {q(b)})" for a, b in CASES) + ") " + _sql_parsed('"case"'),
+    "html_cases": 'SELECT * FROM (VALUES ' + ",".join(f"({q(a)}, {q(t)})" for a, _, t in PAGES) + ') x("case", text)',
     "token_budget": f"SELECT id, n AS n_tokens, coalesce(token_count = n, false) AS stored_is_right FROM (SELECT *, len(regexp_extract_all(chunk_text, {q(X.BUDGET_TOKEN)})) AS n FROM chunks)",
     "bm25_tokens": _sql_sorted(SQL_BM25("chunk_text")),
     "rerank_tokens": _sql_sorted(SQL_RERANK("chunk_text")),

@@ -118,3 +118,9 @@ def test_fetch_and_crawl(spark, tmp_path):
     assert rows["1"].raw.startswith("A stored page") and rows["2"].error == "too short" and "FileNotFound" in rows["3"].error
     assert [(r.title, r.file) for r in manifest.collect()] == [("Harbour fees circular", "harbour-fees-circular.txt")]
     assert files.crawl(spark, ["http://h/list"], manifest, get)[1].count() == 1
+
+
+def test_filled_ranges_overlap():
+    assert list(C._filled([2, 2, 2, 9, 1, 1], 5)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(C._filled([2, 2, 2, 9, 1, 1], 5, 2)) == [(0, 2), (1, 3), (2, 4), (4, 6)]
+    assert list(C._filled([], 5)) == [] and C.recursive(" \n\n ", 5, 1) == []
