@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +22,21 @@ WORD_OR_MARK = re.compile(r"\w+|[^\w\s]")
 
 
 @cache
-def encoder(ranks: str = DEFAULT_RANKS):  # noqa: ANN201
-    """The tokenizer of a rank file, loaded once per Python worker."""
+def encoder(ranks: str):  # noqa: ANN201
+    """The tokenizer of a rank file that was given to the executors, loaded once per Python worker."""
     import tiktoken
 
-    with open(ranks, "rb") as f:
+    with open(SparkFiles.get(os.path.basename(ranks)), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
 
 
 def token_sizes(docs: DataFrame, keys: list[str], text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(keys, size): tokens of each text; a null text has none. Strings of special tokens count as plain text."""
+    """(keys, size): tokens of each text; a null text has none. Strings of special tokens count as plain text.
+
+    ranks is a path of the driver; the file is sent to the executors once.
+    """
+    docs.sparkSession.sparkContext.addFile(ranks)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(ranks).encode_ordinary
