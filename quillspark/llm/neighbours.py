@@ -367,7 +367,9 @@ def search(reps: DataFrame, plan: Plan) -> DataFrame:
         a, b, s = search_block(shared.value, plan, qv, xv, cell, codes, join(q["cells"], np.float32), same)
         return pd.DataFrame({"row": qrow[a], "neighbour": xrow[b], "cosine": s})
 
-    return queries.unionByName(members).groupBy("block", "slice").applyInPandas(solve, out)
+    # long tasks of few bytes: each meeting is to have a task of its own, so their number isn't left to the sizes
+    tasks = queries.unionByName(members).repartition(3 * max(1, asked.count()), "block", "slice")
+    return tasks.groupBy("block", "slice").applyInPandas(solve, out)
 
 
 def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: Plan = Plan()) -> DataFrame:  # noqa: B008
