@@ -44,8 +44,9 @@ class Engine:
         stored, chunks = None, None
         if not self._empty():
             stored, chunks = self._current("versions"), self._current("chunks")
-            base, rev = (r + 0 for r in snapshots.read_parts(self.spark, self.root, "versions")["versions"].agg(F.max("seq"), F.max("rev") + 1).first())
-            base = max(base, snapshots.read_parts(self.spark, self.root, "results")["results"].agg(F.max("seq")).first()[0])
+            t = snapshots.read_parts(self.spark, self.root, "versions", "results")
+            rev = t["versions"].agg(F.coalesce(F.max("rev"), F.lit(0)) + 1).first()[0]
+            base = t["results"].agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         new = docs.withColumn("seq", (F.col("seq") + base).cast("long"))
         out = V.ingest(new, chunker or self.chunker, stored, chunks, allow_duplicate)
         text = new.select("seq", "raw")

@@ -47,10 +47,10 @@ def borne(text: Column) -> Column:
 def parse(docs: DataFrame, key: str = "seq", text: str = "raw") -> DataFrame:
     """docs with text normalised and number, date, title, hint, scope and borne references extracted; unnumbered ones get a LOCAL number.
 
-    Columns title and target of docs, if there, take precedence over what the text says (null: the text decides).
+    Columns title and target of docs, if there, take precedence over what the text says (null: the text decides). A null text counts as an empty one.
     """
     given = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in docs.columns else F.lit(None).cast("string")
-    t = docs.select(key, X.normalise_text(F.col(text)).alias("text"), given("title").alias("named"), given("target").alias("target"))
+    t = docs.select(key, X.normalise_text(F.coalesce(F.col(text), F.lit(""))).alias("text"), given("title").alias("named"), given("target").alias("target"))
     title = F.coalesce("named", X.extract_title(F.col("text")), F.lit("Untitled document"))
     return t.select(
         key, "text", title.alias("title"),

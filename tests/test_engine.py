@@ -99,6 +99,17 @@ def test_engine_round(spark, tmp_path):
     e.reset()
 
 
+def test_empty_and_repeated_ingest(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    nothing = spark.createDataFrame([], "seq long, raw string")
+    assert e.ingest(nothing).count() == 0
+    first = e.ingest(spark.createDataFrame([(1, BASE), (2, None), (3, "")], "seq long, raw string")).collect()
+    assert [(r.skipped, r.chunks_created > 0) for r in first] == [(False, True), (False, False), (True, False)]
+    rows = e.ingest(spark.createDataFrame([(1, BASE), (2, AMENDMENT)], "seq long, raw string")).collect()
+    assert [r.skipped for r in rows] == [True, False] and [r.seq for r in rows] == [4, 5]
+    assert e.ingest(nothing).count() == 0 and e.stats().first().documents == 2
+
+
 def test_sessions(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     e.ingest_text(BASE)
