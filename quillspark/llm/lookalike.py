@@ -8,11 +8,13 @@ already is in the consistent form and isn't exploded.
 
 from __future__ import annotations
 
+import logging
 import sys
 import unicodedata
 from functools import cache
 
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,11 +52,16 @@ def confusables(jvm: object) -> dict[str, str]:
     """Letters and digits beyond ASCII by the glyph shown, from the public confusables data of Unicode in Spark's own ICU library.
 
     The data merge 1, I, l and | too: a capital shown as their stroke becomes I, a digit 1, another letter l. Han and
-    Hangul are left alone, and so are marks: LOOK_ALIKES has those that don't differ to the eye.
+    Hangul are left alone, and so are marks: LOOK_ALIKES has those that don't differ to the eye. A Spark without that
+    library has LOOK_ALIKES only, and says so.
     """
     skip = (range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0xE000, 0xF900), range(0x20000, 0x33480))
     chars = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LN" and not any(ord(c) in r for r in skip)]
-    skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(0, "\n".join(chars)).split("\n")
+    try:
+        skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(0, "\n".join(chars)).split("\n")
+    except (TypeError, Py4JError) as e:
+        logging.getLogger(__name__).warning("no confusables data (%s): look-alikes are those of the short list", e)
+        return {}
     stroke = {"Lu": "I", "Nd": "1"}
     return {c: stroke.get(unicodedata.category(c), s) if s == "l" else s for c, s in zip(chars, skeletons, strict=True) if s != unicodedata.normalize("NFD", c)}
 
