@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,11 +34,28 @@ def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "qid", k
 
 def _numbered(df: DataFrame, key: str, *columns: Column) -> DataFrame:
     """key and columns with no: long numbers in the order of key, so joins and ties need no strings. Written once, read often."""
-    return staged(df.select(key, *columns).orderBy(key).withColumn("no", F.monotonically_increasing_id()), "numbered")
+    # columns are made after the sort, which would make them twice, once for its sample
+    return staged(df.orderBy(key).select(key, *columns).withColumn("no", F.monotonically_increasing_id()), "numbered")
 
 
 #: Rows of a query side that is broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Terms of queries (three numbers each) that tasks hold at once at most; more queries are scored slice by slice.
+ASKED_ROWS = 1_000_000
+#: Best documents that a task holds at most, over all queries of a slice.
+HELD = 8_000_000
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Parts of the documents that queries are scored against: each part gives k rows a query, so one a core."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
+def _alike(q: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, by) and (q, rep) of q(no, by): queries of the same tokens are scored once, as the first of them; those without any have no row."""
+    asked = q.filter(F.col(by) != "")
+    first = staged(asked.groupBy(by).agg(F.min("no").alias("rep")), "first")
+    return first, staged(asked.join(first, by).select(F.col("no").alias("q"), "rep"), "same")
 
 
 def _named(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -65,11 +83,22 @@ class Index:
 
 def build_index(docs: DataFrame) -> Index:
     """The inverted index of docs(chunk_id, text); statistics cover all of them. A document without tokens has length 0."""
-    d = _numbered(docs, "chunk_id", X.bm25_tokens(F.col("text")).alias("ts"))
-    dl = F.size("ts").cast("long")
-    corpus = I.corpus_stats(d.select(F.greatest(dl, F.lit(0)).alias("dl")))
-    posts = staged(d.select("no", dl.alias("dl"), F.explode("ts").alias("term")).groupBy("no", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    return Index(d.select("chunk_id", "no", dl.alias("dl")), posts, staged(I.idf(posts, corpus), "weights"), corpus)
+    ts = X.bm25_tokens(F.col("text"))
+    d = _numbered(docs, "chunk_id", F.array_join(ts, " ").alias("ts"), F.size(ts).cast("long").alias("dl"))
+    corpus = I.corpus_stats(d.select(F.greatest("dl", F.lit(0)).alias("dl")))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), 2048):
+                p = part.iloc[i : i + 2048]
+                tf = [Counter(text.split()) for text in p["ts"]]
+                n = [len(c) for c in tf]
+                terms, times = list(chain.from_iterable(tf)), np.fromiter(chain.from_iterable(c.values() for c in tf), np.int64, sum(n))
+                yield pd.DataFrame({"term": terms, "no": np.repeat(p["no"].to_numpy(), n), "dl": np.repeat(p["dl"].to_numpy(), n), "tf": times})
+
+    # a document is one row, so its terms are counted where it is
+    posts = staged(d.filter("ts <> ''").select("no", "dl", "ts").mapInPandas(count, "term string, no long, dl long, tf long"), "postings")
+    return Index(d.select("chunk_id", "no", "dl"), posts, staged(I.idf(posts, corpus), "weights"), corpus)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None, index: Index | None = None) -> DataFrame:
@@ -79,86 +108,196 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None
     positive scores are kept. Postings of terms that no query has are left out before anything is weighted or shuffled.
     """
     index = index or build_index(docs)
-    q = _numbered(queries, "qid", X.bm25_tokens(F.col("text")).alias("ts"))
-    asked = staged(q.select(F.col("no").alias("q"), F.explode("ts").alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    q = _numbered(queries, "qid", F.array_join(F.array_sort(X.bm25_tokens(F.col("text"))), " ").alias("ts"))
+    first, same = _alike(q, "ts")
+    asked = staged(first.select(F.col("rep").alias("q"), F.explode(F.split("ts", " ")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    n = asked.count()
     terms = staged(asked.select("term").distinct().join(index.weights.select("term", "idf"), "term").withColumn("t", F.monotonically_increasing_id()), "terms")
-    small = asked.count() <= BROADCAST_ROWS  # and so are its terms
-    known = index.postings.join(F.broadcast(terms) if small else terms, "term")
+    known = index.postings.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "term")
     if allowed is not None:
         known = known.join(index.docs.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
     part = F.col("tf") * (I.K1 + 1) / (F.col("tf") + I.K1 * (1 - I.B + I.B * F.col("dl") / F.col("avgdl")))
     known = known.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("t", "no", (F.col("idf") * part).alias("gain"))  # one row
     # by document, not by term: a term of every second document is spread out, and the sums need no further exchange
-    known, asked = known.repartition("no"), asked.join(terms.select("term", "t"), "term").select("q", "t", "times")
-    if small:
-        scored = _summed_in_blocks(known.sortWithinPartitions("no"), asked, k)
-    else:
-        scored = known.join(asked, "t").groupBy("q", "no").agg(F.sum(F.col("times") * F.col("gain")).alias("score")).filter("score > 0")
-    return _named(top_k(scored, k, query="q", key="no"), q, index.docs)
-
-
-def best_of_block(scores: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number, score) of the k best positive scores of each row, by score to six places, then by number."""
-    place = np.rint(scores * 1e6)
-    n = min(k, scores.shape[1])
-    least = np.partition(place, -n, axis=1)[:, -n]
-    r, c = np.nonzero((place >= least[:, None]) & (scores > 0))  # with all ties
-    order = np.lexsort((numbers[c], -place[r, c], r))
-    r, c = r[order], c[order]
-    m = np.arange(len(r)) - np.searchsorted(r, r) < k
-    return r[m], numbers[c[m]], scores[r[m], c[m]]
-
-
-#: Scores that a block of documents has at most.
-BLOCK_SCORES = 8_000_000
+    asked = asked.join(terms.select("term", "t"), "term").select("q", "t", "times")
+    slices = max(1, -(-n // ASKED_ROWS), -(-first.count() * k // HELD))
+    known, scored = staged(known, "known") if slices > 1 else known, None
+    for i in range(slices):
+        by_document = known.repartition(_tasks(queries.sparkSession), "no").sortWithinPartitions("no")
+        one = _summed_in_blocks(by_document, asked.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == i), k)
+        scored = one if scored is None else scored.unionByName(one)
+    return _named(top_k(scored, k, query="q", key="no").withColumnRenamed("q", "rep").join(same, "rep"), q, index.docs)
+
+
+class Best:
+    """The k best documents of each query so far: by score to six places, then by number; positive scores only."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.no = k, np.zeros((queries, k)), np.zeros((queries, k), np.int64)
+        #: What a score has to exceed to come in.
+        self.floor = np.zeros(queries)
+
+    def near(self, scores: np.ndarray) -> np.ndarray:
+        """Places of those of many scores of one query that may be among its best."""
+        place = np.rint(scores * 1e6)
+        return np.flatnonzero(place >= np.partition(place, -self.k)[-self.k])
+
+    def take(self, found: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Positive scores and documents of some queries, each query and each document of a query once."""
+        for low in range(0, len(found), 16384):
+            few = found[low : low + 16384]
+            i, n = np.array([f[0] for f in few]), np.array([len(f[1]) for f in few])
+            r = np.r_[np.repeat(np.arange(len(few)), self.k), np.repeat(np.arange(len(few)), n)]
+            s = np.concatenate([self.score[i].ravel(), *[f[1] for f in few]])
+            no = np.concatenate([self.no[i].ravel(), *[f[2] for f in few]])
+            place = np.where(s > 0, np.rint(s * 1e6), -1.0)
+            order = np.lexsort((no, -place, r))
+            # every query has k rows at least
+            order = order[(np.searchsorted(r[order], np.arange(len(few)))[:, None] + np.arange(self.k)).ravel()]
+            self.score[i], self.no[i] = s[order].reshape(-1, self.k), no[order].reshape(-1, self.k)
+            self.floor[i] = np.maximum(0.0, (place[order[self.k - 1 :: self.k]] - 0.6) * 1e-6)
+
+    def rows(self, queries: np.ndarray) -> Iterator[pd.DataFrame]:
+        """(q, no, score) of all queries."""
+        step = max(1, 500_000 // self.k)
+        for i in range(0, len(queries), step):
+            r, c = np.nonzero(self.score[i : i + step] > 0)
+            yield pd.DataFrame({"q": queries[i : i + step][r], "no": self.no[i : i + step][r, c], "score": self.score[i : i + step][r, c]})
+
+
+#: Scores of queries and documents, and gains of terms and documents, that a block has at most; documents of the first block and of any.
+BLOCK_SCORES, FIRST_DOCS, MOST_DOCS = 8_000_000, 512, 16_384
+#: Terms that have a row of their own in a block at most.
+TERM_ROWS = 2048
+
+
+def _by_document(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Rows that come document by document, in runs of whole documents: few at first, so that later ones meet a high floor."""
+    held, many, width = [], 0, min(most, FIRST_DOCS)
+    for part in parts:
+        while len(part):
+            docs = part["no"].to_numpy()
+            starts = np.flatnonzero(np.r_[len(held) == 0 or held[-1]["no"].iloc[-1] != docs[0], docs[1:] != docs[:-1]])
+            if many + len(starts) <= width:
+                held.append(part)
+                many += len(starts)
+                break
+            cut = starts[width - many]
+            held.append(part.iloc[:cut])
+            yield pd.concat(held)
+            held, many, part, width = [], 0, part.iloc[cut:], min(most, 2 * width)
+    if many:
+        yield pd.concat(held)
 
 
 def _summed_in_blocks(known: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(q, no, score): the k best of each block of documents of known(t, no, gain), which come document by document.
+    """(q, no, score): the k best of each part of the documents of known(t, no, gain), which come document by document.
 
-    asked(q, t, times) is BROADCAST_ROWS long at most. A block is a matrix of queries and documents, filled term by term.
+    asked(q, t, times) is about ASKED_ROWS long at most. A block is a matrix of terms and documents, and a query the sum of
+    its rows; of more than TERM_ROWS terms it is a matrix of queries and documents instead, filled term by term.
     """
-    rows = asked.orderBy("t").toPandas()
+    rows = asked.orderBy("t", "q").toPandas()
     queries, at = np.unique(rows["q"].to_numpy(np.int64), return_inverse=True)
-    t, edge = np.unique(rows["t"].to_numpy(np.int64), return_index=True)
-    shared = known.sparkSession.sparkContext.broadcast((queries, t, np.r_[edge, len(rows)], at, rows["times"].to_numpy(float)))
+    t, of = np.unique(rows["t"].to_numpy(np.int64), return_inverse=True)
+    by = np.lexsort((of, at))
+    shared = known.sparkSession.sparkContext.broadcast((queries, t, np.searchsorted(of, np.arange(len(t) + 1)), at, rows["times"].to_numpy(float), np.searchsorted(at[by], np.arange(len(queries) + 1)), of[by], rows["times"].to_numpy(float)[by]))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries, terms, edge, at, times = shared.value
-        width = max(16, BLOCK_SCORES // max(1, len(queries)))
-
-        def block(rows: pd.DataFrame) -> pd.DataFrame:
-            docs, column = np.unique(rows["no"].to_numpy(np.int64), return_inverse=True)
-            scores = np.zeros((len(queries), len(docs)))
-            order = np.argsort(rows["t"].to_numpy(), kind="stable")
-            t, gain, column = rows["t"].to_numpy(np.int64)[order], rows["gain"].to_numpy(float)[order], column[order]
-            cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-            for i, j in pairwise(cuts):
-                x = np.searchsorted(terms, t[i])
-                a, b = edge[x], edge[x + 1]
-                scores[np.ix_(at[a:b], column[i:j])] += times[a:b, None] * gain[None, i:j]
-            r, no, s = best_of_block(scores, docs, k)
-            return pd.DataFrame({"q": queries[r], "no": no, "score": s})
-
-        held, many = [], 0
-        for part in parts:
-            while len(part):
-                docs = part["no"].to_numpy()
-                starts = np.flatnonzero(np.r_[len(held) == 0 or held[-1]["no"].iloc[-1] != docs[0], docs[1:] != docs[:-1]])
-                if many + len(starts) <= width:
-                    held.append(part)
-                    many += len(starts)
-                    break
-                cut = starts[width - many]
-                held.append(part.iloc[:cut])
-                yield block(pd.concat(held))
-                held, many, part = [], 0, part.iloc[cut:]
-        if many:
-            yield block(pd.concat(held))
+        queries, terms, edge, at, times, begin, wants, often = shared.value
+        best = Best(len(queries), k)
+        rows = len(terms) <= TERM_ROWS
+        most = max(16, min(MOST_DOCS, BLOCK_SCORES // max(1, len(terms) if rows else min(len(queries), QUERY_BLOCK))))
+        by_term = np.argsort(wants, kind="stable")
+        plan = begin, wants, often, by_term, np.searchsorted(wants[by_term], np.arange(len(terms) + 1))
+        for part in _by_document(parts, most) if len(queries) else ():
+            docs, column = np.unique(part["no"].to_numpy(np.int64), return_inverse=True)
+            x, gain = np.searchsorted(terms, part["t"].to_numpy(np.int64)), part["gain"].to_numpy(float)
+            some = (x < len(terms)) & (terms[np.minimum(x, len(terms) - 1)] == part["t"].to_numpy(np.int64)) if len(terms) else np.zeros(len(x), bool)
+            x, gain, column = x[some], gain[some], column[some]
+            if rows:
+                _by_rows(best, plan, len(terms), docs, x, gain, column)
+                continue
+            order = np.argsort(x, kind="stable")
+            x, gain, column = x[order], gain[order], column[order]
+            cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
+            for low in range(0, len(queries), QUERY_BLOCK):
+                scores = np.zeros((min(QUERY_BLOCK, len(queries) - low), len(docs)))
+                for i, j in pairwise(cuts if len(x) else []):
+                    a, b = edge[x[i]], edge[x[i] + 1]
+                    a, b = a + np.searchsorted(at[a:b], low), a + np.searchsorted(at[a:b], low + QUERY_BLOCK)
+                    if a < b:
+                        scores[np.ix_(at[a:b] - low, column[i:j])] += times[a:b, None] * gain[None, i:j]
+                _take_all(best, low, scores, docs)
+        yield from best.rows(queries)
 
     return known.mapInPandas(run, "q long, no long, score double")
 
 
+def _by_rows(best: Best, plan: tuple[np.ndarray, ...], terms: int, docs: np.ndarray, x: np.ndarray, gain: np.ndarray, column: np.ndarray) -> None:
+    """Score a block. plan: where each query begins, its terms, how often it has them; rows of these by term, where each term begins.
+
+    A document that comes in makes up, in each term, for what the others can't give at most. So of the term that fewest documents can do this
+    in only those are looked at: the first ones by gain.
+    """
+    begin, wants, often, by_term, edge = plan
+    g = np.zeros((terms, len(docs)))
+    g[x, column] = gain
+    order = np.lexsort((-gain, x))
+    lists, cuts = column[order], np.searchsorted(x[order], np.arange(terms + 1))
+    most = g.max(1)[wants] * often
+    of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    whole = np.add.reduceat(most, begin[:-1])
+    # a little less than needed, as sums are rounded
+    need = (best.floor[of] - (whole[of] - most)) / often - 1e-9
+    count = np.empty(len(wants), np.int64)
+    for t in range(terms):
+        a, b, rows = cuts[t], cuts[t + 1], by_term[edge[t] : edge[t + 1]]
+        count[rows] = np.where(need[rows] > 0, np.searchsorted(-gain[order[a:b]], -need[rows], "right"), len(docs))
+    least = np.minimum.reduceat(count, begin[:-1])
+    first = np.full(len(begin) - 1, len(wants))
+    np.minimum.at(first, of, np.where(count == least[of], np.arange(len(wants)), len(wants)))
+    go = np.flatnonzero((whole > best.floor - 1e-9) & (least > 0))
+    found, sums, hit = [], np.empty(len(docs)), np.empty(len(docs), bool)
+    # queries that look at the same term share what is taken out for it
+    key = np.where(least[go] < len(docs), wants[first[go]], -1)
+    go, key = go[np.lexsort((least[go], key))], np.sort(key)
+    for u, v in pairwise(np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist() if len(go) else []):
+        group, t = go[u:v], int(key[u])
+        few = np.arange(len(docs)) if t < 0 else lists[cuts[t] : cuts[t] + least[group[-1]]]
+        asked = np.concatenate([wants[begin[i] : begin[i + 1]] for i in group])
+        rows, at = np.unique(asked, return_inverse=True)
+        part, numbers = np.take(g[rows], few, axis=1), docs[few]
+        at, j = at.tolist(), 0
+        for i, n, a, b in zip(group.tolist(), least[group].tolist(), begin[group].tolist(), begin[group + 1].tolist(), strict=True):
+            out = sums[:n]
+            np.multiply(part[at[j], :n], often[a], out=out)
+            for x in range(1, b - a):
+                row = part[at[j + x], :n]
+                np.add(out, row if often[a + x] == 1 else row * often[a + x], out=out)
+            j += b - a
+            place = np.greater(out, best.floor[i], out=hit[:n]).nonzero()[0]
+            if len(place):
+                s = out[place]
+                if len(place) > 4 * best.k:
+                    near = best.near(s)
+                    place, s = place[near], s[near]
+                found.append((i, s, numbers[place]))
+    best.take(found)
+
+
+def _take_all(best: Best, low: int, scores: np.ndarray, docs: np.ndarray) -> None:
+    """Scores of queries from number low on and documents."""
+    r, c = np.nonzero(scores > best.floor[low : low + len(scores), None])
+    found = []
+    for i, j in pairwise(np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]).tolist() if len(r) else []):
+        s, at = scores[r[i], c[i:j]], c[i:j]
+        if len(s) > 4 * best.k:
+            near = best.near(s)
+            s, at = s[near], at[near]
+        found.append((low + int(r[i]), s, docs[at]))
+    best.take(found)
+
+
 def bucket(token: Column) -> Column:
     """Bucket of a token, the same in any engine that has MD5."""
     return F.conv(F.left(F.md5(token.cast("binary")), F.lit(8)), 16, 10).cast("long") % BUCKETS
@@ -229,51 +368,114 @@ def hashed_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 #: Queries and documents that are scored at once.
 QUERY_BLOCK, DOC_BLOCK = 2048, 2048
-
-
-def _text_blocks(df: DataFrame, size: int, ids: str, texts: str) -> DataFrame:
-    """Blocks of up to size rows of df(no, text): numbers and tokens, which are smaller than vectors."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), size):
-                p = part.iloc[i : i + size]
-                yield pd.DataFrame({ids: [p["no"].tolist()], texts: [p["text"].tolist()]})
-
-    tokens = df.filter("text is not null").select("no", F.array_join(X.rerank_tokens(F.col("text")), " ").alias("text"))
-    return tokens.filter("text <> ''").mapInPandas(run, f"{ids} array<long>, {texts} array<string>")
+#: Queries of a slice at most, of few words each or of any length.
+SHORT_QUERIES, LONG_QUERIES = 131_072, 8192
+#: Words of a short query on average, and different ones of a slice, at most.
+FEW_WORDS, SLICE_WORDS = 12, 4096
+#: More than the error of a cosine in single precision.
+SINGLE = 2e-5
+
+
+def _combined(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, begin, at, by): the vectors of unit_vectors as few rows each. words are vectors of single words; row i is the sum of by[x] times
+    row at[x] of these and, below them, of the unit matrix, for x from begin[i] to begin[i + 1]: its words, then what
+    bigrams and buckets that several words share make different."""
+    names: dict[str, int] = {}
+    for text in texts:
+        for t in text.split():
+            names.setdefault(t, len(names))
+    words = np.zeros((len(names), 2 * BUCKETS))
+    for t, x in names.items():
+        words[x] = 0.5 * np.sqrt(np.bincount(_char_buckets(t), minlength=2 * BUCKETS))
+        if t not in _STOP:
+            words[x, _bucket_of(t)] = 1.0
+    begin, at, by = [0], [], []
+    for text in texts:
+        tokens = text.split()
+        own = [t for t in tokens if t not in _STOP]
+        grams = [_bucket_of(g) for g in (*own, *map(" ".join, pairwise(own)))]
+        raw = np.sqrt(np.bincount(np.concatenate([np.array(grams, np.int64), *map(_char_buckets, tokens)]), minlength=2 * BUCKETS))
+        raw[BUCKETS:] *= 0.5
+        rows = np.array([names[t] for t in dict.fromkeys(tokens)])
+        rest = raw - words[rows].sum(0)
+        other = np.flatnonzero(np.abs(rest) > 1e-12)
+        norm = np.linalg.norm(raw)
+        at += [rows, other + len(names)]
+        by += [np.full(len(rows), 1 / norm), rest[other] / norm]
+        begin.append(begin[-1] + len(rows) + len(other))
+    return words, np.array(begin), np.concatenate(at), np.concatenate(by)
+
+
+def _dense_of_rows(best: Best, made: tuple[np.ndarray, ...], vectors: np.ndarray, docs: np.ndarray) -> None:
+    """Score a block of documents for queries given as _combined: sums of few rows in single precision, then exactly what may be among the best."""
+    words, begin, at, by = made
+    # products of words and documents, below them the vectors of documents
+    full = np.concatenate([words @ vectors.T, vectors.T])
+    m, low = full.astype(np.float32), by.astype(np.float32)
+    s, hit = np.empty(len(docs), np.float32), np.empty(len(docs), bool)
+    held = np.empty((int(np.diff(begin).max()), len(docs)), np.float32)
+    floor, found = (best.floor - SINGLE).astype(np.float32), []
+    for i, (a, b) in enumerate(pairwise(begin.tolist())):
+        np.take(m, at[a:b], axis=0, out=held[: b - a], mode="clip")
+        np.dot(low[a:b], held[: b - a], out=s)
+        few = np.greater(s, floor[i], out=hit).nonzero()[0]
+        if len(few) > 2 * best.k:
+            near = s[few]
+            few = few[near >= np.partition(near, -best.k)[-best.k] - np.float32(2 * SINGLE)]
+        if len(few):
+            exact = by[a:b] @ full[at[a:b, None], few]
+            keep = exact > max(best.floor[i], 1e-12)  # what is left of sums that cancel is no score
+            if keep.any():
+                found.append((i, exact[keep], docs[few[keep]]))
+    best.take(found)
 
 
 def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): cosine of hashed embeddings of words and characters.
 
-    Nearly every pair shares buckets of characters, so blocks of queries meet blocks of documents in
-    matrix products, and each meeting gives its k best. Memory is that of two blocks and their scores.
+    Nearly every pair shares buckets of characters, so every query meets every document. Documents go by blocks past a slice of the
+    queries; short queries are sums of few rows of a block (a word's products are shared by all queries that have it), others a matrix
+    product. Each part of the documents gives its k best. Memory is that of a slice, a block and the best so far.
     """
-    q, d = _numbered(queries, "qid", F.col("text")), _numbered(docs, "chunk_id", F.col("text"))
-    qb = _text_blocks(q.repartition(max(1, -(-q.count() // QUERY_BLOCK))), QUERY_BLOCK, "qids", "qtexts")
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-
-        def vectors(numbers: np.ndarray, texts: Sequence[str], side: str) -> np.ndarray:
-            """Those of a block, kept for the next meetings: the last four."""
-            name = (side, len(numbers), int(numbers[0]), int(numbers[-1]))
-            if name not in held:
-                while len(held) > 3:
-                    held.pop(next(iter(held)))
-                held[name] = unit_vectors(texts)
-            return held[name]
+    spark = queries.sparkSession
+    tokens = lambda: F.array_join(X.rerank_tokens(F.col("text")), " ").alias("text")
+    q, d = _numbered(queries, "qid", tokens()), _numbered(docs, "chunk_id", F.col("text"))
+    first, same = _alike(q, "text")
+    size = first.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0)).alias("words")).first()
+    n = size["n"]
+    short = size["words"] <= FEW_WORDS * n
+    slices = max(1, -(-n // (SHORT_QUERIES if short else LONG_QUERIES)), -(-n * k // HELD))
+    parts = d.filter("text is not null").select("no", tokens()).filter("text <> ''").repartition(_tasks(spark))
+    parts, scored = staged(parts, "parts").repartition(_tasks(spark)) if slices > 1 else parts, None
+    for i in range(slices):
+        one = _dense_slice(parts, first.filter(F.pmod(F.xxhash64("rep"), F.lit(slices)) == i), k, short)
+        scored = one if scored is None else scored.unionByName(one)
+    return _named(top_k(scored, k, query="q", key="no").withColumnRenamed("q", "rep").join(same, "rep"), q, d)
+
+
+def _dense_slice(docs: DataFrame, asked: DataFrame, k: int, short: bool) -> DataFrame:
+    """(q, no, score): the k best of each part of docs(no, text) for a slice asked(rep, text) of the queries, which is collected."""
+    rows = asked.orderBy("text").toPandas()
+    made = _combined(rows["text"].tolist()) if short and len(rows) else None
+    if made is not None and len(made[0]) > SLICE_WORDS:
+        made = None
+    shared = docs.sparkSession.sparkContext.broadcast((rows["rep"].to_numpy(np.int64), made, None if made else rows["text"].tolist()))
 
-        for part in parts:
-            for qids, qtexts, ids, texts in zip(part["qids"], part["qtexts"], part["ids"], part["texts"], strict=True):
-                s = vectors(qids, qtexts, "q") @ vectors(ids, texts, "d").T
-                r, no, best = best_of_block(s, np.asarray(ids), k)
-                yield pd.DataFrame({"q": np.asarray(qids)[r], "no": no, "score": best})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, made, texts = shared.value
+        best = Best(len(queries), k)
+        for part in _by_document(parts, DOC_BLOCK * (2 if made else 1)) if len(queries) else ():
+            ids, x = part["no"].to_numpy(np.int64), np.empty((len(part), 2 * BUCKETS))
+            for i in range(0, len(part), 1024):
+                x[i : i + 1024] = unit_vectors(part["text"].iloc[i : i + 1024].tolist())
+            if made:
+                _dense_of_rows(best, made, x, ids)
+                continue
+            for low in range(0, len(queries), QUERY_BLOCK):
+                _take_all(best, low, unit_vectors(texts[low : low + QUERY_BLOCK]) @ x.T, ids)
+        yield from best.rows(queries)
 
-    met = qb.join(_text_blocks(d, DOC_BLOCK, "ids", "texts").hint("shuffle_replicate_nl"))
-    scored = met.mapInPandas(score, "q long, no long, score double")
-    return _named(top_k(scored, k, query="q", key="no"), q, d)
+    return docs.mapInPandas(run, "q long, no long, score double")
 
 
 def rrf(lists: dict[str, DataFrame], k: int, c: int = RRF_K) -> DataFrame:
@@ -294,17 +496,19 @@ def lexical_rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, k
     Candidates that share no term score 0 and stay; ties keep their order.
     """
     q = queries.select("qid", X.rerank_tokens(F.col("text")).alias("q")).select("qid", F.array_distinct("q").alias("qs"), X.bigrams(F.col("q")).alias("qb"))
-    d = docs.select("chunk_id", X.rerank_tokens(F.col("text")).alias("ts")).select("chunk_id", "ts", X.bigrams(F.col("ts")).alias("tb"))
-    c = candidates.select("qid", "chunk_id", F.col("rank").alias("was")).join(d, "chunk_id").join(q, "qid")
+    # tokens of a document between blanks, in one string: what a query asks for is looked up there, so no lists of documents travel with candidates
+    d = docs.select("chunk_id", X.rerank_tokens(F.col("text")).alias("ts")).select("chunk_id", F.size("ts").alias("len"), F.concat(F.lit(" "), F.array_join("ts", " "), F.lit(" ")).alias("said"))
+    c = candidates.select("qid", "chunk_id", F.col("rank").alias("was")).join(q, "qid").join(d, "chunk_id")
+    within = lambda terms: F.filter(terms, lambda t: F.contains("said", F.concat(F.lit(" "), t, F.lit(" "))))
     c = c.select(
-        "qid", "chunk_id", "was", F.size("ts").alias("len"), F.size("qs").alias("nq"),
-        F.array_intersect("qs", "ts").alias("covered"), F.size(F.array_intersect("qb", "tb")).alias("nb"), F.greatest(F.size("qb"), F.lit(1)).alias("nqb"),
+        "qid", "chunk_id", "was", "len", F.size("qs").alias("nq"), within("qs").alias("covered"), F.size(within("qb")).alias("nb"), F.greatest(F.size("qb"), F.lit(1)).alias("nqb"),
+    )
+    # all that follows is within a query, so its rows move once
+    c = c.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    hits = c.select("*", F.explode_outer("covered").alias("term")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("qid", "term")))
+    scored = hits.groupBy("qid", "chunk_id", "was").agg(
+        *[F.first(x).alias(x) for x in ("len", "nq", "covered", "nb", "nqb")], F.sum(F.when(F.col("term").isNotNull(), F.log(1 + F.col("n") / (1 + F.col("df"))))).alias("rare"),
     )
-    n = c.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    hits = c.select("qid", "chunk_id", F.explode("covered").alias("term"))
-    df = hits.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df"))
-    rare = hits.join(df, ["qid", "term"]).join(n, "qid").groupBy("qid", "chunk_id").agg(F.sum(F.log(1 + F.col("n") / (1 + F.col("df")))).alias("rare"))
-    scored = c.join(rare, ["qid", "chunk_id"], "left")
     value = (0.6 * F.size("covered") / F.col("nq") + 0.25 * F.col("nb") / F.col("nqb") + 0.15 * F.least(F.col("rare") / 10, F.lit(1.0))) / (
         1 + F.log(1 + F.col("len") / 200)
     )
@@ -313,6 +517,18 @@ def lexical_rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, k
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
 
 
+def search_modes(queries: DataFrame, docs: DataFrame, k: int = TOP_K, candidates: int | None = None, index: Index | None = None) -> dict[str, DataFrame]:
+    """What search gives in every one of MODES. Each list is made once: the k best of a list are the first k of the candidates."""
+    wide = candidates or max(CANDIDATES, k)
+    live = docs.filter(F.lower("status") == "active")
+    live_text = live.select("chunk_id", "text")
+    lexical = staged(bm25(queries, docs, wide, live, index), "lexical")
+    dense = staged(sparse_dense(queries, live_text, wide), "dense")
+    fused = staged(rrf({"bm25": lexical, "dense": dense}, wide), "fused")
+    first = lambda df: df.filter(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
+    return {"bm25": first(lexical), "dense": first(dense), "hybrid": first(fused), "hybrid_rerank": lexical_rerank(queries, fused, live_text, k)}
+
+
 def search(queries: DataFrame, docs: DataFrame, mode: str = "hybrid_rerank", k: int = TOP_K, candidates: int | None = None, include_deprecated: bool = False, index: Index | None = None, reranker: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) of docs(chunk_id, text, status) for all queries(qid, text) at once, with their index if there is one.
 

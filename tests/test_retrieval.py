@@ -208,3 +208,45 @@ def test_bm25_in_small_blocks_and_without_a_broadcast(spark, monkeypatch):
     blocks = row(R.bm25(queries, docs, 5))
     monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
     assert whole == blocks == row(R.bm25(queries, docs, 5)) and len(whole) == 45
+
+
+def test_queries_beyond_one_slice_and_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(40)])
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(300)]
+    docs = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(texts)], "chunk_id string, text string").repartition(3)
+    asked = [" ".join(rng.choice(words, n % 5)) for n in range(30)]
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*asked, *[" ".join(reversed(t.split())) for t in asked]])], "qid string, text string")
+    row = lambda df: {(r.qid, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in df.collect()}
+    plain = row(R.bm25(queries, docs, 6))
+    # by hand: the sum over terms of each query, joined
+    index = R.build_index(docs)
+    n, avg = index.corpus.first()
+    idf = {r.term: r.idf for r in index.weights.collect()}
+    want = {}
+    for i, t in enumerate(asked):
+        scores = [(-round(sum(idf[w] * d.split().count(w) * 2.5 / (d.split().count(w) + 1.5 * (0.25 + 0.75 * len(d.split()) / avg)) for w in t.split() if w in idf and w in d.split()), 6), f"c{j:03d}") for j, d in enumerate(texts)]
+        for rank, (s, c) in enumerate(sorted(x for x in scores if x[0] < 0)[:6]):
+            want |= {(f"q{i + m}", rank + 1): (c, -s) for m in (0, 30)}
+    assert {k: c for k, (c, _) in plain.items()} == {k: c for k, (c, _) in want.items()}
+    assert n == 300 and {k: s for k, (_, s) in plain.items()} == pytest.approx({k: s for k, (_, s) in want.items()}, abs=2e-6)
+    dense = row(R.sparse_dense(queries, docs, 6))
+    for name, value in (("ASKED_ROWS", 30), ("FIRST_DOCS", 7), ("MOST_DOCS", 50)):
+        monkeypatch.setattr(R, name, value)
+    assert row(R.bm25(queries, docs, 6)) == plain
+    monkeypatch.setattr(R, "TERM_ROWS", 0)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    assert row(R.bm25(queries, docs, 6)) == plain
+    monkeypatch.setattr(R, "HELD", 60)
+    assert row(R.sparse_dense(queries, docs, 6)) == dense
+    monkeypatch.setattr(R, "FEW_WORDS", 0)
+    assert row(R.sparse_dense(queries, docs, 6)) == dense
+
+
+def test_modes_at_once(corpus):
+    queries, docs = corpus
+    row = lambda df: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    at_once = R.search_modes(queries, docs, 2)
+    assert set(at_once) == set(R.MODES)
+    for mode in R.MODES:
+        assert row(at_once[mode]) == row(R.search(queries, docs, mode, 2))
