@@ -102,19 +102,29 @@ def _shape(line: str) -> str:
     return "p"
 
 
-def language_profiles(docs: DataFrame, common_words: DataFrame, key: str, text: str, lang: str, sample: int = 4000) -> dict[str, dict[str, float]]:
-    """The share of each function word of a language among all of them, by documents labelled with the language.
+def language_profiles(docs: DataFrame, common: dict[str, list[str]], text: str, lang: str) -> dict[str, dict[str, float]]:
+    """The share of each function word of a language among all of them, over all documents labelled with the language.
 
-    Fitted on about sample documents, those with the smallest hashes of their key. Labels compare without case and outer
-    blanks; words are counted by the cluster, one number a function word comes back.
+    Labels compare without case and outer blanks, words are those that texts are measured by; each task sends one number a
+    function word.
     """
-    n = docs.count()
-    few = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    words = few.select(F.lower(F.trim(lang)).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+(?:['’-][\p{L}]+)*"), F.lit(0))).alias("word"))
-    known = F.broadcast(common_words.select("lang", "word").distinct().limit(MAX_WORDS))
+    sets = {k: frozenset(v) for k, v in common.items()}
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[tuple[str, str]] = Counter()
+        for part in parts:
+            for label, body in zip(part["lang"], part["text"], strict=True):
+                if known := sets.get(label):
+                    words = Counter(_WORD.findall(body.lower()))
+                    for w in known & words.keys():
+                        seen[label, w] += words[w]
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "word", "n"])
+
+    labelled = docs.select(F.lower(F.trim(lang)).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
+    counts = labelled.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, dict[str, float]] = {}
-    for r in words.join(known, ["lang", "word"]).groupBy("lang", "word").count().collect():  # MAX_WORDS rows at most
-        out.setdefault(r["lang"], {})[r["word"]] = float(r["count"])
+    for r in counts.orderBy("lang", "word").collect():  # MAX_WORDS rows at most
+        out.setdefault(r["lang"], {})[r["word"]] = float(r["n"])
     return {k: {w: c / sum(v.values()) for w, c in v.items()} for k, v in out.items()}
 
 
@@ -276,7 +286,7 @@ def measure_batch(texts: list[str | None], measure: Measure) -> pd.DataFrame:
 def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
     """(key, counts and shares, profile, divergence, language, its divergence, is_prose) of every row of docs.
 
-    language is that of the nearest distribution of function words, of those fitted on a bounded sample of documents by
+    language is that of the nearest distribution of function words, of those fitted on all documents by
     their label in the column lang; null without such a column or without a function word.
 
     common_words(lang, word) is a fixed table of function words (at most MAX_WORDS rows are held by each
@@ -288,7 +298,7 @@ def text_quality(docs: DataFrame, common_words: DataFrame, key: str = "doc_id",
         common.setdefault(row.lang, []).append(row.word)
     if sum(map(len, common.values())) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} common words")
-    measure = Measure(common or {"en": []}, language_profiles(docs, common_words, key, text, lang) if lang else None)
+    measure = Measure(common or {"en": []}, language_profiles(docs, common, text, lang) if lang else None)
     kind = dict(docs.dtypes)[key]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

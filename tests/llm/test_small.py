@@ -309,3 +309,13 @@ def test_same_looking_group_is_cut(spark, monkeypatch):
     monkeypatch.setattr(lookalike, "PAIR_BLOCK", 3)
     df = spark.createDataFrame([("f", f"{i:02d}", "a" + "\u200b" * i) for i in range(20)], "field string, id string, text string")
     assert lookalike.same_looking_pairs(df).count() == lookalike.same_looking_pairs(df).distinct().count() == 190
+
+
+def test_language_profiles_count_every_document(spark):
+    from quillspark.llm import quality
+
+    # one of 9000 documents has a word that no other has
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id = 77 THEN 'the rare upon' ELSE 'the cat' END AS text", "CASE WHEN id % 2 = 0 THEN ' EN' ELSE 'en' END AS lang")
+    docs = docs.unionByName(spark.createDataFrame([(9001, None, "en"), (9002, "le the upon", "fr"), (9003, "upon", None)], "doc_id long, text string, lang string"))
+    got = quality.language_profiles(docs, {"en": ["the", "upon"], "fr": ["le"]}, "text", "lang")
+    assert got == {"en": {"the": 9000 / 9001, "upon": 1 / 9001}, "fr": {"le": 1.0}}
