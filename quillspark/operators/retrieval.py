@@ -129,6 +129,19 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None
     return _named(top_k(scored, k, query="q", key="no").withColumnRenamed("q", "rep").join(same, "rep"), q, index.docs)
 
 
+def _placed(r: np.ndarray, place: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """The order by r, then the highest place, then no."""
+    if place.max(initial=0) >= 1 << 38 or r.max(initial=0) >= 1 << 24:
+        return np.lexsort((no, -place, r))
+    key = (r.astype(np.int64) << 39) - place.astype(np.int64)
+    order = np.argsort(key)
+    same = np.diff(key[order]) == 0
+    # only what has equals needs its number
+    few = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    order[few] = order[few][np.lexsort((no[order[few]], key[order[few]]))]
+    return order
+
+
 class Best:
     """The k best documents of each query so far: by score to six places, then by number; positive scores only."""
 
@@ -136,6 +149,11 @@ class Best:
         self.k, self.score, self.no = k, np.zeros((queries, k)), np.zeros((queries, k), np.int64)
         #: What a score has to exceed to come in.
         self.floor = np.zeros(queries)
+        #: (queries, scores, documents) put here and not yet taken, and how many they are.
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.many = 0
+        #: Documents so far, counted by those who need it.
+        self.seen = 0
 
     def near(self, scores: np.ndarray) -> np.ndarray:
         """Places of those of many scores of one query that may be among its best."""
@@ -151,14 +169,32 @@ class Best:
             s = np.concatenate([self.score[i].ravel(), *[f[1] for f in few]])
             no = np.concatenate([self.no[i].ravel(), *[f[2] for f in few]])
             place = np.where(s > 0, np.rint(s * 1e6), -1.0)
-            order = np.lexsort((no, -place, r))
+            order = _placed(r, place, no)
             # every query has k rows at least
             order = order[(np.searchsorted(r[order], np.arange(len(few)))[:, None] + np.arange(self.k)).ravel()]
             self.score[i], self.no[i] = s[order].reshape(-1, self.k), no[order].reshape(-1, self.k)
             self.floor[i] = np.maximum(0.0, (place[order[self.k - 1 :: self.k]] - 0.6) * 1e-6)
 
+    def put(self, queries: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
+        """To be taken by the next settle; a document of a query comes once in all."""
+        if len(queries):
+            self.held.append((queries, scores, docs))
+            self.many += len(queries)
+            if self.many > HELD:
+                self.settle()
+
+    def settle(self) -> None:
+        """Take all that was put."""
+        if self.held:
+            q, s, no = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.many = [], 0
+            order = np.argsort(q, kind="stable")
+            q, s, no = q[order], s[order], no[order]
+            self.take([(int(q[a]), s[a:b], no[a:b]) for a, b in pairwise(np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]).tolist())])
+
     def rows(self, queries: np.ndarray) -> Iterator[pd.DataFrame]:
         """(q, no, score) of all queries."""
+        self.settle()
         step = max(1, 500_000 // self.k)
         for i in range(0, len(queries), step):
             r, c = np.nonzero(self.score[i : i + step] > 0)
@@ -406,28 +442,102 @@ def _combined(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return words, np.array(begin), np.concatenate(at), np.concatenate(by)
 
 
-def _dense_of_rows(best: Best, made: tuple[np.ndarray, ...], vectors: np.ndarray, docs: np.ndarray) -> None:
-    """Score a block of documents for queries given as _combined: sums of few rows in single precision, then exactly what may be among the best."""
-    words, begin, at, by = made
+#: What a row weighs in a query, before it is made a unit vector, from which on it is added up for all documents.
+HEAVY = 0.3
+#: Queries and documents whose sums are made at once, numbers of the rows of a block of documents, pairs scored exactly at once, at most.
+TILE_QUERIES, TILE_DOCS, BLOCK_ROWS, EXACT_PAIRS = 1024, 256, 10_000_000, 20_000
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Queries as sums of rows. words, begin, at, by as _combined gives them. heavy: (row, weight) of the different heavy rows; groups: queries of
+    equally many, and which these are; light: (query, bucket, weight) of all other rows; norms: what the sums are divided by."""
+
+    words: np.ndarray
+    begin: np.ndarray
+    at: np.ndarray
+    by: np.ndarray
+    norms: np.ndarray
+    heavy: tuple[np.ndarray, np.ndarray]
+    groups: list[tuple[np.ndarray, np.ndarray]]
+    light: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @staticmethod
+    def of(words: np.ndarray, begin: np.ndarray, at: np.ndarray, by: np.ndarray) -> Rows:
+        n = np.diff(begin)
+        norms = 1 / by[begin[:-1]]  # the first row of a query is that of a word, which weighs 1
+        owner, weight = np.repeat(np.arange(len(n)), n), by * np.repeat(norms, n)
+        big = (at < len(words)) | (weight > HEAVY)
+        kinds, kind = np.unique(np.stack([at[big].astype(float), np.round(weight[big], 9)]), axis=1, return_inverse=True)
+        small = ~big
+        light = owner[small], at[small] - len(words), weight[small]
+        return Rows(words, begin, at, by, norms, (kinds[0].astype(np.int64), kinds[1]), _groups(np.bincount(owner[big], minlength=len(n)), kind.ravel()), light)
+
+
+def _groups(n: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(queries, rows of each) for every number of rows that a query has; rows has the n[0] rows of the first query, then those of the next."""
+    begin = np.cumsum(n) - n
+    return [(q, rows[begin[q][:, None] + np.arange(k)]) for k in np.unique(n).tolist() for q in [np.flatnonzero(n == k)]]
+
+
+def _sums_above(m: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, places): where the sum of a query's rows of m is above its need. Tiles are small enough for the caches of a core."""
+    for low in range(0, m.shape[1], TILE_DOCS):
+        width = min(TILE_DOCS, m.shape[1] - low)
+        tile = np.zeros((len(m), TILE_DOCS), np.float32)
+        tile[:, :width] = m[:, low : low + width]
+        total, one = np.empty((2, TILE_QUERIES, TILE_DOCS), np.float32)
+        hit = np.empty((TILE_QUERIES, TILE_DOCS), bool)
+        for queries, rows in groups:
+            for i in range(0, len(queries), TILE_QUERIES):
+                few, n = rows[i : i + TILE_QUERIES], min(TILE_QUERIES, len(queries) - i)
+                s, t, h = total[:n], one[:n], hit[:n]
+                np.take(tile, few[:, 0], axis=0, out=s, mode="clip")
+                for j in range(1, few.shape[1]):
+                    np.take(tile, few[:, j], axis=0, out=t, mode="clip")
+                    np.add(s, t, out=s)
+                np.greater(s, need[queries[i : i + n], None], out=h)
+                some = h.reshape(-1).view(np.uint64).nonzero()[0]  # eight flags at once
+                if len(some):
+                    where, byte = h.reshape(-1, 8)[some].nonzero()
+                    place = some[where] * 8 + byte
+                    q, at = queries[i + place // TILE_DOCS], place % TILE_DOCS
+                    yield (q, low + at) if width == TILE_DOCS else (q[at < width], low + at[at < width])
+
+
+def _dense_of_rows(best: Best, made: Rows, vectors: np.ndarray, docs: np.ndarray) -> None:
+    """Score a block of documents. Heavy rows are added up in single precision; light rows give at most what their buckets' extremes in the
+    block say. What may be among the best by this is scored exactly, and so are all of the first documents."""
     # products of words and documents, below them the vectors of documents
-    full = np.concatenate([words @ vectors.T, vectors.T])
-    m, low = full.astype(np.float32), by.astype(np.float32)
-    s, hit = np.empty(len(docs), np.float32), np.empty(len(docs), bool)
-    held = np.empty((int(np.diff(begin).max()), len(docs)), np.float32)
-    floor, found = (best.floor - SINGLE).astype(np.float32), []
-    for i, (a, b) in enumerate(pairwise(begin.tolist())):
-        np.take(m, at[a:b], axis=0, out=held[: b - a], mode="clip")
-        np.dot(low[a:b], held[: b - a], out=s)
-        few = np.greater(s, floor[i], out=hit).nonzero()[0]
-        if len(few) > 2 * best.k:
-            near = s[few]
-            few = few[near >= np.partition(near, -best.k)[-best.k] - np.float32(2 * SINGLE)]
-        if len(few):
-            exact = by[a:b] @ full[at[a:b, None], few]
-            keep = exact > max(best.floor[i], 1e-12)  # what is left of sums that cancel is no score
-            if keep.any():
-                found.append((i, exact[keep], docs[few[keep]]))
-    best.take(found)
+    full = np.concatenate([made.words @ vectors.T, vectors.T])
+    if best.seen < 32 * best.k:
+        for i, (a, b) in enumerate(pairwise(made.begin.tolist())):
+            score = made.by[a:b] @ full[made.at[a:b]]
+            few = np.flatnonzero(score > max(best.floor[i], 1e-12))  # what is left of sums that cancel is no score
+            if len(few) > 4 * best.k:
+                few = few[best.near(score[few])]
+            best.put(np.full(len(few), i), score[few], docs[few])
+        best.seen += len(docs)
+        best.settle()
+        return
+    row, weight = made.heavy
+    m = full[row].astype(np.float32)
+    m *= weight[:, None].astype(np.float32)
+    of, bucket, light = made.light
+    most = np.bincount(of, light * np.where(light > 0, vectors.max(0)[bucket], vectors.min(0)[bucket]), len(made.norms))
+    need = ((best.floor - SINGLE) * made.norms - most).astype(np.float32)
+    n = np.diff(made.begin)
+    for q, place in _sums_above(m, made.groups, need):
+        for i in range(0, len(q), EXACT_PAIRS):
+            some, at = q[i : i + EXACT_PAIRS], place[i : i + EXACT_PAIRS]
+            ends = np.cumsum(n[some])
+            x = np.arange(ends[-1]) + np.repeat(made.begin[some] - ends + n[some], n[some])
+            score = np.add.reduceat(made.by[x] * full[made.at[x], np.repeat(at, n[some])], ends - n[some])
+            keep = score > np.maximum(best.floor[some], 1e-12)
+            best.put(some[keep], score[keep], docs[at[keep]])
+    best.seen += len(docs)
+    if best.many > best.k * len(best.floor) // 2:
+        best.settle()
 
 
 def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -457,14 +567,14 @@ def _dense_slice(docs: DataFrame, asked: DataFrame, k: int, short: bool) -> Data
     """(q, no, score): the k best of each part of docs(no, text) for a slice asked(rep, text) of the queries, which is collected."""
     rows = asked.orderBy("text").toPandas()
     made = _combined(rows["text"].tolist()) if short and len(rows) else None
-    if made is not None and len(made[0]) > SLICE_WORDS:
-        made = None
+    made = Rows.of(*made) if made is not None and len(made[0]) <= SLICE_WORDS else None
     shared = docs.sparkSession.sparkContext.broadcast((rows["rep"].to_numpy(np.int64), made, None if made else rows["text"].tolist()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, made, texts = shared.value
         best = Best(len(queries), k)
-        for part in _by_document(parts, DOC_BLOCK * (2 if made else 1)) if len(queries) else ():
+        width = max(64, min(2 * DOC_BLOCK, BLOCK_ROWS // (len(made.heavy[0]) + len(made.words) + 2 * BUCKETS))) if made else DOC_BLOCK
+        for part in _by_document(parts, width) if len(queries) else ():
             ids, x = part["no"].to_numpy(np.int64), np.empty((len(part), 2 * BUCKETS))
             for i in range(0, len(part), 1024):
                 x[i : i + 1024] = unit_vectors(part["text"].iloc[i : i + 1024].tolist())

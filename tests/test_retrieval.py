@@ -250,3 +250,27 @@ def test_modes_at_once(corpus):
     assert set(at_once) == set(R.MODES)
     for mode in R.MODES:
         assert row(at_once[mode]) == row(R.search(queries, docs, mode, 2))
+
+
+def test_dense_sums_of_rows_equal_products(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}{'ab' * (i % 3)}" for i in range(30)] + ["the", "and"]
+    made = lambda n, low, high: sorted({" ".join(rng.choices(vocabulary, k=rng.randint(low, high))) for _ in range(n)})
+    queries, docs = made(60, 1, 6), made(900, 3, 40)
+    vectors, want = R.unit_vectors(docs), R.Best(len(queries), 3)
+    R._take_all(want, 0, R.unit_vectors(queries) @ vectors.T, np.arange(len(docs)))
+    summed = []
+    above = R._sums_above
+    monkeypatch.setattr(R, "_sums_above", lambda *a: (summed.append((q, at)) or (q, at) for q, at in above(*a)))
+    for queries_at_once, docs_at_once, pairs in ((1024, 256, 20_000), (7, 16, 5)):
+        for name, value in (("TILE_QUERIES", queries_at_once), ("TILE_DOCS", docs_at_once), ("EXACT_PAIRS", pairs)):
+            monkeypatch.setattr(R, name, value)
+        rows, best = R.Rows.of(*R._combined(queries)), R.Best(len(queries), 3)
+        for i in range(0, len(docs), 100):
+            R._dense_of_rows(best, rows, vectors[i : i + 100], np.arange(i, min(i + 100, len(docs))))
+        best.settle()
+        assert (best.no == want.no).all() and np.allclose(best.score, want.score)
+    # tiles found some pairs, and most were never scored exactly
+    assert 0 < sum(len(q) for q, _ in summed) < len(queries) * 800
