@@ -113,7 +113,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None
     asked = staged(first.select(F.col("rep").alias("q"), F.explode(F.split("ts", " ")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
     n = asked.count()
     terms = staged(asked.select("term").distinct().join(index.weights.select("term", "idf"), "term").withColumn("t", F.monotonically_increasing_id()), "terms")
-    known = index.postings.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "term")
+    known = index.postings.join(F.broadcast(terms) if min(n, terms.count()) <= BROADCAST_ROWS else terms, "term")
     if allowed is not None:
         known = known.join(index.docs.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
     part = F.col("tf") * (I.K1 + 1) / (F.col("tf") + I.K1 * (1 - I.B + I.B * F.col("dl") / F.col("avgdl")))
@@ -205,6 +205,8 @@ class Best:
 BLOCK_SCORES, FIRST_DOCS, MOST_DOCS = 8_000_000, 512, 16_384
 #: Terms that have a row of their own in a block at most.
 TERM_ROWS = 2048
+#: Share of the documents that a term has on average, from which on all documents are looked at for each query.
+TILED = 0.05
 
 
 def _by_document(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
@@ -244,7 +246,7 @@ def _summed_in_blocks(known: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         rows = len(terms) <= TERM_ROWS
         most = max(16, min(MOST_DOCS, BLOCK_SCORES // max(1, len(terms) if rows else min(len(queries), QUERY_BLOCK))))
         by_term = np.argsort(wants, kind="stable")
-        plan = begin, wants, often, by_term, np.searchsorted(wants[by_term], np.arange(len(terms) + 1))
+        plan = begin, wants, often, by_term, np.searchsorted(wants[by_term], np.arange(len(terms) + 1)), _kinds(np.diff(begin), wants, often)
         for part in _by_document(parts, most) if len(queries) else ():
             docs, column = np.unique(part["no"].to_numpy(np.int64), return_inverse=True)
             x, gain = np.searchsorted(terms, part["t"].to_numpy(np.int64)), part["gain"].to_numpy(float)
@@ -270,14 +272,22 @@ def _summed_in_blocks(known: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 
 def _by_rows(best: Best, plan: tuple[np.ndarray, ...], terms: int, docs: np.ndarray, x: np.ndarray, gain: np.ndarray, column: np.ndarray) -> None:
-    """Score a block. plan: where each query begins, its terms, how often it has them; rows of these by term, where each term begins.
+    """Score a block. plan: where each query begins, its terms, how often it has them; rows of these by term, where each term begins; the
+    different (term, how often), and of each query which these are.
 
-    A document that comes in makes up, in each term, for what the others can't give at most. So of the term that fewest documents can do this
+    Where a term has many of the documents, all sums are made in single precision, and exactly where they may be among the best. Else: a document that comes in makes up, in each term, for what the others can't give at most. So of the term that fewest documents can do this
     in only those are looked at: the first ones by gain.
     """
-    begin, wants, often, by_term, edge = plan
+    begin, wants, often, by_term, edge, tiles = plan
     g = np.zeros((terms, len(docs)))
     g[x, column] = gain
+    best.seen += len(docs)
+    if best.seen > 32 * best.k + len(docs) and len(x) > TILED * g.size:
+        kinds, groups = tiles
+        m = g[kinds[0].astype(np.int64)].astype(np.float32)
+        m *= kinds[1][:, None].astype(np.float32)
+        _put_above(best, _sums_above(m, groups, (best.floor * (1 - SINGLE) - SINGLE).astype(np.float32)), (begin, wants, often), g, docs)
+        return
     order = np.lexsort((-gain, x))
     lists, cuts = column[order], np.searchsorted(x[order], np.arange(terms + 1))
     most = g.max(1)[wants] * often
@@ -468,10 +478,16 @@ class Rows:
         norms = 1 / by[begin[:-1]]  # the first row of a query is that of a word, which weighs 1
         owner, weight = np.repeat(np.arange(len(n)), n), by * np.repeat(norms, n)
         big = (at < len(words)) | (weight > HEAVY)
-        kinds, kind = np.unique(np.stack([at[big].astype(float), np.round(weight[big], 9)]), axis=1, return_inverse=True)
+        kinds, groups = _kinds(np.bincount(owner[big], minlength=len(n)), at[big], weight[big])
         small = ~big
         light = owner[small], at[small] - len(words), weight[small]
-        return Rows(words, begin, at, by, norms, (kinds[0].astype(np.int64), kinds[1]), _groups(np.bincount(owner[big], minlength=len(n)), kind.ravel()), light)
+        return Rows(words, begin, at, by, norms, (kinds[0].astype(np.int64), kinds[1]), groups, light)
+
+
+def _kinds(n: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The different pairs of a row and its weight, and _groups of these."""
+    kinds, kind = np.unique(np.stack([row.astype(float), np.round(weight, 9)]), axis=1, return_inverse=True)
+    return kinds, _groups(n, kind.ravel())
 
 
 def _groups(n: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -505,6 +521,22 @@ def _sums_above(m: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], need
                     yield (q, low + at) if width == TILE_DOCS else (q[at < width], low + at[at < width])
 
 
+def _put_above(best: Best, pairs: Iterator[tuple[np.ndarray, np.ndarray]], queries: tuple[np.ndarray, np.ndarray, np.ndarray], full: np.ndarray, docs: np.ndarray) -> None:
+    """Put pairs of a query and a document's place with their exact scores. queries: where each begins, its rows of full, what they weigh."""
+    begin, rows, by = queries
+    n = np.diff(begin)
+    for q, place in pairs:
+        for i in range(0, len(q), EXACT_PAIRS):
+            some, at = q[i : i + EXACT_PAIRS], place[i : i + EXACT_PAIRS]
+            ends = np.cumsum(n[some])
+            x = np.arange(ends[-1]) + np.repeat(begin[some] - ends + n[some], n[some])
+            score = np.add.reduceat(by[x] * full[rows[x], np.repeat(at, n[some])], ends - n[some])
+            keep = score > np.maximum(best.floor[some], 1e-12)
+            best.put(some[keep], score[keep], docs[at[keep]])
+    if best.many > best.k * len(best.floor) // 2:
+        best.settle()
+
+
 def _dense_of_rows(best: Best, made: Rows, vectors: np.ndarray, docs: np.ndarray) -> None:
     """Score a block of documents. Heavy rows are added up in single precision; light rows give at most what their buckets' extremes in the
     block say. What may be among the best by this is scored exactly, and so are all of the first documents."""
@@ -526,18 +558,8 @@ def _dense_of_rows(best: Best, made: Rows, vectors: np.ndarray, docs: np.ndarray
     of, bucket, light = made.light
     most = np.bincount(of, light * np.where(light > 0, vectors.max(0)[bucket], vectors.min(0)[bucket]), len(made.norms))
     need = ((best.floor - SINGLE) * made.norms - most).astype(np.float32)
-    n = np.diff(made.begin)
-    for q, place in _sums_above(m, made.groups, need):
-        for i in range(0, len(q), EXACT_PAIRS):
-            some, at = q[i : i + EXACT_PAIRS], place[i : i + EXACT_PAIRS]
-            ends = np.cumsum(n[some])
-            x = np.arange(ends[-1]) + np.repeat(made.begin[some] - ends + n[some], n[some])
-            score = np.add.reduceat(made.by[x] * full[made.at[x], np.repeat(at, n[some])], ends - n[some])
-            keep = score > np.maximum(best.floor[some], 1e-12)
-            best.put(some[keep], score[keep], docs[at[keep]])
+    _put_above(best, _sums_above(m, made.groups, need), (made.begin, made.at, made.by), full, docs)
     best.seen += len(docs)
-    if best.many > best.k * len(best.floor) // 2:
-        best.settle()
 
 
 def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

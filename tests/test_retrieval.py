@@ -274,3 +274,30 @@ def test_dense_sums_of_rows_equal_products(monkeypatch):
         assert (best.no == want.no).all() and np.allclose(best.score, want.score)
     # tiles found some pairs, and most were never scored exactly
     assert 0 < sum(len(q) for q, _ in summed) < len(queries) * 800
+
+
+def test_bm25_sums_in_tiles_equal_lists(monkeypatch):
+    rng = np.random.default_rng(8)
+    terms, docs, queries = 20, 600, 50
+    wants = [np.sort(rng.choice(terms, rng.integers(1, 5), replace=False)) for _ in range(queries)]
+    n, want = np.array([len(w) for w in wants]), np.concatenate(wants)
+    often = rng.integers(1, 3, len(want)).astype(float)
+    by_term = np.argsort(want, kind="stable")
+    plan = np.r_[0, np.cumsum(n)], want, often, by_term, np.searchsorted(want[by_term], np.arange(terms + 1)), R._kinds(n, want, often)
+    gains = np.where(rng.random((terms, docs)) < 0.4, np.round(rng.random((terms, docs)), 2), 0)  # ties
+    used, above = [], R._sums_above
+    monkeypatch.setattr(R, "_sums_above", lambda *a: used.append(a) or above(*a))
+    found = []
+    for share in (0.05, 2.0):
+        monkeypatch.setattr(R, "TILED", share)
+        best = R.Best(queries, 3)
+        for i in range(0, docs, 100):
+            x, column = np.nonzero(gains[:, i : i + 100])
+            R._by_rows(best, plan, terms, np.arange(i, i + 100), x, gains[x, i + column], column)
+        best.settle()
+        found.append(best)
+    assert len(used) == 5 and (found[0].no == found[1].no).all() and np.allclose(found[0].score, found[1].score)
+    every = np.array([often[a:b] @ gains[want[a:b]] for a, b in zip(plan[0][:-1], plan[0][1:], strict=True)])
+    for i, s in enumerate(np.rint(every * 1e6)):
+        top = np.lexsort((np.arange(docs), -s))[:3]
+        assert (found[0].no[i] == top).all()
