@@ -6,12 +6,15 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,10 @@ MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 RRF_K, CANDIDATES, TOP_K = 60, 40, 8
 BUCKETS = 512
 _STOP = frozenset(X.BASE_STOP)
+_BM25_STOP = frozenset(X.BM25_STOP)
 TOKEN = re.compile("[a-z0-9]+")
+#: As X.bm25_tokens has it, on lower case.
+BM25_TOKEN = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", query: str = "qid", key: str = "chunk_id") -> DataFrame:
@@ -83,21 +89,21 @@ class Index:
 
 def build_index(docs: DataFrame) -> Index:
     """The inverted index of docs(chunk_id, text); statistics cover all of them. A document without tokens has length 0."""
-    ts = X.bm25_tokens(F.col("text"))
-    d = _numbered(docs, "chunk_id", F.array_join(ts, " ").alias("ts"), F.size(ts).cast("long").alias("dl"))
-    corpus = I.corpus_stats(d.select(F.greatest("dl", F.lit(0)).alias("dl")))
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for i in range(0, len(part), 2048):
-                p = part.iloc[i : i + 2048]
-                tf = [Counter(text.split()) for text in p["ts"]]
-                n = [len(c) for c in tf]
-                terms, times = list(chain.from_iterable(tf)), np.fromiter(chain.from_iterable(c.values() for c in tf), np.int64, sum(n))
-                yield pd.DataFrame({"term": terms, "no": np.repeat(p["no"].to_numpy(), n), "dl": np.repeat(p["dl"].to_numpy(), n), "tf": times})
-
-    # a document is one row, so its terms are counted where it is
-    posts = staged(d.filter("ts <> ''").select("no", "dl", "ts").mapInPandas(count, "term string, no long, dl long, tf long"), "postings")
+            found = [[t for t in BM25_TOKEN.findall(text) if t not in _BM25_STOP] if text else [] for text in part.column("low").to_pylist()]
+            tf = [Counter(ts) for ts in found]
+            edge = pa.array(np.cumsum([0, *map(len, tf)]), pa.int32())
+            terms = pa.ListArray.from_arrays(edge, pa.array(list(chain.from_iterable(tf)), pa.string()))
+            times = pa.ListArray.from_arrays(edge, pa.array(list(chain.from_iterable(c.values() for c in tf)), pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("chunk_id"), part.column("no"), pa.array(list(map(len, found)), pa.int64()), terms, times], ["chunk_id", "no", "dl", "terms", "times"])
+
+    # a document is one row, so its terms are found and counted where it is, after the sort, which would do it twice
+    low = docs.orderBy("chunk_id").select("chunk_id", F.lower("text").alias("low")).withColumn("no", F.monotonically_increasing_id())
+    d = staged(low.mapInArrow(count, f"chunk_id {dict(docs.dtypes)['chunk_id']}, no long, dl long, terms array<string>, times array<int>"), "counted")
+    corpus = I.corpus_stats(d.select("dl"))
+    posts = d.select("no", "dl", F.inline(F.arrays_zip("terms", "times"))).select(F.col("terms").alias("term"), "no", "dl", F.col("times").cast("long").alias("tf"))
     return Index(d.select("chunk_id", "no", "dl"), posts, staged(I.idf(posts, corpus), "weights"), corpus)
 
 
@@ -107,26 +113,29 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None
     Statistics cover all docs, hits only those in allowed(chunk_id). Terms count as often as the query has them; only
     positive scores are kept. Postings of terms that no query has are left out before anything is weighted or shuffled.
     """
-    index = index or build_index(docs)
-    q = _numbered(queries, "qid", F.array_join(F.array_sort(X.bm25_tokens(F.col("text"))), " ").alias("ts"))
-    first, same = _alike(q, "ts")
-    asked = staged(first.select(F.col("rep").alias("q"), F.explode(F.split("ts", " ")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
-    n = asked.count()
-    terms = staged(asked.select("term").distinct().join(index.weights.select("term", "idf"), "term").withColumn("t", F.monotonically_increasing_id()), "terms")
-    known = index.postings.join(F.broadcast(terms) if min(n, terms.count()) <= BROADCAST_ROWS else terms, "term")
+
+    def side() -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+        q = _numbered(queries, "qid", F.array_join(F.array_sort(X.bm25_tokens(F.col("text"))), " ").alias("ts"))
+        first, same = _alike(q, "ts")
+        asked = staged(first.select(F.col("rep").alias("q"), F.explode(F.split("ts", " ")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+        return q, same, asked, asked.count(), first.count()
+
+    (q, same, asked, n, different), made = at_once(side, lambda: index or build_index(docs))
+    terms = staged(asked.select("term").distinct().join(made.weights.select("term", "idf"), "term").withColumn("t", F.monotonically_increasing_id()), "terms")
+    known = made.postings.join(F.broadcast(terms) if min(n, terms.count()) <= BROADCAST_ROWS else terms, "term")
     if allowed is not None:
-        known = known.join(index.docs.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
+        known = known.join(made.docs.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("no"), "no", "left_semi")
     part = F.col("tf") * (I.K1 + 1) / (F.col("tf") + I.K1 * (1 - I.B + I.B * F.col("dl") / F.col("avgdl")))
-    known = known.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("t", "no", (F.col("idf") * part).alias("gain"))  # one row
+    known = known.crossJoin(F.broadcast(made.corpus.select("avgdl"))).select("t", "no", (F.col("idf") * part).alias("gain"))  # one row
     # by document, not by term: a term of every second document is spread out, and the sums need no further exchange
     asked = asked.join(terms.select("term", "t"), "term").select("q", "t", "times")
-    slices = max(1, -(-n // ASKED_ROWS), -(-first.count() * k // HELD))
+    slices = max(1, -(-n // ASKED_ROWS), -(-different * k // HELD))
     known, scored = staged(known, "known") if slices > 1 else known, None
     for i in range(slices):
         by_document = known.repartition(_tasks(queries.sparkSession), "no").sortWithinPartitions("no")
         one = _summed_in_blocks(by_document, asked.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == i), k)
         scored = one if scored is None else scored.unionByName(one)
-    return _named(top_k(scored, k, query="q", key="no").withColumnRenamed("q", "rep").join(same, "rep"), q, index.docs)
+    return _named(top_k(scored, k, query="q", key="no").withColumnRenamed("q", "rep").join(same, "rep"), q, made.docs)
 
 
 def _placed(r: np.ndarray, place: np.ndarray, no: np.ndarray) -> np.ndarray:
@@ -164,16 +173,18 @@ class Best:
         """Positive scores and documents of some queries, each query and each document of a query once."""
         for low in range(0, len(found), 16384):
             few = found[low : low + 16384]
-            i, n = np.array([f[0] for f in few]), np.array([len(f[1]) for f in few])
-            r = np.r_[np.repeat(np.arange(len(few)), self.k), np.repeat(np.arange(len(few)), n)]
-            s = np.concatenate([self.score[i].ravel(), *[f[1] for f in few]])
-            no = np.concatenate([self.no[i].ravel(), *[f[2] for f in few]])
-            place = np.where(s > 0, np.rint(s * 1e6), -1.0)
-            order = _placed(r, place, no)
-            # every query has k rows at least
-            order = order[(np.searchsorted(r[order], np.arange(len(few)))[:, None] + np.arange(self.k)).ravel()]
-            self.score[i], self.no[i] = s[order].reshape(-1, self.k), no[order].reshape(-1, self.k)
-            self.floor[i] = np.maximum(0.0, (place[order[self.k - 1 :: self.k]] - 0.6) * 1e-6)
+            self._merge(np.array([f[0] for f in few]), np.array([len(f[1]) for f in few]), np.concatenate([f[1] for f in few]), np.concatenate([f[2] for f in few]))
+
+    def _merge(self, i: np.ndarray, n: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
+        """Take scores and documents of different queries i, n of each."""
+        r = np.r_[np.repeat(np.arange(len(i)), self.k), np.repeat(np.arange(len(i)), n)]
+        s, no = np.r_[self.score[i].ravel(), scores], np.r_[self.no[i].ravel(), docs]
+        place = np.where(s > 0, np.rint(s * 1e6), -1.0)
+        order = _placed(r, place, no)
+        # every query has k rows at least
+        order = order[(np.searchsorted(r[order], np.arange(len(i)))[:, None] + np.arange(self.k)).ravel()]
+        self.score[i], self.no[i] = s[order].reshape(-1, self.k), no[order].reshape(-1, self.k)
+        self.floor[i] = np.maximum(0.0, (place[order[self.k - 1 :: self.k]] - 0.6) * 1e-6)
 
     def put(self, queries: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
         """To be taken by the next settle; a document of a query comes once in all."""
@@ -190,7 +201,10 @@ class Best:
             self.held, self.many = [], 0
             order = np.argsort(q, kind="stable")
             q, s, no = q[order], s[order], no[order]
-            self.take([(int(q[a]), s[a:b], no[a:b]) for a, b in pairwise(np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]).tolist())])
+            edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True])
+            for low in range(0, len(edge) - 1, 16384):
+                few = edge[low : low + 16385]
+                self._merge(q[few[:-1]], np.diff(few), s[few[0] : few[-1]], no[few[0] : few[-1]])
 
     def rows(self, queries: np.ndarray) -> Iterator[pd.DataFrame]:
         """(q, no, score) of all queries."""
@@ -286,7 +300,7 @@ def _by_rows(best: Best, plan: tuple[np.ndarray, ...], terms: int, docs: np.ndar
         kinds, groups = tiles
         m = g[kinds[0].astype(np.int64)].astype(np.float32)
         m *= kinds[1][:, None].astype(np.float32)
-        _put_above(best, _sums_above(m, groups, (best.floor * (1 - SINGLE) - SINGLE).astype(np.float32)), (begin, wants, often), g, docs)
+        _put_above(best, _sums_above(m, groups, lambda _low, _high: (best.floor * (1 - SINGLE) - SINGLE).astype(np.float32)), (begin, wants, often), g, docs)
         return
     order = np.lexsort((-gain, x))
     lists, cuts = column[order], np.searchsorted(x[order], np.arange(terms + 1))
@@ -372,7 +386,20 @@ def hash_embedding(docs: DataFrame, key: str, text: str, chars: bool = True) ->
     return counted.select(key, "bucket", (F.col("w") / norm).alias("weight"))
 
 
-@lru_cache(1 << 18)
+class _Kept(dict):
+    """What make gives for a key, kept for those seen lately."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: object) -> object:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 def _bucket_of(gram: str) -> int:
     return int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big") % BUCKETS
 
@@ -383,17 +410,22 @@ def _char_buckets(word: str) -> np.ndarray:
     return np.array([BUCKETS + _bucket_of(padded[i : i + n]) for n in (3, 4, 5) for i in range(len(padded) - n + 1)])
 
 
+#: Buckets of a word, its characters' and its own unless it is a stop word; bucket of two words that follow each other.
+_of_word = _Kept(lambda w: _char_buckets(w) if w in _STOP else np.r_[_bucket_of(w), _char_buckets(w)], 1 << 16)
+_of_pair = _Kept(lambda pair: _bucket_of(" ".join(pair)), 1 << 17)
+
+
 def unit_vectors(texts: Sequence[str]) -> np.ndarray:
     """(texts, 2 * BUCKETS): hash_embedding with characters, of texts given as tokens with blanks between; zeros without tokens."""
-    at = []
+    x = np.zeros((len(texts), 2 * BUCKETS))
     for row, text in enumerate(texts):
-        tokens = text.split()
-        words = [t for t in tokens if t not in _STOP]
-        grams = [_bucket_of(g) for g in (*words, *map(" ".join, pairwise(words)))]
-        at.append(np.concatenate([np.array(grams, np.int64), *map(_char_buckets, tokens)]) + row * 2 * BUCKETS)
-    x = np.sqrt(np.bincount(np.concatenate(at), minlength=len(at) * 2 * BUCKETS).reshape(len(at), 2 * BUCKETS))
+        if tokens := text.split():
+            pairs = [_of_pair[p] for p in pairwise([t for t in tokens if t not in _STOP])]
+            x[row] = np.bincount(np.concatenate([np.array(pairs, np.int64), *[_of_word[t] for t in tokens]]), minlength=2 * BUCKETS)
+    np.sqrt(x, out=x)
     x[:, BUCKETS:] *= 0.5
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return x
 
 
 def hashed_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -496,10 +528,12 @@ def _groups(n: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     return [(q, rows[begin[q][:, None] + np.arange(k)]) for k in np.unique(n).tolist() for q in [np.flatnonzero(n == k)]]
 
 
-def _sums_above(m: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, places): where the sum of a query's rows of m is above its need. Tiles are small enough for the caches of a core."""
+def _sums_above(m: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], needed: Callable[[int, int], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, places): where the sum of a query's rows of m is above what is needed from the first to the last place of a tile, which is asked
+    for when the tile begins. Tiles are small enough for the caches of a core, and all places of a pair of arrays are in one."""
     for low in range(0, m.shape[1], TILE_DOCS):
         width = min(TILE_DOCS, m.shape[1] - low)
+        need = needed(low, low + width)
         tile = np.zeros((len(m), TILE_DOCS), np.float32)
         tile[:, :width] = m[:, low : low + width]
         total, one = np.empty((2, TILE_QUERIES, TILE_DOCS), np.float32)
@@ -524,17 +558,24 @@ def _sums_above(m: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], need
 def _put_above(best: Best, pairs: Iterator[tuple[np.ndarray, np.ndarray]], queries: tuple[np.ndarray, np.ndarray, np.ndarray], full: np.ndarray, docs: np.ndarray) -> None:
     """Put pairs of a query and a document's place with their exact scores. queries: where each begins, its rows of full, what they weigh."""
     begin, rows, by = queries
-    n = np.diff(begin)
+    n, low, tile = np.diff(begin), -1, np.empty(0)
     for q, place in pairs:
+        if len(q) and place[0] // TILE_DOCS != low:  # numbers of a tile lie together
+            low = int(place[0]) // TILE_DOCS
+            tile = np.zeros((len(full), TILE_DOCS))
+            some = full[:, low * TILE_DOCS : (low + 1) * TILE_DOCS]
+            tile[:, : some.shape[1]] = some
+            tile = tile.ravel()
         for i in range(0, len(q), EXACT_PAIRS):
             some, at = q[i : i + EXACT_PAIRS], place[i : i + EXACT_PAIRS]
-            ends = np.cumsum(n[some])
-            x = np.arange(ends[-1]) + np.repeat(begin[some] - ends + n[some], n[some])
-            score = np.add.reduceat(by[x] * full[rows[x], np.repeat(at, n[some])], ends - n[some])
+            each = n[some]
+            ends = np.cumsum(each)
+            x = np.arange(ends[-1]) + np.repeat(begin[some] - ends + each, each)
+            score = np.add.reduceat(by[x] * tile.take(rows[x] * TILE_DOCS + np.repeat(at - low * TILE_DOCS, each)), ends - each)
             keep = score > np.maximum(best.floor[some], 1e-12)
             best.put(some[keep], score[keep], docs[at[keep]])
-    if best.many > best.k * len(best.floor) // 2:
-        best.settle()
+        if best.many > max(200_000, best.k * len(best.floor) // 4):
+            best.settle()
 
 
 def _dense_of_rows(best: Best, made: Rows, vectors: np.ndarray, docs: np.ndarray) -> None:
@@ -556,9 +597,13 @@ def _dense_of_rows(best: Best, made: Rows, vectors: np.ndarray, docs: np.ndarray
     m = full[row].astype(np.float32)
     m *= weight[:, None].astype(np.float32)
     of, bucket, light = made.light
-    most = np.bincount(of, light * np.where(light > 0, vectors.max(0)[bucket], vectors.min(0)[bucket]), len(made.norms))
-    need = ((best.floor - SINGLE) * made.norms - most).astype(np.float32)
-    _put_above(best, _sums_above(m, made.groups, need), (made.begin, made.at, made.by), full, docs)
+
+    def needed(low: int, high: int) -> np.ndarray:
+        part = vectors[low:high]
+        most = np.bincount(of, light * np.where(light > 0, part.max(0)[bucket], part.min(0)[bucket]), len(made.norms))
+        return ((best.floor - SINGLE) * made.norms - most).astype(np.float32)
+
+    _put_above(best, _sums_above(m, made.groups, needed), (made.begin, made.at, made.by), full, docs)
     best.seen += len(docs)
 
 
@@ -577,7 +622,7 @@ def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     n = size["n"]
     short = size["words"] <= FEW_WORDS * n
     slices = max(1, -(-n // (SHORT_QUERIES if short else LONG_QUERIES)), -(-n * k // HELD))
-    parts = d.filter("text is not null").select("no", tokens()).filter("text <> ''").repartition(_tasks(spark))
+    parts = d.filter("text is not null").select("no", F.lower("text").alias("low")).repartition(_tasks(spark))
     parts, scored = staged(parts, "parts").repartition(_tasks(spark)) if slices > 1 else parts, None
     for i in range(slices):
         one = _dense_slice(parts, first.filter(F.pmod(F.xxhash64("rep"), F.lit(slices)) == i), k, short)
@@ -586,7 +631,7 @@ def sparse_dense(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _dense_slice(docs: DataFrame, asked: DataFrame, k: int, short: bool) -> DataFrame:
-    """(q, no, score): the k best of each part of docs(no, text) for a slice asked(rep, text) of the queries, which is collected."""
+    """(q, no, score): the k best of each part of docs(no, low) for a slice asked(rep, text) of the queries, which is collected."""
     rows = asked.orderBy("text").toPandas()
     made = _combined(rows["text"].tolist()) if short and len(rows) else None
     made = Rows.of(*made) if made is not None and len(made[0]) <= SLICE_WORDS else None
@@ -595,11 +640,12 @@ def _dense_slice(docs: DataFrame, asked: DataFrame, k: int, short: bool) -> Data
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, made, texts = shared.value
         best = Best(len(queries), k)
-        width = max(64, min(2 * DOC_BLOCK, BLOCK_ROWS // (len(made.heavy[0]) + len(made.words) + 2 * BUCKETS))) if made else DOC_BLOCK
+        width = max(64, min(DOC_BLOCK, BLOCK_ROWS // (len(made.heavy[0]) + len(made.words) + 2 * BUCKETS))) if made else DOC_BLOCK
         for part in _by_document(parts, width) if len(queries) else ():
             ids, x = part["no"].to_numpy(np.int64), np.empty((len(part), 2 * BUCKETS))
             for i in range(0, len(part), 1024):
-                x[i : i + 1024] = unit_vectors(part["text"].iloc[i : i + 1024].tolist())
+                # a text without a token gets zeros, which score nothing
+                x[i : i + 1024] = unit_vectors([" ".join(TOKEN.findall(low)) for low in part["low"].iloc[i : i + 1024]])
             if made:
                 _dense_of_rows(best, made, x, ids)
                 continue
@@ -610,6 +656,12 @@ def _dense_slice(docs: DataFrame, asked: DataFrame, k: int, short: bool) -> Data
     return docs.mapInPandas(run, "q long, no long, score double")
 
 
+def at_once(*makers: Callable[[], object]) -> list:
+    """What the makers give. Their small jobs, and what each plans on the driver, fill the gaps of the others."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(m)) for m in makers]]
+
+
 def rrf(lists: dict[str, DataFrame], k: int, c: int = RRF_K) -> DataFrame:
     """(qid, chunk_id, score, rank, <name>_rank...): reciprocal ranks of all lists summed; ties by the ranks in the order of lists."""
     parts = None
@@ -654,8 +706,7 @@ def search_modes(queries: DataFrame, docs: DataFrame, k: int = TOP_K, candidates
     wide = candidates or max(CANDIDATES, k)
     live = docs.filter(F.lower("status") == "active")
     live_text = live.select("chunk_id", "text")
-    lexical = staged(bm25(queries, docs, wide, live, index), "lexical")
-    dense = staged(sparse_dense(queries, live_text, wide), "dense")
+    lexical, dense = at_once(lambda: staged(bm25(queries, docs, wide, live, index), "lexical"), lambda: staged(sparse_dense(queries, live_text, wide), "dense"))
     fused = staged(rrf({"bm25": lexical, "dense": dense}, wide), "fused")
     first = lambda df: df.filter(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
     return {"bm25": first(lexical), "dense": first(dense), "hybrid": first(fused), "hybrid_rerank": lexical_rerank(queries, fused, live_text, k)}
@@ -673,11 +724,11 @@ def search(queries: DataFrame, docs: DataFrame, mode: str = "hybrid_rerank", k:
     live_text = live.select("chunk_id", "text")
     if mode == "dense":
         return sparse_dense(queries, live_text, k).select("qid", "chunk_id", "score", "rank")
-    index = index or build_index(docs.select("chunk_id", "text"))
-    lexical = lambda n: bm25(queries, docs, n, live, index)
+    lexical = lambda n: bm25(queries, docs.select("chunk_id", "text"), n, live, index)
     if mode == "bm25":
         return lexical(k).select("qid", "chunk_id", "score", "rank")
-    fused = rrf({"bm25": lexical(wide), "dense": sparse_dense(queries, live_text, wide)}, k if mode == "hybrid" else wide)
+    found, dense = at_once(lambda: lexical(wide), lambda: sparse_dense(queries, live_text, wide))
+    fused = rrf({"bm25": found, "dense": dense}, k if mode == "hybrid" else wide)
     if mode == "hybrid":
         return fused.select("qid", "chunk_id", "score", "rank")
     return (reranker or lexical_rerank)(queries, staged(fused, "fused"), live_text, k)

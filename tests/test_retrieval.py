@@ -1,9 +1,11 @@
 import math
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.operators import answers as A
 from quillspark.operators import knn, metrics
 from quillspark.operators import retrieval as R
@@ -301,3 +303,45 @@ def test_bm25_sums_in_tiles_equal_lists(monkeypatch):
     for i, s in enumerate(np.rint(every * 1e6)):
         top = np.lexsort((np.arange(docs), -s))[:3]
         assert (found[0].no[i] == top).all()
+
+
+def test_lists_are_made_at_once(spark, corpus, monkeypatch):
+    queries, docs = corpus
+    both, seen = threading.Barrier(2, timeout=60), []
+    for name in ("bm25", "sparse_dense"):
+        def wait(*args, made=getattr(R, name), name=name):
+            both.wait()  # breaks where one waits for the other's end
+            seen.append(name)
+            return made(*args)
+
+        monkeypatch.setattr(R, name, wait)
+    got = R.search(queries, docs, "hybrid", 3).collect()
+    modes = R.search_modes(queries, docs, 3)
+    assert sorted(seen) == ["bm25", "bm25", "sparse_dense", "sparse_dense"] and sorted(got) == sorted(modes["hybrid"].collect())
+
+
+def test_index_counts_where_texts_are(spark, tmp_path):
+    texts = [("c1", "The Rate of 4.5.a, rate; \u212aELVIN may"), ("c2", None), ("c3", "the of"), ("c4", "Dr. Who v1.2. x")]
+    docs = spark.createDataFrame(texts, "chunk_id string, text string")
+    index = R.build_index(docs)
+    want = docs.select("chunk_id", F.coalesce(X.bm25_tokens(F.col("text")), F.array().cast("array<string>")).alias("ts")).collect()
+    names = {r.no: (r.chunk_id, r.dl) for r in index.docs.collect()}
+    assert sorted(names.values()) == sorted((r.chunk_id, len(r.ts)) for r in want)
+    assert sorted((names[r.no][0], r.term, r.tf) for r in index.postings.collect()) == sorted((r.chunk_id, t, r.ts.count(t)) for r in want for t in set(r.ts))
+
+
+def test_floors_rise_within_a_block():
+    rng = np.random.default_rng(5)
+    full, best = rng.random((8, 64 * R.TILE_DOCS)), R.Best(200, 4)
+    begin, rows = np.arange(0, 402, 2), np.stack([rng.choice(8, 2, replace=False) for _ in range(200)]).ravel()
+    queries = begin, rows, np.ones(400)
+    floors = []
+
+    def needed(low, high):
+        floors.append(best.floor.sum())
+        return best.floor.astype(np.float32) - 1e-4
+
+    R._put_above(best, R._sums_above(full.astype(np.float32), R._groups(np.diff(begin), rows), needed), queries, full, np.arange(full.shape[1]))
+    best.settle()
+    every = full[rows[::2]] + full[rows[1::2]]
+    assert floors[-1] > floors[0] == 0 and np.allclose(best.score, -np.sort(-every, axis=1)[:, :4])
