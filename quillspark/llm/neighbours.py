@@ -2,10 +2,10 @@
 
 Coarse centroids of two levels and residual codebooks are fitted on a bounded sample; every usable vector is
 assigned to its cell and coded. How many cells a query probes is measured: a bounded set of queries is compared
-with all vectors, and the probes are as many as give the recall wanted. Members are laid out in blocks of whole
-cells (a cell beyond the block size spans several); queries go, slice by slice, to the blocks that hold a cell
-they probe, and members to the slices that probe them. One task scores one slice's queries against one block:
-for the queries that probe a cell, the asymmetric scores of its members, the query's table against centroid
+with all vectors, and the probes are as many as give the recall wanted. Vectors are laid out once in blocks of whole
+cells (a cell beyond the block size spans several), in the folder that all executors share; a block is read as members, and
+as a slice of the queries, by each task that needs it, so what is written follows the vectors, not the meetings of blocks. One task
+scores one slice's queries against one block: for the queries that probe a cell, the asymmetric scores of its members, the query's table against centroid
 plus coded residual, come from one matrix product; every member whose score and coding error reach the k-th
 best so far is reranked with its exact vector, so coding loses none. Copies of one vector are searched once.
 """
@@ -17,11 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as ds
 import xxhash
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import staged
+from quillspark.session import staged, staged_by
 
 
 @dataclass(frozen=True)
@@ -154,7 +156,7 @@ def _best(q: np.ndarray, x: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.nd
 
 
 def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell: np.ndarray, codes: np.ndarray, reach: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, cosine) of the k best members for each query, out of the cells as close as reach.
+    """(query, member, cosine) of the k best members for each query, out of the cells as close as reach, of at least plan.least.
 
     same: for each query its own place among the members, or -1.
     """
@@ -173,7 +175,7 @@ def search_block(index: Index, plan: Plan, qv: np.ndarray, xv: np.ndarray, cell:
     by = np.argsort(pc, kind="stable")
     pq, pc = pq[by], pc[by]
     bounds = np.searchsorted(pc, np.arange(len(cells) + 1))
-    floor = np.full(len(qv), -2.0)
+    floor = np.full(len(qv), float(plan.least))  # what is below can't come out, so it needn't be reranked or held
     own = np.full(len(qv), -1) if same is None else same
     none = np.empty(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.empty(0))]
@@ -258,8 +260,19 @@ def _judged_probes(coded: DataFrame, index, queries: np.ndarray, own: np.ndarray
     return int(places[min(len(places) - 1, int(np.ceil(plan.recall * len(places))))]) + 1 if len(places) else 1
 
 
-_PACKED = "block int, slice int, role string, rows binary, cells binary, codes binary, vectors binary"
-_NAMES = [f.split()[0] for f in _PACKED.split(", ")]
+#: Rows of a block that were laid out together, as bytes, and the blocks that hold a cell which one of them probes, as bits.
+_LAID = "block int, rows binary, cells binary, codes binary, reach binary, vectors binary, sees binary"
+_NAMES = [f.split()[0] for f in _LAID.split(", ")]
+
+
+def _read_block(folder: str, block: int, *columns: str) -> list[bytes]:
+    """Columns of a block; empty where it has no rows."""
+    files, root = FileSystem.from_uri(folder)
+    path = f"{root}/block={block}"
+    if files.get_file_info(path).type == FileType.NotFound:
+        return [b""] * len(columns)
+    found = ds.dataset(path, filesystem=files, format="parquet").to_table(columns=list(columns))
+    return [b"".join(found[c].to_pylist()) for c in columns]
 
 
 def search(reps: DataFrame, plan: Plan) -> DataFrame:
@@ -323,53 +336,46 @@ def search(reps: DataFrame, plan: Plan) -> DataFrame:
                 sees[i : i + 1024, b] = close[:, c].max(1) >= reach[i : i + 1024]
         return reach, sees
 
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            row, cell, u, own = _parts(part)
+            code = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
+            reach, sees = _seen(u)
+            lines = [(int(b), row[m].tobytes(), cell[m].astype(np.int32).tobytes(), code[m].tobytes(), reach[m].tobytes(), u[m].tobytes(), np.packbits(sees[m].any(0)).tobytes()) for b in np.unique(own) for m in [own == b]]
+            yield pd.DataFrame(lines, columns=_NAMES)
+
+    # each vector is moved and written once
+    folder = staged_by(coded.mapInPandas(lay, _LAID).repartition(blocks, "block"), "block", "blocks")
+
     def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = np.zeros((blocks, blocks), bool)
         for part in batches:
-            _, _, u, own = _parts(part)
-            sees = _seen(u)[1]
-            for s in np.unique(own):
-                met[s] |= sees[own == s].any(0)
+            for s, sees in zip(part["block"], part["sees"], strict=True):
+                met[s] |= np.unpackbits(np.frombuffer(sees, np.uint8), count=blocks).astype(bool)
         s, b = np.nonzero(met)
         yield pd.DataFrame({"block": b, "slice": s})
 
-    def as_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            row, cell, u, own = _parts(part)
-            code = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
-            lines = [(int(b), "x", row[m].tobytes(), cell[m].astype(np.int32).tobytes(), code[m].tobytes(), u[m].tobytes()) for b in np.unique(own) for m in [own == b]]
-            yield pd.DataFrame(lines, columns=["block", "role", "rows", "cells", "codes", "vectors"])
+    asked = spark.read.schema("sees binary, block int").parquet(folder).select("block", "sees").mapInPandas(meetings, "block int, slice int").distinct()
+    asked = staged(asked, "meetings")
 
-    def as_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            row, _, u, own = _parts(part)
-            reach, sees = _seen(u)
-            lines = [(int(t), int(s), "q", row[m].tobytes(), reach[m].tobytes(), b"", u[m].tobytes()) for s in np.unique(own) for t in range(blocks) for m in [(own == s) & sees[:, t]] if m.any()]
-            yield pd.DataFrame(lines, columns=_NAMES)
-
-    # members go only where a query of the slice probes their block
-    asked = staged(coded.select("row", "cell", "u").mapInPandas(meetings, "block int, slice int").distinct(), "meetings")
-    members = coded.mapInPandas(as_members, "block int, role string, rows binary, cells binary, codes binary, vectors binary").join(asked, "block").select(*_NAMES)
-    queries = coded.select("row", "cell", "u").mapInPandas(as_queries, _PACKED)
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        q, m = part[part["role"] == "q"], part[part["role"] == "x"]
-        if not len(q) or not len(m):
-            return pd.DataFrame({"row": np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "cosine": np.empty(0)})
-        join = lambda s, t: np.frombuffer(b"".join(s), t)
-        qrow, xrow = join(q["rows"], np.int64), join(m["rows"], np.int64)
-        qv, xv = join(q["vectors"], np.float32).reshape(-1, dim), join(m["vectors"], np.float32).reshape(-1, dim)
-        cell, codes = join(m["cells"], np.int32), join(m["codes"], np.uint8).reshape(len(xrow), -1)
-        by = np.argsort(xrow)
-        xrow, xv, cell, codes = xrow[by], xv[by], cell[by], codes[by]
-        at = np.searchsorted(xrow, qrow)
-        same = np.where(xrow[np.minimum(at, len(xrow) - 1)] == qrow, at, -1)
-        a, b, s = search_block(shared.value, plan, qv, xv, cell, codes, join(q["cells"], np.float32), same)
-        return pd.DataFrame({"row": qrow[a], "neighbour": xrow[b], "cosine": s})
-
-    # long tasks of few bytes: each meeting is to have a task of its own, so their number isn't left to the sizes
-    tasks = queries.unionByName(members).repartition(3 * max(1, asked.count()), "block", "slice")
-    return tasks.groupBy("block", "slice").applyInPandas(solve, out)
+            for b, s in zip(part["block"].tolist(), part["slice"].tolist(), strict=True):
+                of_q, of_m = _read_block(folder, s, "rows", "reach", "vectors"), _read_block(folder, b, "rows", "cells", "codes", "vectors")
+                qrow, xrow = np.frombuffer(of_q[0], np.int64), np.frombuffer(of_m[0], np.int64)
+                if not len(qrow) or not len(xrow):
+                    continue
+                qv, xv = (np.frombuffer(v, np.float32).reshape(-1, dim) for v in (of_q[2], of_m[3]))
+                cell, codes = np.frombuffer(of_m[1], np.int32), np.frombuffer(of_m[2], np.uint8).reshape(len(xrow), -1)
+                by = np.argsort(xrow)
+                xrow, xv, cell, codes = xrow[by], xv[by], cell[by], codes[by]
+                at = np.searchsorted(xrow, qrow)
+                same = np.where(xrow[np.minimum(at, len(xrow) - 1)] == qrow, at, -1)
+                i, j, cosine = search_block(shared.value, plan, qv, xv, cell, codes, np.frombuffer(of_q[1], np.float32), same)
+                yield pd.DataFrame({"row": qrow[i], "neighbour": xrow[j], "cosine": cosine})
+
+    # long tasks: each meeting is to have a task of its own, dealt out one by one
+    return asked.coalesce(1).repartition(max(1, asked.count())).mapInPandas(solve, out)
 
 
 def nearest(rows: DataFrame, key: str = "id", vector: str = "embedding", plan: Plan = Plan()) -> DataFrame:  # noqa: B008

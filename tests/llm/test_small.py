@@ -186,6 +186,35 @@ def test_neighbours_of_a_large_group_of_near_copies():
         assert (np.bincount(q) == 5).all() and (s[q, n] >= fifth[q] - 1e-9).all()
 
 
+def test_neighbours_move_vectors_once(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[1500:] = x[:1500] + 0.02 * rng.normal(size=(1500, 64))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    moved = []
+    for block in (1500, 125):
+        before = written()
+        got = neighbours.nearest(rows, plan=neighbours.Plan(least=0.9, block=block)).select("id", "neighbour", "cosine").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        moved.append(written() - before)
+        assert {(r.id, r.neighbour) for r in got} == {(i, (i + 1500) % 3000) for i in range(3000)}
+    assert moved[1] < 2 * moved[0]
+
+
+def test_search_holds_nothing_below_the_least():
+    x = np.random.default_rng(3).normal(size=(400, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plan = neighbours.Plan(least=0.3)
+    index = neighbours.Index.fit(x, 8, plan)
+    cell = index.assign(x)
+    q, n, cosine = neighbours.search_block(index, plan, x, x, cell, index.code(x, cell), np.full(400, -9, np.float32), np.arange(400))
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(400) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.3}
+    assert set(zip(q.tolist(), n.tolist(), strict=True)) == want and cosine.min() >= 0.3
+
+
 def test_neighbours_of_copies_and_many_blocks(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 64)).astype(np.float32)
