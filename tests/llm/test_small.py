@@ -186,6 +186,21 @@ def test_neighbours_of_a_large_group_of_near_copies():
         assert (np.bincount(q) == 5).all() and (s[q, n] >= fifth[q] - 1e-9).all()
 
 
+def test_revisions_drop_what_is_no_longer_read(spark):
+    from pathlib import Path
+
+    from quillspark.session import shared_dir
+
+    text = " ".join(f"w{i}" for i in range(40))
+    texts = spark.createDataFrame([("t", 1, text, None), ("t", 2, f"{text} end", None), ("t", 3, "other words than these", None)], "field string, id long, text string, print string")
+    there = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    before = there()
+    got = revisions.revised_pairs(texts)
+    left = {name.split("-")[0] for name in there() - before}
+    assert {"rows", "chosen", "possible"} <= left and not {"words", "met"} & left
+    assert [tuple(r) for r in got.collect()] == [("t", 1, 2)]
+
+
 def test_neighbours_move_vectors_once(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 64))
